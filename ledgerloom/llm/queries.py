@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licenses, sharding, urls
-from ledgerloom.llm.common import read_table
+from ledgerloom.llm import langid, licenses, quality, sharding, urls
+from ledgerloom.llm.common import cut, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,19 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
+
+
+@query("op3_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(quality.extract(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    labels = read_table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0))
+    model = quality.train(found, labels, "doc_id", "quality")
+    scored = quality.score(found, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, jaccard, langid, licenses, quality, sharding, urls
+from ledgerloom.llm import fmindex, jaccard, langid, licenses, pii, quality, sharding, urls
 from ledgerloom.llm.common import cut, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("op6_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, jaccard, langid, licenses, pii, quality, sharding, urls
+from ledgerloom.llm import fmindex, jaccard, langid, licenses, pieces, pii, quality, sharding, urls, vectors
 from ledgerloom.llm.common import cut, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,20 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("op4_embedding_duplicates")
+def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+def tokenizer_path() -> str:
+    """The public 32k model; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op7_sampled_pieces")
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), k=2, digest=True).withColumnRenamed("id", "doc_id")

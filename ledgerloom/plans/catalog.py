@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.plans import graph_queries
 from ledgerloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries"]

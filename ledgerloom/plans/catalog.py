@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import graph_queries
+from ledgerloom.plans import graph_queries, ingest_queries, retrieval_queries, revision_queries
 from ledgerloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "ingest_queries", "retrieval_queries", "revision_queries"]

@@ -63,11 +63,11 @@ def hybrid_search(spark: S, sf: str) -> DataFrame:
     return retrieval.hybrid(hits, per, "vec_id").select("query_id", "vec_id", "rank", F.coalesce("facts", F.lit(0)).alias("facts"), "source_chunk_id")
 
 
-@query("route_questions", r"""select conv_id, turn, case when regexp_matches(lower(text), '[$%]') or regexp_matches(lower(text), '\b\d{4}-\d{2}-\d{2}\b|\b(de|que|und)\b') or regexp_matches(lower(text), '\b(to|thing)\b') then 'hybrid' else 'vector' end as route from conversations where role = 'user'""")
+@query("route_questions", r"""select conv_id, turn, case when regexp_matches(lower(text), '[$%]') or regexp_matches(lower(text), '\b\d{4}-\d{2}-\d{2}\b|(^| )(de|que|und)( |$)') or regexp_matches(lower(text), '(^| )(to|thing)( |$)') then 'hybrid' else 'vector' end as route from conversations where role = 'user'""")
 def route_questions(spark: S, sf: str) -> DataFrame:
     """The signals are words that occur in the driver's invented prose; production's are the function's defaults."""
     q = table(spark, sf, "conversations").filter("role = 'user'")
-    return q.select("conv_id", "turn", retrieval.route(F.col("text"), dates=r"\b\d{4}-\d{2}-\d{2}\b|\b(de|que|und)\b", totals=r"\b(to|thing)\b").alias("route"))
+    return q.select("conv_id", "turn", retrieval.route(F.col("text"), dates=r"\b\d{4}-\d{2}-\d{2}\b|(^| )(de|que|und)( |$)", totals=r"(^| )(to|thing)( |$)").alias("route"))
 
 
 @query("party_obligations", "select c_name, n_name, count(*) as obligations, count(distinct l_orderkey) as contracts from customer join nation on c_nationkey = n_nationkey join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by 1, 2")

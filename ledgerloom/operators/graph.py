@@ -76,15 +76,19 @@ def keep(df: DataFrame) -> DataFrame:
 def components(v: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, component): the least name that edges, in either direction, lead to.
 
-    Each round maps every vertex that still has edges to its least neighbour, jumps once more and contracts the edges, so the
-    edge list shrinks geometrically and hubs cost one partial aggregation; vertices without edges are never shuffled along.
+    Each round maps every vertex that still has edges to its least neighbour, doubles these steps until all end in local minima, and contracts the edges
+    to these. A chain takes the logarithm of its length, hubs cost one partial aggregation, and vertices without edges are never shuffled along.
     """
     rest = keep(edges.filter("source <> target").select(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).distinct())
     out = None
     while not rest.isEmpty():
         near = rest.select(F.col("lo").alias("name"), F.col("hi").alias("to")).unionAll(rest.select(F.col("hi").alias("name"), F.col("lo").alias("to")))
         step = keep(near.groupBy("name").agg(F.min("to").alias("to")).select("name", F.least("name", "to").alias("up")))
-        jump = keep(step.join(step.select(F.col("name").alias("up"), F.col("up").alias("top")), "up").select("name", F.col("top").alias("up")))
+        jump = step.withColumn("moved", F.lit(True))
+        while not jump.filter("moved").isEmpty():
+            above = jump.select(F.col("name").alias("up"), F.col("up").alias("top"))
+            jump = keep(jump.join(above, "up").select("name", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        jump = jump.drop("moved")
         out = jump.withColumnRenamed("up", "component") if out is None else keep(
             out.join(jump.select(F.col("name").alias("component"), "up"), "component", "left").select("name", F.coalesce("up", "component").alias("component"))
         )

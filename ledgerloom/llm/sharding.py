@@ -66,8 +66,9 @@ def place(df: DataFrame, key: str, shards: list[str], size: int, slot: str = "sl
     that has the name of an output column is replaced.
     """
     table = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    placed = df.withColumn("__slot", slot_of(F.col(key), size)).join(F.broadcast(table), "__slot")
-    return placed.drop(*{slot, shard} - {key}).withColumnsRenamed({"__slot": slot, "__shard": shard})
+    kept = [c for c in df.columns if c not in (slot, shard) or c == key]
+    placed = df.select(*kept, slot_of(F.col(key), size).alias("__slot")).join(F.broadcast(table), "__slot")
+    return placed.select(*kept, F.col("__slot").alias(slot), F.col("__shard").alias(shard))
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], size: int, path: str) -> None:

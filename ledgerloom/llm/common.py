@@ -27,15 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Connected components of an undirected graph as (id, component), component being the least id.
 
-    Any orderable id type. Each round maps a vertex to its least neighbour, jumps once more, and contracts the edges; rounds grow with
-    the logarithm of a component's diameter. Only vertices with an edge to another vertex are returned; null ends are dropped.
+    Any orderable id type. Each round maps a vertex to its least neighbour, doubles these steps until all end in local minima, and
+    contracts the edges to these; steps grow with the logarithm of a chain's length. Only vertices with an edge to another vertex are returned; null ends are dropped.
     """
     rest = cut(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
     out = None
     while not rest.isEmpty():
         near = rest.select(F.col("lo").alias("id"), F.col("hi").alias("to")).unionAll(rest.select(F.col("hi").alias("id"), F.col("lo").alias("to")))
         step = cut(near.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("up")))
-        jump = cut(step.join(step.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")))
+        jump = step.withColumn("moved", F.lit(True))
+        while not jump.filter("moved").isEmpty():
+            above = jump.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            jump = cut(jump.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
         if out is None:
             out = jump.select("id", F.col("up").alias("component"))
         else:
@@ -77,6 +80,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def utf8_like(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls and the offsets of its rows."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8), offsets
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row of the maximal runs of True that lie within one row."""
     n = len(inside)

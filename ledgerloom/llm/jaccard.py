@@ -11,10 +11,13 @@ other set has the same subset (weight 1), or, where one-deletion neighbourhoods
 2. Allocation: segments are put in order of that cost, one order for all sets of a band. A set indexes its non-empty segments in this order
    until their weights exceed its H; costly segments (frequent passages) are left out unless nothing cheaper is there. If too
    little of a band's sets lies in cheap segments, one-deletion neighbourhoods are indexed in these and count twice.
-3. Candidates: signatures are shuffled and sorted with the ids, and read as a stream. A group of equal signatures gives a star from its
-   first member, never all its pairs. Stars are verified, verified links are contracted to components, and only members of different
-   components that share a signature are verified against each other in a second round.
-4. Verification: exact intersections of whole sets, by arrays joined to the pairs.
+3. Candidates: signatures are shuffled and sorted with the ids, and read as a stream. Sets index some more weight than H + 1, so a link has several
+   equal signatures: pairs of small groups are counted, and those with too few go. A larger group of equal signatures gives a star from its first
+   member, never all its pairs. Candidates are verified, verified links are contracted to components, and only members of different components
+   that share a large group are verified against each other in a second round.
+4. Verification: each class carries the parities of its tokens over a bitmap in proportion to its size. Two parity bitmaps differ in no more
+   bits than the sets in tokens, so pairs whose bitmaps differ in more than H bits are no links. For the others, intersections of whole sets
+   are computed from arrays joined to the pairs.
 
 A pair that is within one component already is not verified: links within it change no component. Pairs are anchored in the band of the
 smaller set; a set takes part in the band below its own too if a partner may lie there. Sizes below 64 have a segment for each token.
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, components, cut, mixed, range_hashes, runs, utf8, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, components, cut, mixed, range_hashes, runs, utf8, utf8_like, word_hashes
 
 SLICE, ROWS = 1 << 21, 2048
 BUCKETS = 2048
 #: Sizes from 4 ** SMALL on have SEGMENTS * 4 ** band segments; smaller ones as many as tokens may tell apart.
 SMALL, SEGMENTS = 3, 16
+#: All pairs of a group of up to so many equal signatures are counted.
+GROUP = 8
 #: A bucket is costly if its second moment is over this many times the median.
 COSTLY = 8
 _CODE = np.arange(256)
@@ -77,6 +82,17 @@ def bands_of(size: np.ndarray) -> np.ndarray:
     return (np.frexp(size.astype(np.float64))[1] - 1) // 2
 
 
+def slack(band: np.ndarray) -> np.ndarray:
+    """Weight that sets of an anchor band index beyond H + 1: so much more of it is matched by any link."""
+    return np.where(band >= SMALL, 4 ** np.maximum(band, 0).astype(np.int64) // 32, 0)
+
+
+def matches_needed(band: int, deep: bool) -> int:
+    """Equal signatures that a link of this anchor band has at least; a matched neighbourhood may stand for a weight of two with one."""
+    extra = int(slack(np.array([band]))[0])
+    return 1 + extra // 2 if deep else 1 + extra
+
+
 def _partners(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(taking part, anchor band, H) of each set, as a member of its own band and of the band below."""
     band = bands_of(np.maximum(size, 1))
@@ -113,6 +129,37 @@ def _groups(tokens: np.ndarray, bounds: np.ndarray, pick: np.ndarray, band: np.n
     return tokens, order, starts, row[head], bucket[head].astype(np.int64), segment[head]
 
 
+def _parities(tokens: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set a bitmap of 64 bits or more, the parity of the number of its tokens with the same value modulo the number of bits."""
+    size = np.diff(bounds)
+    bits = np.maximum(64, 4 ** (bands_of(np.maximum(size, 1)).astype(np.int64) + 1))
+    base = np.concatenate(([0], np.cumsum(bits)))
+    row = np.repeat(np.arange(len(size)), size)
+    at = base[row] + (tokens & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(bool), bitorder="little")
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(base // 8), pa.py_buffer(data)])
+
+
+def _close(percent: int):
+    """Pairs whose bitmaps do not differ in more bits than linked sets in tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [utf8_like(batch.column(c)) for c in ("xa", "xb")]
+            sizes = np.stack([np.diff(o) for _, o in maps])
+            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (100 - percent) // (100 + percent)
+            keep = np.zeros(len(batch), bool)
+            for la, lb in np.unique(sizes, axis=1).T.tolist():
+                at = np.flatnonzero((sizes[0] == la) & (sizes[1] == lb))
+                least = min(la, lb)
+                for some in np.array_split(at, len(at) * max(la, lb) // (1 << 24) + 1):
+                    x, y = (np.bitwise_xor.reduce(d[o[some][:, None] + np.arange(n)].reshape(len(some), n // least, least), axis=1) for (d, o), n in zip(maps, (la, lb)))
+                    keep[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[some]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in by_bytes(batch, "text", SLICE):
@@ -134,7 +181,7 @@ def _describe(k: int, percent: int):
             size = np.diff(bounds)
             none = pa.nulls(len(part), pa.int32())
             sketch = [pa.nulls(len(part), pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(check), none, none, *sketch], names=COLUMNS)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(check), _parities(tokens, bounds).cast(pa.binary()), none, none, *sketch], names=COLUMNS)
             new = np.array([not (c in seen or seen.add(c)) for c in name.tolist()], bool)
             for joins, band, _ in _partners(size, percent):
                 pick = joins & new
@@ -152,23 +199,23 @@ def _describe(k: int, percent: int):
         for b, table in costs.items():
             at = np.flatnonzero(table[4])
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.array(np.full(len(at), b), pa.int32()), pa.array(at, pa.int32()), *(pa.array(c[at]) for c in table)], names=COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.nulls(len(at), pa.binary()), pa.array(np.full(len(at), b), pa.int32()), pa.array(at, pa.int32()), *(pa.array(c[at]) for c in table)], names=COLUMNS)
 
     return run
 
 
-COLUMNS = ["id", "n", "class", "check", "band", "bucket", "c0", "c1", "c2", "c3", "f"]
+COLUMNS = ["id", "n", "class", "check", "parities", "band", "bucket", "c0", "c1", "c2", "c3", "f"]
 
 
 def allocate(costs: DataFrame, percent: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By band: the rank of each bucket, cheapest first, and where one-deletion neighbourhoods are indexed. As many numbers as bands and buckets, however many documents there are."""
-    found = costs.groupBy("band", "bucket").agg(*(F.sum(c).alias(c) for c in COLUMNS[6:])).collect()
+    found = costs.groupBy("band", "bucket").agg(*(F.sum(c).alias(c) for c in COLUMNS[7:])).collect()
     out = {}
     for band in sorted({r["band"] for r in found}):
         moment, count = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for r in found:
             if r["band"] == band:
-                moment[r["bucket"]] = sum(r[c] ** 2 for c in COLUMNS[6:10]) / 4
+                moment[r["bucket"]] = sum(r[c] ** 2 for c in COLUMNS[7:11]) / 4
                 count[r["bucket"]] = r["f"]
         # Per signature: what a set's segment in this bucket meets on the average.
         price = np.where(count > 0, moment / np.maximum(count, 1), 0)
@@ -210,6 +257,7 @@ def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]]):
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 before = sums - weight - np.repeat((sums - weight)[first], np.diff(np.append(first, len(row))))
                 last = np.append(first[1:], len(row)) - 1
+                most = most + slack(band)
                 if (before[last] + weight[last] <= most[row[last]]).any():
                     raise ValueError("a set has too few segments for its size; raise SEGMENTS")
                 taken = before <= most[row]
@@ -221,32 +269,67 @@ def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]]):
                     at = np.arange(len(of)) - np.repeat(np.cumsum(held[less]) - held[less], held[less]) + starts[of]
                     sign.append(mixed(total[of] - own[at] + salt[of]))
                     owner.append(row[of])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sign).view(np.int64)), ids.take(pa.array(np.concatenate(owner)))], names=["sign", "id"])
+                sign, owner = np.concatenate(sign), np.concatenate(owner)
+                sign = (sign & ~np.uint64(31)) | band[owner].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), ids.take(pa.array(owner))], names=["sign", "id"])
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sign, id): (sign, first id of the group, id) of each further member. Keeps two values from batch to batch."""
-    sign_before, lead_before, id_before = None, None, None
+    """Of rows sorted by (sign, id): all pairs (null, a, b, band) of a group of up to GROUP ids, or else (sign, first id, id, band) of each further member.
+
+    What is kept from batch to batch is a group of up to GROUP rows, or of a larger one its first and last ids.
+    """
+    sign, ids, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # the open group; (sign, first id, last id) of a large one
     for batch in batches:
-        if not len(batch):
-            continue
-        sign = batch.column("sign").to_numpy()
-        ids = batch.column("id")
-        same = np.zeros(len(sign), bool)
-        same[1:] = sign[1:] == sign[:-1]
-        same[0] = sign_before is not None and int(sign[0]) == sign_before
-        start = np.maximum.accumulate(np.where(same, -1, np.arange(len(sign))))
-        values = ids.to_pylist() if same.any() else None
-        at = np.flatnonzero(same)
-        if len(at):
-            leads = [lead_before if start[i] < 0 else values[start[i]] for i in at.tolist()]
-            kept = [(int(sign[i]), lead, values[i]) for i, lead in zip(at.tolist(), leads) if values[i] != lead and values[i] != (values[i - 1] if i else id_before)]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], ids.type), pa.array([x[2] for x in kept], ids.type)], names=["sign", "lead", "id"])
-        lead_before = ids[int(start[-1])].as_py() if start[-1] >= 0 else lead_before
-        sign_before, id_before = int(sign[-1]), ids[len(ids) - 1].as_py()
+        new_sign, new_ids = batch.column("sign").to_numpy(), batch.column("id").to_numpy(zero_copy_only=False)
+        sign, ids = np.concatenate((sign, new_sign)), np.concatenate((ids, new_ids)) if len(ids) else new_ids
+        yield from (out := _grouped(sign, ids, large, False))[0]
+        sign, ids, large = out[1:]
+    yield from _grouped(sign, ids, large, True)[0]
+
+
+def _grouped(sign: np.ndarray, ids: np.ndarray, large: tuple | None, last: bool):
+    rows = []
+
+    def add(signs, a, b, band) -> None:
+        if len(a):
+            rows.append(pa.RecordBatch.from_arrays([signs, pa.array(a), pa.array(b), pa.array(band.astype(np.int32))], names=["sign", "a", "b", "band"]))
+
+    if not len(sign):
+        return rows, sign, ids, large
+    if large is not None:
+        on = int(np.searchsorted(sign != large[0], True)) if (sign != large[0]).any() else len(sign)
+        more = ids[:on]
+        more = more[np.concatenate(([large[2]], more[:-1])) != more] if on else more
+        add(pa.array(np.full(len(more), large[0])), np.full(len(more), large[1], more.dtype), more, np.full(len(more), large[0] & 31))
+        if on == len(sign):
+            return rows, sign[:0], ids[:0], (large[0], large[1], ids[-1]) if on else large
+        sign, ids, large = sign[on:], ids[on:], None
+    new = np.ones(len(sign), bool)
+    new[1:] = (sign[1:] != sign[:-1]) | (ids[1:] != ids[:-1])
+    sign, ids = sign[new], ids[new]
+    start = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
+    size = np.diff(np.append(start, len(sign)))
+    open_sign, open_ids = sign[:0], ids[:0]
+    if not last:
+        at = int(start[-1])
+        if size[-1] > GROUP:
+            large = (int(sign[at]), ids[at], ids[-1])
+        else:
+            open_sign, open_ids = sign[at:], ids[at:]
+            start, size = start[:-1], size[:-1]
+            sign, ids = sign[:at], ids[:at]
+    group = np.repeat(np.arange(len(start)), size)
+    small = (size <= GROUP)[group]
+    for d in range(1, GROUP):
+        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:]) if len(group) > d else np.zeros(0, np.int64)
+        add(pa.nulls(len(i), pa.int64()), ids[i], ids[i + d], sign[i] & 31)
+    inner = np.flatnonzero(~small)
+    inner = inner[inner != start[group[inner]]]
+    add(pa.array(sign[inner]), ids[start[group[inner]]], ids[inner], sign[inner] & 31)
+    return rows, open_sign, open_ids, large
 
 
 def _arrays(k: int):
@@ -259,12 +342,36 @@ def _arrays(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar enough."""
-    a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return cut(both.filter(F.col("common") * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"))
+#: So many ids are broadcast at most: 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
+class _Verifier:
+    def __init__(self, slim: DataFrame, classes: DataFrame, k: int, percent: int):
+        self.slim, self.classes, self.k, self.percent = slim, classes, k, percent
+
+    def fitting(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of classes, a below b, that sizes and bitmaps leave as possible links."""
+        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side = lambda c: self.classes.select(F.col("class").alias(c), F.col("n").alias("n" + c), F.col("parities").alias("x" + c))
+        sizes = self.classes.select("class", "n")
+        p = p.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("ma")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("mb")), "b")
+        p = p.filter(F.least("ma", "mb") * 100 >= F.greatest("ma", "mb") * self.percent).select("a", "b")
+        p = p.join(side("a"), "a").join(side("b"), "b")
+        return cut(p.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_close(self.percent), "a long, b long"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar enough."""
+        wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = cut(wanted.join(self.classes, "class").select(F.col("rep").alias("id")).distinct())
+        few = wanted.count() <= BROADCAST_IDS
+        texts = self.slim.join(F.broadcast(wanted) if few else wanted, "id")
+        texts = texts.groupBy("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text")).select("text") if not few else texts.select("text")
+        sets = cut(texts.mapInArrow(_arrays(self.k), "class long, tokens array<long>"))
+        a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
+        b = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
+        both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+        return cut(both.filter(F.col("common") * (100 + self.percent) >= self.percent * (F.size("ta") + F.size("tb"))).select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 75) -> DataFrame:
@@ -276,41 +383,51 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: i
     """
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    described = cut(slim.mapInArrow(_describe(k, percent), f"id {kind}, n long, class long, check long, band int, bucket int, c0 long, c1 long, c2 long, c3 long, f long"))
-    rows = described.filter("band is null").select("id", "n", "class", "check")
+    described = cut(slim.mapInArrow(_describe(k, percent), f"id {kind}, n long, class long, check long, parities binary, band int, bucket int, c0 long, c1 long, c2 long, c3 long, f long"))
+    rows = described.filter("band is null").select("id", "n", "class", "check", "parities")
     plan = allocate(described.filter("band is not null"), percent)
     same = F.min("check") == F.max("check")
-    classes = rows.filter("n > 0 and id is not null").groupBy("class").agg(F.when(same, F.min("id")).otherwise(F.raise_error(F.lit("two sets have one name")).cast(kind)).alias("rep"), F.max("n").alias("n"))
+    classes = rows.filter("n > 0 and id is not null").groupBy("class").agg(F.when(same, F.min("id")).otherwise(F.raise_error(F.lit("two sets have one name")).cast(kind)).alias("rep"), F.max("n").alias("n"), F.max("parities").alias("parities"))
     classes = cut(classes)
     signed = slim.filter("id is not null").mapInArrow(_sign(k, percent, plan), f"sign long, id {kind}")
-    stars = signed.repartition("sign").sortWithinPartitions("sign", "id").mapInArrow(_stars, f"sign long, lead {kind}, id {kind}")
-    class_of = rows.filter("n > 0 and id is not null").select("id", "class")
-    members = stars.join(class_of.select(F.col("id").alias("lead"), F.col("class").alias("a")), "lead").join(class_of.withColumnRenamed("class", "b"), "id")
-    members = cut(members.filter("a <> b").select("sign", "a", "b").distinct())
+    met = signed.repartition("sign").sortWithinPartitions("sign", "id").mapInArrow(_stars, f"sign long, a {kind}, b {kind}, band int")
+    needed = F.lit(1)
+    for band, (_, deep) in plan.items():
+        needed = F.when(F.col("band") == band, matches_needed(band, bool(deep.any()))).otherwise(needed)
+    met = cut(met.groupBy("sign", "a", "b", "band").count().filter(F.col("sign").isNotNull() | (F.col("count") >= needed)).select("sign", "a", "b"))
+    class_of = rows.filter("n > 0 and id is not null").select("id", "class").distinct()
+    members = met.join(class_of.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(class_of.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b")
+    members = cut(members.filter("ca <> cb").select("sign", F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     sized = classes.select("class", "n", "rep")
 
-    def fitting(pairs: DataFrame) -> DataFrame:
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        p = p.join(sized.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        return p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-
-    wanted = members.select(F.col("a").alias("class")).unionAll(members.select(F.col("b").alias("class"))).distinct().join(sized, "class").select(F.col("rep").alias("id"), "class")
-    texts = slim.join(wanted.select("id").distinct(), "id").select("text")
-    sets = cut(texts.mapInArrow(_arrays(k), "class long, tokens array<long>").dropDuplicates(["class"]))
-    links = _verified(fitting(members), sets, percent)
+    verifier = _Verifier(slim, classes, k, percent)
+    tried = verifier.fitting(members)
+    links = verifier.links(tried)
     joined = components(links, "a", "b")
-    named = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias("c" + c))
-    every = members.select("sign", F.col("a").alias("id")).unionAll(members.select("sign", F.col("b").alias("id"))).distinct()
+    large = members.filter("sign is not null")
+    every = large.select("sign", F.col("a").alias("id")).unionAll(large.select("sign", F.col("b").alias("id"))).distinct()
     every = every.join(joined, "id", "left").select("sign", "id", F.coalesce("component", "id").alias("component"))
     mixed_signs = every.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sign")
     rest = cut(every.join(mixed_signs, "sign"))
     if not rest.isEmpty():
         left, right = rest.select("sign", F.col("id").alias("a"), F.col("component").alias("ca")), rest.select("sign", F.col("id").alias("b"), F.col("component").alias("cb"))
         across = left.join(right, "sign").filter("ca < cb").select("a", "b").distinct()
-        tried = fitting(members).select("a", "b")
-        more = _verified(fitting(across).join(tried, ["a", "b"], "left_anti"), sets, percent)
+        more = verifier.links(cut(verifier.fitting(across).join(tried, ["a", "b"], "left_anti")))
         if not more.isEmpty():
             joined = components(links.unionAll(more), "a", "b")
     lowest = joined.join(sized, joined["id"] == sized["class"]).groupBy("component").agg(F.min("rep").alias("least"))
     found = sized.join(joined.select(F.col("id").alias("class"), "component"), "class", "left").join(lowest, "component", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
     return rows.join(found, "class", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that with the least id, and of rows that repeat an id and a text one. Rows with a null id stay."""
+    found = near_duplicates(docs, key, text, k, percent)
+    gone = cut(found.filter("component_id <> id").select(F.col("id").alias(key)).distinct())
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    repeated = cut(found.filter("id is not null").groupBy(F.col("id").alias(key)).count().filter("count > 1").select(key))
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(repeated, key, "left_anti")
+    return single.unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key, text]))

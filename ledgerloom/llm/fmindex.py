@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, runs, utf8, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, cut, runs, utf8, word_hashes
 
 #: Bytes of the words of this contract: all but the ASCII characters that are neither letters nor digits.
 _CODE = np.arange(256)
@@ -275,6 +275,7 @@ def _hits(passes: list[Phrases], keep_spans: bool, shard_words: int):
                     base = points[offsets[:-1]]
                     for a, b, k in zip(start[s].tolist(), end[e - 1].tolist(), r.tolist()):
                         spans[k].append({"start": int(points[a] - base[k]), "end": int(points[b] - base[k])})
+                    columns["name"] = part.column("name")
                     columns["items"] = pa.array(listed, pa.list_(pa.string()))
                     columns["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_pydict(columns)
@@ -283,7 +284,7 @@ def _hits(passes: list[Phrases], keep_spans: bool, shard_words: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int = 10, keep_spans: bool = False, max_phrases: int = 2_000_000, shard_words: int = 1 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256 and, with ``keep_spans``, items and merged spans of code points.
+    """One row per document: id, n_words, n_hit, n_items, items_sha256 and, with ``keep_spans``, a hash that names the text, items and merged spans of code points.
 
     Words are compared after lower-casing A-Z. Null and empty texts have no words and no hits; repeated rows are judged each by itself; an empty
     benchmark or table gives no hits or no rows; a null item is none. Other columns of either table are ignored.
@@ -298,19 +299,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str, it
             passes.append(phrases(part, window))
             part, size = [], 0
     passes += [phrases(part, window)] if part else []
-    schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + (", items array<string>, spans array<struct<start:long,end:long>>" if keep_spans else "")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_hits(passes, keep_spans, shard_words), schema)
+    schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + (", name long, items array<string>, spans array<struct<start:long,end:long>>" if keep_spans else "")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *([F.xxhash64(text).alias("name")] if keep_spans else [])).mapInArrow(_hits(passes, keep_spans, shard_words), schema)
 
 
 def without_spans(docs: DataFrame, found: DataFrame, key: str, text: str, most: float) -> DataFrame:
-    """``docs`` without those of which more than the share ``most`` of words is hit, and with the spans cut from the others' texts."""
-    spans = found.select(F.col("id").alias(key), "n_words", "n_hit", "spans")
-    joined = docs.join(spans, key, "left")
+    """``docs`` without those of which more than the share ``most`` of words is hit, and with the spans cut from the others' texts.
+
+    Only rows with hits are joined: their keys are few against the corpus, and are broadcast if ``found`` has at most a million. Rows that
+    repeat a key are cut by their own text's spans.
+    """
+    hit = cut(found.filter("n_hit > 0").select(F.col("id").alias(key), F.col("name").alias("__name"), (F.col("n_hit") / F.col("n_words")).alias("__share"), F.col("spans").alias("__spans")).distinct())
+    few = hit.count() <= 1_000_000
+    named = docs.withColumn("__name", F.xxhash64(text))
+    joined = named.join(F.broadcast(hit) if few else hit, [key, "__name"], "left").filter(F.coalesce("__share", F.lit(0.0)) <= most)
     pieces = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")),
+        "__spans",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["text"], F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
         lambda acc: F.concat(acc["text"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))),
     )
-    kept = joined.filter(F.coalesce("n_hit", F.lit(0)) <= most * F.coalesce("n_words", F.lit(0)))
-    return kept.withColumn(text, F.when(F.coalesce("n_hit", F.lit(0)) > 0, pieces).otherwise(F.col(text))).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), pieces).otherwise(F.col(text))).select(*docs.columns)

@@ -12,9 +12,12 @@ other set has the same subset (weight 1), or, where one-deletion neighbourhoods
    until their weights exceed its H; costly segments (frequent passages) are left out unless nothing cheaper is there. If too
    little of a band's sets lies in cheap segments, one-deletion neighbourhoods are indexed in these and count twice.
 3. Candidates: signatures are shuffled and sorted with the ids, and read as a stream. Sets index some more weight than H + 1, so a link has several
-   equal signatures: pairs of small groups are counted, and those with too few go. A larger group of equal signatures gives a star from its first
-   member, never all its pairs. Candidates are verified, verified links are contracted to components, and only members of different components
-   that share a large group are verified against each other in a second round.
+   equal signatures: pairs of small groups are counted, and those with too few go, what larger groups may hide being allowed for. Sets that these could hide
+   wholly are hot; they are indexed again with all their segments. A link of two sets shares at least (segments - H) of them, so hot pairs need as many
+   signatures in small groups as this leaves after each set's signatures in large groups. Only sets for which that leaves none, which
+   consist of what many share, are starred: a large group of such sets gives a star from its first one, never all its pairs.
+   Candidates are verified, links are contracted to components, and only such sets of different components that share a large
+   group are verified against each other in a second round.
 4. Verification: each class carries the parities of its tokens over a bitmap in proportion to its size. Two parity bitmaps differ in no more
    bits than the sets in tokens, so pairs whose bitmaps differ in more than H bits are no links. For the others, intersections of whole sets
    are computed from arrays joined to the pairs.
@@ -84,13 +87,7 @@ def bands_of(size: np.ndarray) -> np.ndarray:
 
 def slack(band: np.ndarray) -> np.ndarray:
     """Weight that sets of an anchor band index beyond H + 1: so much more of it is matched by any link."""
-    return np.where(band >= SMALL, 4 ** np.maximum(band, 0).astype(np.int64) // 32, 0)
-
-
-def matches_needed(band: int, deep: bool) -> int:
-    """Equal signatures that a link of this anchor band has at least; a matched neighbourhood may stand for a weight of two with one."""
-    extra = int(slack(np.array([band]))[0])
-    return 1 + extra // 2 if deep else 1 + extra
+    return np.where(band >= SMALL, 4 ** np.maximum(band, 0).astype(np.int64) // 16, 0)
 
 
 def _partners(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -179,43 +176,47 @@ def _describe(k: int, percent: int):
             tokens, bounds = shingle_sets(*utf8(part.column("text")), k)
             name, check = _names(tokens, bounds)
             size = np.diff(bounds)
-            none = pa.nulls(len(part), pa.int32())
-            sketch = [pa.nulls(len(part), pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(check), _parities(tokens, bounds).cast(pa.binary()), none, none, *sketch], names=COLUMNS)
             new = np.array([not (c in seen or seen.add(c)) for c in name.tolist()], bool)
-            for joins, band, _ in _partners(size, percent):
+            least = []
+            for joins, band, most in _partners(size, percent):
                 pick = joins & new
-                if not pick.any():
-                    continue
-                own, order, starts, row, bucket, segment = _groups(tokens, bounds, pick, band, None)
-                sign = mixed(np.add.reduceat(mixed(own[order]), starts) + segment)
-                cell = band[row] * BUCKETS + bucket
-                for b in np.unique(band[pick]).tolist():
-                    table = costs.setdefault(b, np.zeros((5, BUCKETS), np.int64))
-                    of = cell // BUCKETS == b
-                    for j in range(4):
-                        table[j] += np.bincount(bucket[of], (sign[of] >> np.uint64(j) & np.uint64(1)).astype(float) * 2 - 1, BUCKETS).astype(np.int64)
-                    table[4] += np.bincount(bucket[of], minlength=BUCKETS)
+                held = np.zeros(len(size), np.int64)
+                if pick.any():
+                    own, order, starts, row, bucket, segment = _groups(tokens, bounds, pick, band, None)
+                    held = np.bincount(row, minlength=len(size))
+                    sign = mixed(np.add.reduceat(mixed(own[order]), starts) + segment)
+                    cell = band[row] * BUCKETS + bucket
+                    for b in np.unique(band[pick]).tolist():
+                        table = costs.setdefault(b, np.zeros((5, BUCKETS), np.int64))
+                        of = cell // BUCKETS == b
+                        for j in range(4):
+                            table[j] += np.bincount(bucket[of], (sign[of] >> np.uint64(j) & np.uint64(1)).astype(float) * 2 - 1, BUCKETS).astype(np.int64)
+                        table[4] += np.bincount(bucket[of], minlength=BUCKETS)
+                least.append(pa.array(held - most, pa.int64(), mask=~pick))
+            none = pa.nulls(len(part), pa.int32())
+            sketch = [pa.nulls(len(part), pa.int64())] * 5
+            own_band = pa.array(bands_of(np.maximum(size, 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(name), pa.array(check), _parities(tokens, bounds).cast(pa.binary()), own_band, *least, none, none, *sketch], names=COLUMNS)
         for b, table in costs.items():
             at = np.flatnonzero(table[4])
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.nulls(len(at), pa.binary()), pa.array(np.full(len(at), b), pa.int32()), pa.array(at, pa.int32()), *(pa.array(c[at]) for c in table)], names=COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, none, pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int32()), none, none, pa.array(np.full(len(at), b), pa.int32()), pa.array(at, pa.int32()), *(pa.array(c[at]) for c in table)], names=COLUMNS)
 
     return run
 
 
-COLUMNS = ["id", "n", "class", "check", "parities", "band", "bucket", "c0", "c1", "c2", "c3", "f"]
+COLUMNS = ["id", "n", "class", "check", "parities", "own", "least_own", "least_below", "band", "bucket", "c0", "c1", "c2", "c3", "f"]
 
 
 def allocate(costs: DataFrame, percent: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By band: the rank of each bucket, cheapest first, and where one-deletion neighbourhoods are indexed. As many numbers as bands and buckets, however many documents there are."""
-    found = costs.groupBy("band", "bucket").agg(*(F.sum(c).alias(c) for c in COLUMNS[7:])).collect()
+    found = costs.groupBy("band", "bucket").agg(*(F.sum(c).alias(c) for c in COLUMNS[10:])).collect()
     out = {}
     for band in sorted({r["band"] for r in found}):
         moment, count = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for r in found:
             if r["band"] == band:
-                moment[r["bucket"]] = sum(r[c] ** 2 for c in COLUMNS[7:11]) / 4
+                moment[r["bucket"]] = sum(r[c] ** 2 for c in COLUMNS[10:14]) / 4
                 count[r["bucket"]] = r["f"]
         # Per signature: what a set's segment in this bucket meets on the average.
         price = np.where(count > 0, moment / np.maximum(count, 1), 0)
@@ -228,7 +229,8 @@ def allocate(costs: DataFrame, percent: int) -> dict[int, tuple[np.ndarray, np.n
     return out
 
 
-def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]], whole: bool = False):
+    """Signatures of the segments that sets index, or of all their segments, without neighbourhoods."""
     rank = {b: r for b, (r, _) in plan.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +253,7 @@ def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]]):
                 for b in np.unique(band[pick]).tolist():
                     of = band[row] == b
                     deep[of] = plan[b][1][bucket[of]] if b in plan else False
-                deep &= held >= 2
+                deep &= (held >= 2) & (not whole)
                 weight = 1 + deep
                 sums = np.cumsum(weight)
                 first = np.flatnonzero(np.diff(row, prepend=-1))
@@ -260,7 +262,7 @@ def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]]):
                 most = most + slack(band)
                 if (before[last] + weight[last] <= most[row[last]]).any():
                     raise ValueError("a set has too few segments for its size; raise SEGMENTS")
-                taken = before <= most[row]
+                taken = (before <= most[row]) | whole
                 salt = mixed(segment + (band[row].astype(np.uint64) << np.uint64(48)))
                 sign, owner = [mixed(total[taken] + salt[taken])], [row[taken]]
                 less = np.flatnonzero(taken & deep)
@@ -383,29 +385,54 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: i
     """
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    described = cut(slim.mapInArrow(_describe(k, percent), f"id {kind}, n long, class long, check long, parities binary, band int, bucket int, c0 long, c1 long, c2 long, c3 long, f long"))
-    rows = described.filter("band is null").select("id", "n", "class", "check", "parities")
+    described = cut(slim.mapInArrow(_describe(k, percent), f"id {kind}, n long, class long, check long, parities binary, own int, least_own long, least_below long, band int, bucket int, c0 long, c1 long, c2 long, c3 long, f long"))
+    rows = described.filter("band is null").select("id", "n", "class", "check", "parities", "own", "least_own", "least_below")
     plan = allocate(described.filter("band is not null"), percent)
     same = F.min("check") == F.max("check")
-    classes = rows.filter("n > 0 and id is not null").groupBy("class").agg(F.when(same, F.min("id")).otherwise(F.raise_error(F.lit("two sets have one name")).cast(kind)).alias("rep"), F.max("n").alias("n"), F.max("parities").alias("parities"))
+    classes = rows.filter("n > 0 and id is not null").groupBy("class").agg(F.when(same, F.min("id")).otherwise(F.raise_error(F.lit("two sets have one name")).cast(kind)).alias("rep"), F.max("n").alias("n"), F.max("parities").alias("parities"), *(F.max(c).alias(c) for c in ("own", "least_own", "least_below")))
     classes = cut(classes)
     signed = slim.filter("id is not null").mapInArrow(_sign(k, percent, plan), f"sign long, id {kind}")
     met = signed.repartition("sign").sortWithinPartitions("sign", "id").mapInArrow(_stars, f"sign long, a {kind}, b {kind}, band int")
-    needed = F.lit(1)
-    for band, (_, deep) in plan.items():
-        needed = F.when(F.col("band") == band, matches_needed(band, bool(deep.any()))).otherwise(needed)
-    met = cut(met.groupBy("sign", "a", "b", "band").count().filter(F.col("sign").isNotNull() | (F.col("count") >= needed)).select("sign", "a", "b"))
+    counted = lambda rows_: rows_.groupBy("sign", "a", "b", "band").count()
+    met = cut(counted(met))
     class_of = rows.filter("n > 0 and id is not null").select("id", "class").distinct()
-    members = met.join(class_of.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(class_of.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b")
-    members = cut(members.filter("ca <> cb").select("sign", F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    both = lambda pairs: pairs.join(class_of.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a").join(class_of.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b").filter("ca <> cb").drop("a", "b").withColumnsRenamed({"ca": "a", "cb": "b"})
+    # Of the weight beyond H that a link shares, each signature in a large group may take one, or two in bands with neighbourhoods.
+    spare, each = F.lit(0), F.lit(1)
+    for band, (_, deep) in plan.items():
+        spare = F.when(F.col("band") == band, int(slack(np.array([band]))[0])).otherwise(spare)
+        each = F.when(F.col("band") == band, 2 if deep.any() else 1).otherwise(each)
+    crowd = met.filter("sign is not null").select("sign", "band", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("id", "band").agg(F.count("*").alias("large"))
+    crowd = cut(crowd)
+    few_signs = met.filter("sign is null").drop("sign")
+    for end in ("a", "b"):
+        few_signs = few_signs.join(crowd.select(F.col("id").alias(end), "band", F.col("large").alias("large_" + end)), [end, "band"], "left")
+    lost = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    members = both(few_signs.filter(F.col("count") * each >= F.greatest(F.lit(1), 1 + spare - each * lost)).select("a", "b")).distinct()
+    hot = cut(crowd.filter(each * F.col("large") > spare).select("id").distinct())
+
+    few = hot.count() <= BROADCAST_IDS
+    whole = slim.join(F.broadcast(hot) if few else hot, "id").select("text", "id").mapInArrow(_sign(k, percent, plan, whole=True), f"sign long, id {kind}")
+    again = cut(counted(whole.repartition("sign").sortWithinPartitions("sign", "id").mapInArrow(_stars, f"sign long, a {kind}, b {kind}, band int")))
+    ends = again.filter("sign is not null").select("sign", "band", F.explode(F.array("a", "b")).alias("id")).distinct()
+    large = ends.join(class_of, "id").select("sign", "band", "class").distinct()
+    crowded = large.groupBy("class", "band").agg(F.count("*").alias("large"))
+    least = classes.select("class", F.explode(F.array(F.struct(F.col("own").alias("band"), F.col("least_own").alias("least")), F.struct((F.col("own") - 1).alias("band"), F.col("least_below").alias("least")))).alias("x")).select("class", "x.*").filter("least is not null")
+    alone = cut(least.join(crowded, ["class", "band"], "left").select("class", "band", (F.col("least") - F.coalesce("large", F.lit(0))).alias("alone")))
+    side = lambda c: alone.select(F.col("class").alias(c), "band", F.col("alone").alias("alone_" + c))
+    small = both(again.filter("sign is null").drop("sign")).join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+    members = members.unionAll(small.filter(F.col("count") >= F.greatest("alone_a", "alone_b")).select("a", "b"))
+    # Only sets whose links may lie in large groups alone are starred.
+    large = cut(large.join(alone.filter("alone <= 0").select("class", "band"), ["class", "band"], "left_semi").select("sign", "class"))
+    lead = large.groupBy("sign").agg(F.min("class").alias("a"))
+    members = members.unionAll(large.join(lead, "sign").select("a", F.col("class").alias("b")).filter("a <> b"))
     sized = classes.select("class", "n", "rep")
 
     verifier = _Verifier(slim, classes, k, percent)
     tried = verifier.fitting(members)
     links = verifier.links(tried)
     joined = components(links, "a", "b")
-    large = members.filter("sign is not null")
-    every = large.select("sign", F.col("a").alias("id")).unionAll(large.select("sign", F.col("b").alias("id"))).distinct()
+    every = large.select("sign", F.col("class").alias("id"))
     every = every.join(joined, "id", "left").select("sign", "id", F.coalesce("component", "id").alias("component"))
     mixed_signs = every.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sign")
     rest = cut(every.join(mixed_signs, "sign"))

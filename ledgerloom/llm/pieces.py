@@ -56,8 +56,7 @@ class Vocabulary:
     keys: np.ndarray
     first: np.ndarray
     second: np.ndarray
-    by_id: dict[int, str]
-    id_to_byte: dict[int, int]
+    raw: list[bytes | None]  # what a piece stands for, by id
 
     @classmethod
     def load(cls, path: str, sharpness: float = 1.0, offset: float = 10.0) -> Vocabulary:
@@ -90,8 +89,12 @@ class Vocabulary:
                 second[b] = k
             else:
                 raise ValueError("the hash table is too small for this vocabulary")
-        by_id = {int(i): t.replace("▁", " ") for i, t in zip(ids, texts)}
-        return cls(texts, ids, weights, byte_ids, byte_weight, int(size.max()), np.unique(flat), keys, first, second, by_id, {int(i): b for b, i in enumerate(byte_ids)})
+        raw: list[bytes | None] = [None] * (int(max(ids.max(), byte_ids.max())) + 1)
+        for b, i in enumerate(byte_ids):
+            raw[i] = bytes((b,))
+        for i, t in zip(ids, texts):
+            raw[i] = t.replace("▁", " ").encode("utf-8", "surrogatepass")
+        return cls(texts, ids, weights, byte_ids, byte_weight, int(size.max()), np.unique(flat), keys, first, second, raw)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of pieces by hash, or -1."""
@@ -107,11 +110,8 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation: marks are spaces, bytes are joined, and the mark in front goes."""
-        out: list[bytes] = []
-        for i in ids:
-            t = self.by_id.get(i)
-            out.append(t.encode("utf-8", "surrogatepass") if t is not None else bytes((self.id_to_byte[i],)))
-        s = b"".join(out).decode("utf-8", "surrogatepass")
+        raw = self.raw
+        s = b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")
         return s[1:] if ids else s
 
 

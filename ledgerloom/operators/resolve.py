@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import bag_overlap, contains, may_match, normalize_name, ratio_udf, score
@@ -88,17 +88,19 @@ def resolve_in_order(names: DataFrame, threshold: float = MERGE_THRESHOLD, compa
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         registry: dict[str, str] = {}
         out = []
-        for name, norm in pdf.sort_values(["seq", "name"])[["name", "norm"]].itertuples(index=False):
+        pdf = pdf.sort_values("place")
+        for name, norm in pdf[["name", "norm"]].itertuples(index=False):
             if not norm and not compat:
                 out.append(name)
                 continue
             if norm not in registry:
-                hit = next((c for n, c in registry.items() if score(norm, n) >= threshold), None)
+                hit = next((c for n, c in registry.items() if score(norm, n, 0 if compat else 1) >= threshold), None)
                 registry[norm] = name if hit is None else hit
             out.append(registry[norm])
-        return pd.DataFrame({"type": pdf.sort_values(["seq", "name"])["type"].values, "name": pdf.sort_values(["seq", "name"])["name"].values, "canonical": out})
+        return pd.DataFrame({"type": pdf["type"].values, "name": pdf["name"].values, "canonical": out})
 
-    return first.select("type", "name", "norm", "seq").groupBy("type").applyInPandas(one, "type string, name string, canonical string")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy("seq", "name")))
+    return placed.select("type", "name", "norm", "place").groupBy("type").applyInPandas(one, "type string, name string, canonical string")
 
 
 def resolve_by_links(names: DataFrame, threshold: float = MERGE_THRESHOLD, least: int = 1) -> DataFrame:

@@ -15,7 +15,7 @@ from tests.fixtures import pages
 def test_files_to_pages_to_graph(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.pdf").write_text("Contract C-1001 with Acme Systems refers to STD-9.\f \fsecond")
-    (tmp_path / "in" / "a.pdf").write_bytes(b"")
+    (tmp_path / "in" / "a.pdf").write_bytes(b"x")
     (tmp_path / "in" / "x.txt").write_text("no")
     found = files.discover(spark, str(tmp_path / "in"))
     assert [os.path.basename(r["path"]) for r in found.collect()] == ["a.pdf", "b.pdf"]

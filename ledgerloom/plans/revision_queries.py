@@ -166,3 +166,9 @@ def unresolved_aging(spark: S, sf: str) -> DataFrame:
 @query("shared_reference_pairs", "with d as (select distinct l_orderkey as c, l_partkey as d from lineitem where l_quantity >= 49) select a.c as left, b.c as right, count(*) as shared from d a join d b on a.d = b.d and a.c < b.c group by 1, 2")
 def shared_reference_pairs(spark: S, sf: str) -> DataFrame:
     return references.sharing_pairs(table(spark, sf, "lineitem").filter("l_quantity >= 49"), "l_orderkey", "l_partkey")
+
+
+@query("shared_reference_pairs_whole", "with d as (select distinct l_orderkey as c, l_partkey as d from lineitem) select a.c as left, b.c as right, count(*) as shared from d a join d b on a.d = b.d and a.c < b.c group by 1, 2")
+def shared_reference_pairs_whole(spark: S, sf: str) -> DataFrame:
+    """Over all lines; ``shared_reference_pairs`` has those of at least 49 pieces only."""
+    return references.sharing_pairs(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")

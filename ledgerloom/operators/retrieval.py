@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,51 @@ def topk(queries: DataFrame, chunks: DataFrame, k: int, on: Column | None = None
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
 
 
+def _scores(q: np.ndarray, rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Cosines of a query to n rows, given by length as (places, vectors, norms); not a number where lengths differ. Equal vectors get equal scores."""
+    out = np.full(n, np.nan)
+    if len(q) in rows:
+        at, x, norms = rows[len(q)]
+        with np.errstate(all="ignore"):
+            out[at] = (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * norms)
+    return out
+
+
+def topk_blocks(queries: DataFrame, chunks: DataFrame, k: int, same: tuple[str, str] | None = None, block: int = 1024, slice_: int = 4096) -> DataFrame:
+    """As ``topk`` for any number of queries: blocks of queries meet slices of chunks in a grid, nothing is broadcast. ids are unique.
+
+    A cell gives k rows of each query at most. ``same`` names a column of the queries and one of the chunks that must be equal. Scores that are
+    no number (vectors of different lengths, without length, or with gaps) come last, as null.
+    """
+    asked, label = same or ("query_id", "vec_id")
+    blocks, slices = -(-max(queries.count(), 1) // block), max(16, -(-max(chunks.count(), 1) // slice_))
+    spread = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    part = lambda key, n, c: F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(c)
+    q = queries.select("query_id", F.col(asked).alias("asked"), "q", part("query_id", blocks, "b")).select("*", spread(slices, "s"))
+    c = chunks.select("vec_id", F.col(label).alias("label"), "embedding", part("vec_id", slices, "s")).select("*", spread(blocks, "b"))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        vectors = [None if v is None else np.asarray(v, dtype="float64") for v in right["embedding"]]
+        rows = {}
+        for d in {len(v) for v in vectors if v is not None}:
+            at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == d])
+            x = np.stack([vectors[i] for i in at])
+            rows[d] = at, x, np.sqrt((x * x).sum(axis=1))
+        ids, labels, out = right["vec_id"].to_numpy(), right["label"], []
+        for i, own, v in zip(left["query_id"], left["asked"], left["q"]):
+            found = np.full(len(ids), np.nan) if v is None else _scores(np.asarray(v, dtype="float64"), rows, len(ids))
+            fit = np.flatnonzero((labels == own).to_numpy(dtype=bool)) if same else np.arange(len(ids))
+            best = fit[np.lexsort((ids[fit], np.where(np.isnan(found[fit]), np.inf, -found[fit])))][:k]
+            out.append(pd.DataFrame({"query_id": i, "vec_id": ids[best], "score": found[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["vec_id"]
+    local = q.groupBy("b", "s").cogroup(c.groupBy("b", "s")).applyInPandas(cell, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    local = local.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+
+
 def truncated(embedding: Column, k: int) -> Column:
     """The first k components, scaled to length 1."""
     head = F.transform(F.slice(embedding, 1, k), lambda x: x.cast("double"))

@@ -33,6 +33,25 @@ def vector_topk_all(spark: S, sf: str) -> DataFrame:
     return retrieval.topk(_queries(spark, sf), table(spark, sf, "embeddings"), 10).withColumn("score", F.round("score", 4))
 
 
+def _all_queries(spark: S, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 asks; so their number grows with the table."""
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"), F.col("embedding").alias("q"))
+
+
+_Q20 = "with q as (select label as asked, vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0), "
+
+
+@query("vector_topk_whole", _Q20 + _SCORED + """, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where label = asked) select query_id, vec_id, rank::integer as rank, round(score, 4) as score from r where rank <= 8""")
+def vector_topk_whole(spark: S, sf: str) -> DataFrame:
+    hits = retrieval.topk_blocks(_all_queries(spark, sf), table(spark, sf, "embeddings"), 8, ("asked", "label"))
+    return hits.withColumn("score", F.round("score", 4))
+
+
+@query("vector_topk_all_whole", _Q20 + _SCORED + """, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, vec_id, rank::integer as rank, round(score, 4) as score from r where rank <= 10""")
+def vector_topk_all_whole(spark: S, sf: str) -> DataFrame:
+    return retrieval.topk_blocks(_all_queries(spark, sf), table(spark, sf, "embeddings"), 10).withColumn("score", F.round("score", 4))
+
+
 @query("truncate_embedding", "with h as (select vec_id, embedding[1:16]::double[] as h from embeddings) select vec_id, round(h[1] / sqrt(list_dot_product(h, h)), 6) as first, round(h[16] / sqrt(list_dot_product(h, h)), 6) as last, len(h)::integer as dims from h")
 def truncate_embedding(spark: S, sf: str) -> DataFrame:
     t = table(spark, sf, "embeddings").select("vec_id", retrieval.truncated(F.col("embedding"), 16).alias("t"))
@@ -58,7 +77,16 @@ def fact_lookup(spark: S, sf: str) -> DataFrame:
 @query("hybrid_search", _Q + _SCORED + f""", r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s), {_FACTS}, per as (select o_custkey, count(*) as facts, max(o_orderkey) as cited from facts group by 1)
     select query_id, vec_id, rank::integer as rank, coalesce(facts, 0) as facts, cited as source_chunk_id from r left join per on o_custkey = vec_id where rank <= 8""")
 def hybrid_search(spark: S, sf: str) -> DataFrame:
-    hits = retrieval.topk(_queries(spark, sf), table(spark, sf, "embeddings"), 8)
+    return _with_facts(spark, sf, retrieval.topk(_queries(spark, sf), table(spark, sf, "embeddings"), 8))
+
+
+@query("hybrid_search_whole", _Q20 + _SCORED + f""", r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s), {_FACTS}, per as (select o_custkey, count(*) as facts, max(o_orderkey) as cited from facts group by 1)
+    select query_id, vec_id, rank::integer as rank, coalesce(facts, 0) as facts, cited as source_chunk_id from r left join per on o_custkey = vec_id where rank <= 8""")
+def hybrid_search_whole(spark: S, sf: str) -> DataFrame:
+    return _with_facts(spark, sf, retrieval.topk_blocks(_all_queries(spark, sf), table(spark, sf, "embeddings"), 8))
+
+
+def _with_facts(spark: S, sf: str, hits: DataFrame) -> DataFrame:
     per = _facts(spark, sf).groupBy(F.col("o_custkey").alias("vec_id")).agg(F.count("*").alias("facts"), F.max("contract_id").alias("source_chunk_id"))
     return retrieval.hybrid(hits, per, "vec_id").select("query_id", "vec_id", "rank", F.coalesce("facts", F.lit(0)).alias("facts"), "source_chunk_id")
 

@@ -4,11 +4,12 @@
    file gives its whole text as one segment.
 2. Segments and templates are sparse TF-IDF vectors over the templates' words: tf is 1 + ln(count), idf is ln(1 + S / (1 + df)) + 1 with
    the number of segments S and their frequencies df counted over the whole table. A segment's norm also counts its words outside the
-   templates, at the largest idf. The best cosine of at least ``threshold`` names the licence; ties go to the first name.
+   templates, at the largest idf. The best cosine of at least ``threshold`` names the licence; ties go to the first name. A licence file is
+   also compared as a whole with full texts of licences, ``license_texts``; these are alike (MIT and ISC 0.77), so at least ``FULL`` is asked.
 3. A licence file, or the index page of a directory, declares its licence for the directory. A file with no licence of its own takes over
    the declaration of its nearest ancestor directory: (host, directory) of each ancestor is joined with the declarations, the deepest wins.
 
-Everything is DataFrame operations; only the templates, a constant of this module, are broadcast.
+Everything is DataFrame operations; only the templates and the full texts, constants of this module, are broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +47,21 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: The least similarity of a licence file to a full text.
+FULL = 0.8
+
 CUE = r"(?i)licen[sc]e|copyright|public domain|redistribut|permission is hereby|spdx-license|all rights reserved"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
 INDEX_FILE = r"(?i)^(index\.[a-z]+|readme(\.[a-z]+)?)?$"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, full text), read on the driver."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
@@ -64,11 +76,11 @@ def segments(files: DataFrame, text: str, is_file: Column) -> DataFrame:
     return found.select("__id", "segment", F.regexp_extract_all(F.lower("s"), F.lit(WORD), 0).alias("words")).filter(F.size("words") > 0)
 
 
-def matches(seg: DataFrame, threshold: float) -> DataFrame:
-    """The best template of each __id: (__id, license, similarity)."""
+def matches(seg: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
+    """The best template of each __id: (__id, own_license, similarity)."""
     spark = seg.sparkSession
-    vocabulary = sorted({w for _, t in TEMPLATES for w in template_words(t)})
-    counts = [(i, name, w, 1 + math.log(n)) for i, (name, t) in enumerate(TEMPLATES) for w, n in Counter(template_words(t)).items()]
+    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
+    counts = [(i, name, w, 1 + math.log(n)) for i, (name, t) in enumerate(templates) for w, n in Counter(template_words(t)).items()]
     term = spark.createDataFrame(counts, "template int, license string, word string, t_tf double")
     words = seg.select("__id", "segment", F.explode("words").alias("w")).groupBy("__id", "segment", "w").agg((1 + F.log(F.count("*"))).alias("tf"))
     known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
@@ -78,12 +90,17 @@ def matches(seg: DataFrame, threshold: float) -> DataFrame:
     weights = dict(idf.collect())  # one number for each word of the templates
     largest = max(weights.values(), default=1.0)
     idf = spark.createDataFrame(list(weights.items()), "word string, idf double")
-    norms = {i: math.sqrt(sum((tf * weights[w]) ** 2 for j, _, w, tf in counts if j == i)) for i in range(len(TEMPLATES))}
+    norms = {i: math.sqrt(sum((tf * weights[w]) ** 2 for j, _, w, tf in counts if j == i)) for i in range(len(templates))}
     side = spark.createDataFrame([(i, name, w, tf * weights[w] / norms[i]) for i, name, w, tf in counts], "template int, license string, word string, t_weight double")
     weighed = words.join(F.broadcast(idf), words.w == idf.word, "left").select("__id", "segment", "word", (F.col("tf") * F.coalesce("idf", F.lit(largest))).alias("x"))
     norm = weighed.groupBy("__id", "segment").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.filter("word is not null").join(F.broadcast(side), "word").groupBy("__id", "segment", "template", "license").agg(F.sum(F.col("x") * F.col("t_weight")).alias("dot"))
     scored = dots.join(norm, ["__id", "segment"]).select("__id", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return best_of(scored)
+
+
+def best_of(scored: DataFrame) -> DataFrame:
+    """Of (__id, license, similarity) the most similar of each __id: (__id, own_license, similarity)."""
     best = scored.groupBy("__id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "license")).alias("b"))
     return best.select("__id", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("similarity"))
 
@@ -101,7 +118,10 @@ def scan(files: DataFrame, key: str, url: str, text: str, threshold: float = 0.6
     base = base.withColumn("directory", F.when((F.col("directory") == "") & (F.col("host") != ""), "/").otherwise(F.col("directory")))
     # An index page with a bare last step, as /a/b, and the directory /a/b/ are different places; only the latter is an index.
     is_file, is_index = F.col("__name").rlike(LICENCE_FILE), F.col("__name").rlike(INDEX_FILE)
-    found = matches(segments(base.filter("__id is not null"), "__text", is_file), threshold)
+    named = base.filter("__id is not null")
+    notices = matches(segments(named, "__text", is_file), threshold, TEMPLATES)
+    full = matches(segments(named.filter(is_file), "__text", F.lit(True)), FULL, full_texts())
+    found = best_of(notices.unionByName(full).withColumnRenamed("own_license", "license"))
     slim = base.select("__id", "host", "directory", F.when(is_file, 0).when(is_index, 1).alias("rank"))
     own = slim.join(found, "__id", "left")
     declared = own.filter("own_license is not null and rank is not null and host <> ''").groupBy("host", "directory").agg(F.min(F.struct("rank", (-F.col("similarity")).alias("less"), "own_license")).alias("d"))

@@ -131,6 +131,20 @@ def instance_sample(v: DataFrame, edges: DataFrame, n: int = INSTANCE_NODES) ->
     return inside.groupBy("source", "target").agg(F.max_by("relation", "seq").alias("label"))
 
 
+def sampled_graph(nodes: DataFrame, edges: DataFrame, n: int = INSTANCE_NODES) -> DataFrame:
+    """The n best connected vertices with the edges between them: (kind, source, target, label), kind node with its type as label or edge with a pair's last label.
+
+    A pair counts once for the degree, however many edges it has. Hubs often have no edge between them, so the vertices are rows too.
+    """
+    pairs = edges.groupBy("source", "target").agg(F.max_by("relation", "seq").alias("relation"), F.min("seq").alias("seq"))
+    top = keep(vertices(nodes, pairs).orderBy(F.desc("degree"), "seq", "name").limit(n))
+    row = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *c)
+    inside = pairs.join(F.broadcast(top.select(F.col("name").alias("source"))), "source", "left_semi").join(F.broadcast(top.select(F.col("name").alias("target"))), "target", "left_semi")
+    return row(top, "node", F.col("name").alias("source"), F.lit(None).cast("string").alias("target"), F.col("type").alias("label")).unionByName(
+        row(inside, "edge", "source", "target", F.col("relation").alias("label"))
+    )
+
+
 def type_colours(types: DataFrame, colours: int = 9) -> DataFrame:
     """A colour's number for each type, cycling over the sorted types; types are few."""
     return types.select("type").distinct().withColumn("colour", (F.row_number().over(Window.orderBy("type")) - 1) % colours)

@@ -96,6 +96,16 @@ def instance_sample(spark: S, sf: str) -> DataFrame:
     return graph.instance_sample(graph.vertices(n, located), located)
 
 
+@query("instance_sample_whole", G + """, pairs as (select source, target, arg_max(relation, seq) as label, min(seq) as seq from g_edges group by 1, 2), pair_ends as (select source as name, seq from pairs union all select target, seq from pairs),
+    degrees as (select name, count(*) as degree, min(seq) as seq from pair_ends group by 1),
+    top as (select coalesce(t.name, d.name) as name, coalesce(type, 'Unknown') as type from g_types t full join degrees d on t.name = d.name order by coalesce(degree, 0) desc, least(t.seq, d.seq), 1 limit 120)
+    select 'node' as kind, name as source, null::varchar as target, type as label from top
+    union all select 'edge', source, target, label from pairs where source in (select name from top) and target in (select name from top)""")
+def instance_sample_whole(spark: S, sf: str) -> DataFrame:
+    """Of the whole graph; ``instance_sample`` has the LOCATED_IN edges only."""
+    return graph.sampled_graph(*instance(spark, sf))
+
+
 @query("flatten_nodes", P + "select doc, page, pos::integer as pos, name, coalesce(type, 'Unknown') as type from p_nodes")
 def flatten_nodes(spark: S, sf: str) -> DataFrame:
     return graph.flatten_nodes(pages(spark, sf)).select("doc", "page", "pos", "name", "type")

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 
+from ledgerloom.operators import graph
 from ledgerloom.plans import catalog
 from tests.test_graph import union_find
 
@@ -50,3 +51,21 @@ def test_pairs_of_all_lines(spark, small):
     links = {(o, p) for o, _, p, *_ in lines}
     want = Counter((a, b) for (a, p), (b, q) in combinations(sorted(links), 2) if p == q)
     assert want and {(r["left"], r["right"]): r["shared"] for r in catalog.QUERIES["shared_reference_pairs_whole"](spark, d).collect()} == want
+
+
+def test_sample_of_all_relations(spark, small):
+    """Less than 120 names: the sample is the whole graph."""
+    d, lines, orders = small
+    got = [tuple(r) for r in catalog.QUERIES["instance_sample_whole"](spark, d).collect()]
+    edges = {(s, t): label for kind, s, t, label in got if kind == "edge"}
+    assert set(edges) == set(edges_of(lines, orders)) and set(edges.values()) == {"PARTY_TO", "HAS_DELIVERABLE", "FULFILLED_BY", "LOCATED_IN"}
+    assert {s for kind, s, *_ in got if kind == "node"} == {x for e in edges for x in e} | {"S3", "R Z"} and len(got) == len(edges) + len({x for e in edges for x in e}) + 2
+
+
+def test_sample_counts_a_pair_once(spark):
+    n = spark.createDataFrame([("a", "T", 0), ("h", "U", 1)], "name string, type string, seq int")
+    pairs = [("a", "b")] * 5 + [("h", "c"), ("d", "h"), ("h", "e"), ("h", "c")]
+    e = spark.createDataFrame([(s, f"r{i}", t, i + 2) for i, (s, t) in enumerate(pairs)], "source string, relation string, target string, seq int")
+    assert [tuple(r) for r in graph.sampled_graph(n, e, 1).collect()] == [("node", "h", None, "U")]
+    got = {tuple(r) for r in graph.sampled_graph(n, e, 4).collect()}
+    assert got == {("node", "h", None, "U"), ("node", "a", None, "T"), ("node", "b", None, "Unknown"), ("node", "c", None, "Unknown"), ("edge", "a", "b", "r4"), ("edge", "h", "c", "r8")}

@@ -448,13 +448,19 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: i
 
 
 def deduplicate(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one row of each group of linked rows: that with the least id, and of rows that repeat an id and a text one. Rows with a null id stay."""
-    found = near_duplicates(docs, key, text, k, percent)
-    gone = cut(found.filter("component_id <> id").select(F.col("id").alias(key)).distinct())
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
-    repeated = cut(found.filter("id is not null").groupBy(F.col("id").alias(key)).count().filter("count > 1").select(key))
+    """``docs`` with one row of each group of linked rows: that with the least id, and of rows that repeat this id one. Rows with a null id stay, and of
+    rows without shingles that repeat an id and a text one."""
+    repeated = cut(docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
     if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, key, "left_anti")
-    return single.unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key, text]))
+        found = near_duplicates(docs, key, text, k, percent)
+        gone = cut(found.filter("component_id <> id").select(F.col("id").alias(key)).distinct())
+        few = gone.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    # An id that repeats does not tell its rows apart, so rows are numbered.
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    named = numbered.filter(F.col(key).isNotNull())
+    found = near_duplicates(named, "__row", text, k, percent).select(F.col("id").alias("__row"), "component_id")
+    first = named.select("__row", F.col(key).alias("__key")).join(found, "__row").groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("x")).select("x.__row")
+    kept = named.join(cut(first), "__row", "left_semi").drop("__row")
+    once = kept.join(repeated, key, "left_semi").dropDuplicates([key, text])
+    return kept.join(repeated, key, "left_anti").unionByName(once).unionByName(numbered.filter(F.col(key).isNull()).drop("__row"))

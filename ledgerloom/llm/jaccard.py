@@ -176,7 +176,9 @@ def _describe(k: int, percent: int):
             tokens, bounds = shingle_sets(*utf8(part.column("text")), k)
             name, check = _names(tokens, bounds)
             size = np.diff(bounds)
-            new = np.array([not (c in seen or seen.add(c)) for c in name.tolist()], bool)
+            # Rows without an id are not signed, so they stand for no set.
+            named = np.asarray(part.column("id").is_valid())
+            new = np.array([ok and not (c in seen or seen.add(c)) for ok, c in zip(named.tolist(), name.tolist())], bool)
             least = []
             for joins, band, most in _partners(size, percent):
                 pick = joins & new
@@ -239,7 +241,9 @@ def _sign(k: int, percent: int, plan: dict[int, tuple[np.ndarray, np.ndarray]],
             tokens, bounds = shingle_sets(*utf8(part.column("text")), k)
             name, _ = _names(tokens, bounds)
             size = np.diff(bounds)
-            new = np.array([not (c in seen or seen.add(c)) for c in name.tolist()], bool)
+            # Rows without an id are not signed, so they stand for no set.
+            named = np.asarray(part.column("id").is_valid())
+            new = np.array([ok and not (c in seen or seen.add(c)) for ok, c in zip(named.tolist(), name.tolist())], bool)
             ids = part.column("id")
             for joins, band, most in _partners(size, percent):
                 pick = joins & new

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from ledgerloom.llm import jaccard
 
 
@@ -22,3 +24,19 @@ def test_deduplicate_ids_that_repeat(spark):
     threes = [x for x in got if x[0] == 3]
     assert len(threes) == 1 and threes[0][1] in {near(c, 1), near(c, 2)}
     assert [x for x in got if x[0] != 3] == sorted([(1, near(a, 1)), (2, near(b, 0)), (4, near(d, 1)), (6, ""), (6, ""), (0, near(a, 3))])
+
+
+def test_a_set_is_described_by_a_row_with_an_id():
+    text = " ".join(words(9))
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 7, 8], pa.int64()), pa.array([text] * 3)], names=["id", "text"])
+    rows = [r for b in jaccard._describe(5, 75)(iter([batch])) for r in b.to_pylist() if r["band"] is None]
+    assert [(r["id"], r["least_own"] is None) for r in rows] == [(None, True), (7, False), (8, True)]
+
+
+def test_null_ids_in_front_of_a_large_group(spark):
+    base = words(11, 400)
+    texts = [" ".join([*base[:-1], f"end{i}"]) for i in range(80)]
+    rows = [(None, t) for t in texts] + list(enumerate(texts))
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    got = {r["id"]: r["component_id"] for r in jaccard.near_duplicates(df, "k", "t").collect()}
+    assert got == {None: None} | dict.fromkeys(range(80), 0)

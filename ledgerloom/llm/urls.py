@@ -63,13 +63,19 @@ def resolved(base: Column, link: Column) -> Column:
     )
 
 
+def same_case(url: Column) -> Column:
+    """A URL with A-Z of its scheme and host in lower case, as rules compare hosts; unchanged without ://."""
+    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(F.translate(site, UPPER, LOWER), F.substring(url, F.length(site) + 1, F.length(url)))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) of canonical links and of redirects by meta refresh, as URLs without fragments."""
+    """(src, dst) of all canonical links and redirects by meta refresh, as URLs without fragments."""
     tag = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-    refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]+\s*[;,]\s*url\s*=\s*([^"'\s>]+)"""
+    refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]+\s*[;,]\s*url\s*=\s*["']?\s*([^"'\s>]+)"""
     page = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).filter(F.col("u").isNotNull() & F.col("h").isNotNull())
     page = page.filter(F.col("h").rlike(r"(?i)canonical|http-equiv"))
-    found = page.select("u", F.explode(F.array(F.regexp_extract("h", tag, 1), F.regexp_extract("h", refresh, 1))).alias("link")).filter("link <> ''")
+    found = page.select("u", F.explode(F.concat(*(F.regexp_extract_all("h", F.lit(x), 1) for x in (tag, refresh)))).alias("link")).filter("link <> ''")
     return found.select(F.regexp_replace("u", r"(?s)#.*$", "").alias("src"), resolved(F.col("u"), F.col("link")).alias("dst")).filter("dst is not null")
 
 
@@ -86,11 +92,13 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     if redirects is not None:
         clean = redirects.select(*(F.regexp_replace(c, r"(?s)#.*$", "").alias(c) for c in ("src", "dst")))
         edges = clean if edges is None else edges.unionByName(clean)
+    if edges is not None:
+        edges = edges.select(*(same_case(F.col(c)).alias(c) for c in ("src", "dst")))
     if edges is None:
         return judged.select(*kept, "host", "path", F.col("__rule.text").alias("rule"), F.coalesce("__rule.verdict", F.lit("allow")).alias("verdict"))
     alias = components(edges)
     own = alias.select("id", "component", rule_of(host_of(F.col("id")), path_of(F.col("id")), rules).verdict.alias("v"))
     group = own.groupBy("component").agg(F.when(F.max(F.col("v") == "allow"), "allow").when(F.max(F.col("v") == "block"), "block").otherwise("allow").alias("inherited"))
     moved = own.join(group, "component").filter("inherited = 'block'").select(F.col("id").alias("__url"), "inherited")
-    judged = judged.withColumn("__url", F.when(F.col(url).contains("://"), F.regexp_replace(url, r"(?s)#.*$", "")))
+    judged = judged.withColumn("__url", F.when(F.col(url).contains("://"), same_case(F.regexp_replace(url, r"(?s)#.*$", ""))))
     return judged.join(moved, "__url", "left").select(*kept, "host", "path", F.col("__rule.text").alias("rule"), F.coalesce("__rule.verdict", "inherited", F.lit("allow")).alias("verdict"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,34 +24,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint and the number of its rows, from one job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Connected components of an undirected graph as (id, component), component being the least id.
 
-    Any orderable id type. Each round maps a vertex to its least neighbour, doubles these steps until all end in local minima, and
+    Any orderable id type. Each round maps a vertex to its least neighbour, squares these steps until all end in local minima, and
     contracts the edges to these; steps grow with the logarithm of a chain's length. Only vertices with an edge to another vertex are returned; null ends are dropped.
     """
-    rest = cut(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
-    out = None
-    while not rest.isEmpty():
+    rest, left = counted_cut(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
+    out = rest.select(F.col("lo").alias("id"), F.col("hi").alias("component")).limit(0)
+    first = True
+    while left:
         near = rest.select(F.col("lo").alias("id"), F.col("hi").alias("to")).unionAll(rest.select(F.col("hi").alias("id"), F.col("lo").alias("to")))
-        step = cut(near.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("up")))
-        jump = step.withColumn("moved", F.lit(True))
-        while not jump.filter("moved").isEmpty():
-            above = jump.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            jump = cut(jump.join(above, "up").select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
-        if out is None:
-            out = jump.select("id", F.col("up").alias("component"))
+        top = _tops(cut(near.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("up"))))
+        if first:
+            out, first = top.select("id", F.col("up").alias("component")), False
         else:
-            out = cut(out.join(jump.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")))
-        lo = jump.select(F.col("id").alias("lo"), F.col("up").alias("lo2"))
-        hi = jump.select(F.col("id").alias("hi"), F.col("up").alias("hi2"))
+            out = cut(out.join(top.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+        lo = top.select(F.col("id").alias("lo"), F.col("up").alias("lo2"))
+        hi = top.select(F.col("id").alias("hi"), F.col("up").alias("hi2"))
         moved = rest.join(lo, "lo").join(hi, "hi").filter("lo2 <> hi2")
-        rest = cut(moved.select(F.least("lo2", "hi2").alias("lo"), F.greatest("lo2", "hi2").alias("hi")).distinct())
-    if out is None:
-        out = rest.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
+        rest, left = counted_cut(moved.select(F.least("lo2", "hi2").alias("lo"), F.greatest("lo2", "hi2").alias("hi")).distinct())
     return out
 
 
+def _tops(step: DataFrame) -> DataFrame:
+    """Where steps (id, up) from vertex to vertex end, those that stay at one place."""
+    while True:
+        seen = Observation()
+        twice = step.join(step.select(F.col("id").alias("up"), F.col("up").alias("then")), "up").select("id", "up", "then")
+        step = cut(twice.observe(seen, F.count(F.when(F.col("then") != F.col("up"), 1)).alias("moved")).select("id", F.col("then").alias("up")))
+        if not seen.get["moved"]:
+            return step
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key counts as the text of a null-free empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts == part

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from ledgerloom.llm import jaccard
@@ -26,11 +27,11 @@ def test_deduplicate_ids_that_repeat(spark):
     assert [x for x in got if x[0] != 3] == sorted([(1, near(a, 1)), (2, near(b, 0)), (4, near(d, 1)), (6, ""), (6, ""), (0, near(a, 3))])
 
 
-def test_a_set_is_described_by_a_row_with_an_id():
+def test_a_set_is_signed_by_a_row_with_an_id():
     text = " ".join(words(9))
     batch = pa.RecordBatch.from_arrays([pa.array([None, 7, 8], pa.int64()), pa.array([text] * 3)], names=["id", "text"])
-    rows = [r for b in jaccard._describe(5, 75)(iter([batch])) for r in b.to_pylist() if r["band"] is None]
-    assert [(r["id"], r["least_own"] is None) for r in rows] == [(None, True), (7, False), (8, True)]
+    names = np.zeros((3, 2), np.uint64)
+    assert jaccard._first_seen(batch, names, set()).tolist() == [False, True, False]
 
 
 def test_null_ids_in_front_of_a_large_group(spark):

@@ -64,14 +64,75 @@ def test_jaccard_against_all_pairs(spark):
         assert got == brute_jaccard(docs)
 
 
+def found_components(df):
+    return {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, "k", "t").collect()}
+
+
 def test_jaccard_with_neighbourhoods(spark, monkeypatch):
-    """One-deletion neighbourhoods everywhere, and few segments, find the same links."""
+    """One-deletion neighbourhoods in all bands, and few segments, find the same links."""
     docs = noisy_docs(5)
     plain = jaccard.allocate
-    monkeypatch.setattr(jaccard, "allocate", lambda c, p: {b: (r, np.ones_like(d)) for b, (r, d) in plain(c, p).items()})
-    df = spark.createDataFrame(docs, "k long, t string")
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, "k", "t").collect()}
-    assert got == brute_jaccard(docs)
+
+    def deep(cells, percent):
+        plan = plain(cells, percent)
+        plan.deep[:] = True
+        return plan
+
+    monkeypatch.setattr(jaccard, "allocate", deep)
+    assert found_components(spark.createDataFrame(docs, "k long, t string")) == brute_jaccard(docs)
+
+
+def test_neighbourhoods_of_few_segments(monkeypatch):
+    """Two sets that differ in at most H tokens index a common signature, whatever the segments and the order."""
+    r = np.random.default_rng(2)
+    for shift in (60, 58, 56, 0):
+        monkeypatch.setattr(jaccard, "_SHIFT", np.full(jaccard.BANDS, shift, np.uint64))
+        plan = jaccard.Plan(r.integers(0, 5, (jaccard.BANDS, jaccard.CELLS)).astype(np.uint8), np.full(jaccard.BANDS, 256), np.ones(jaccard.BANDS, bool), np.full(jaccard.BANDS, 2))
+        for _ in range(60):
+            n = int(r.integers(1, 200))
+            base = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            sets = []
+            for _ in range(2):
+                lost = base[r.random(n) > r.choice([0.0, 0.03, 0.1])]
+                sets.append(np.unique(np.append(lost, r.integers(0, 1 << 63, int(r.integers(0, n // 12 + 1)), dtype=np.uint64))))
+            x, y = sets
+            common = len(np.intersect1d(x, y))
+            if not common or 100 * common < 75 * (len(x) + len(y) - common):
+                continue
+            tokens, bounds = np.concatenate(sets), np.array([0, len(x), len(x) + len(y)])
+            h = (len(x) + len(y)) * 25 // 175
+            rows = [jaccard._indexed(tokens, bounds, j, b, m, plan) for j, b, m in jaccard._partners(np.diff(bounds), 75)]
+            every = [{}, {}]
+            for row, sign, place, _ in rows:
+                for i in (0, 1):
+                    for s, p in zip(sign[row == i].tolist(), place[row == i].tolist()):
+                        every[i][s] = min(p, every[i].get(s, p))
+            assert any(every[0][s] + every[1][s] <= h for s in every[0].keys() & every[1].keys())
+
+
+@pytest.mark.parametrize("limits", [{"GROUP": 2}, {"GROUP": 2, "BLOCK": 8}, {"HOT": 1}, {"BROADCAST_IDS": 0}])
+def test_jaccard_beyond_its_limits(spark, monkeypatch, limits):
+    """Large groups, several blocks, hot signatures and joins without broadcasts find the same links."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    if "HOT" in limits:
+        plain = jaccard.allocate
+
+        def hot(cells, percent):
+            plan = plain(cells, percent)
+            plan.hot[:] = 20
+            return plan
+
+        monkeypatch.setattr(jaccard, "allocate", hot)
+    r = random.Random(3)
+    docs = noisy_docs(4, 90)
+    base = [f"w{r.randrange(60)}" for _ in range(200)]
+    for i in range(60):
+        c = list(base)
+        for _ in range(r.randint(0, 14)):
+            c[r.randrange(len(c))] = f"x{r.randrange(400)}"
+        docs.append((2000 + i, " ".join(c)))
+    assert found_components(spark.createDataFrame(docs, "k long, t string").repartition(3)) == brute_jaccard(docs)
 
 
 def test_jaccard_of_awkward_rows(spark):
@@ -86,20 +147,24 @@ def test_jaccard_of_awkward_rows(spark):
 
 
 def test_groups_of_signatures():
+    """Packed and unpacked, small groups give all their pairs and large ones their members."""
     r = np.random.default_rng(1)
-    for _ in range(200):
+    for _ in range(100):
         n = int(r.integers(1, 200))
-        sign, ids = np.sort(r.integers(0, int(r.integers(1, 12)), n) * 32 + 3), r.integers(0, 40, n)
-        o = np.lexsort((ids, sign))
-        sign, ids = sign[o], ids[o]
-        cuts = np.sort(r.integers(0, n + 1, int(r.integers(0, 12))))
-        batches = [pa.RecordBatch.from_arrays([pa.array(sign[a:b]), pa.array(ids[a:b])], names=["sign", "id"]) for a, b in zip([0, *cuts], [*cuts, n])]
-        got = collections.Counter(tuple(q.values()) for x in jaccard._stars(iter(batches)) for q in x.to_pylist())
-        want = collections.Counter()
+        sign, name = r.integers(0, int(r.integers(1, 12)), n) << 40 | 3, r.integers(0, 40, n) << 41
+        size, place = np.full(n, 5 * 2048), r.integers(0, 3, n)
+        blobs = [jaccard._pack(sign[c].astype(np.uint64), name[c].astype(np.uint64), size[c].astype(np.uint16), place[c].astype(np.uint16)) for c in np.array_split(np.arange(n), 3)]
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 3), pa.array([False] * 3), pa.array(blobs, pa.binary())], names=["part", "hot", "blob"])
+        rows = [tuple(q.values()) for x in jaccard._groups(75)(iter([batch])) for q in x.to_pylist()]
+        pairs, members = set(), collections.Counter()
         for s in set(sign.tolist()):
-            g = sorted(set(ids[sign == s].tolist()))
-            want.update(((None, a, b, 3) for a, b in itertools.combinations(g, 2)) if len(g) <= jaccard.GROUP else ((s, g[0], b, 3) for b in g[1:]))
-        assert got == want
+            g = sorted(set(name[sign == s].tolist()))
+            first = {a: int(place[(sign == s) & (name == a)].min()) for a in g}
+            if len(g) <= jaccard.GROUP:
+                pairs.update((a, b) for a, b in itertools.combinations(g, 2) if first[a] + first[b] <= 9)
+            else:
+                members.update((s, a, None, 5 * 2048, first[a]) for a in g)
+        assert {x[1:3] for x in rows if x[0] is None} == pairs and collections.Counter(x for x in rows if x[0] is not None) == members
 
 
 def test_components_of_chains(spark):

@@ -17,7 +17,7 @@ depends on the segment alone, they are shared if the subsets differ by one token
    bits than the sets in tokens, so pairs whose bitmaps differ in more than H bits are no links. For the others, intersections of whole sets
    are computed from arrays joined to the pairs. Links are contracted to components.
 5. Large groups with members of several components are read again, in blocks: members of different components whose places, sizes
-   and bitmaps allow a link are verified. A link within a component changes nothing, so no others are needed.
+   and bitmaps allow a link are verified, but not again where they have met in a large group just before. A link within a component changes nothing, so no others are needed.
 
 Pairs are anchored in the band of the smaller set; a set takes part in the band below its own too if a partner may lie there. Sizes below 64
 have a segment for each token. Signatures so frequent that one task should not gather them are listed without being gathered.
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import LOWER, by_bytes, components, counted_cut, cut, mixed, range_hashes, runs, utf8, utf8_like, word_hashes
@@ -414,6 +414,10 @@ def _close(percent: int):
     return run
 
 
+#: A class's large groups before one.
+_EARLIER = ["before1", "before2", "before3", "before4"]
+
+
 def _across(percent: int):
     """Of rows sorted by (sign, x, y), a cell of two blocks of a group: pairs of classes of different components that may be linked.
 
@@ -441,6 +445,7 @@ def _cell_pairs(cell: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
     n, place, block = (cell.column(c).to_numpy() for c in ("n", "place", "block"))
     component = np.unique(np.array(cell.column("component").to_pylist(), dtype="S16"), return_inverse=True)[1] if len(cell) else n
     one = cell.column("x")[0] == cell.column("y")[0]
+    earlier = [cell.column(c).to_numpy() for c in _EARLIER]
     maps = utf8_like(cell.column("parities"))
     at = np.arange(len(cell))
     for lo in range(0, len(cell), 256):
@@ -449,6 +454,12 @@ def _cell_pairs(cell: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
         may &= (place[i] + place <= most_apart(n[i], n, percent)) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * percent)
         a, b = np.nonzero(may)
         a += lo
+        if len(a):
+            again = np.zeros(len(a), bool)
+            for x in earlier:
+                for y in earlier:
+                    again |= (x[a] == y[b]) & (x[a] >= 0)
+            a, b = a[~again], b[~again]
         keep = pa.array(_alike([maps, maps], (a, b), most_apart(n[a], n[b], percent)))
         name = cell.column("class")
         if len(a):
@@ -515,9 +526,12 @@ class _Join:
         every = large.join(self.classes.select("name", "class"), "name").groupBy("sign", "class").agg(F.min("place").alias("place"))
         every = cut(every.join(joined.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")))
         several = every.groupBy("sign").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sign", "many")
+        # The large groups that a class is in just before: who meets there need not be compared here again.
+        ordered = Window.partitionBy("class").orderBy("place", "sign")
+        dealt = every.join(several, "sign").withColumns({c: F.coalesce(F.lag("sign", i + 1).over(ordered), F.lit(-1)) for i, c in enumerate(_EARLIER)})
         blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-        dealt = every.join(several, "sign").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("sign", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "component", "place")
+        dealt = dealt.withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("sign", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "component", "place", *_EARLIER)
         dealt = dealt.join(self.classes.select("class", "n", "parities"), "class").repartition("sign", "x", "y").sortWithinPartitions("sign", "x", "y")
         return dealt.mapInArrow(_across(self.percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -115,8 +115,8 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -137,8 +137,8 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     """64-bit polynomial hashes of values[start:end]; equal ranges hash alike wherever they stand."""
     n = len(values)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers(_MULTIPLIER, n), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values * powers(MULTIPLIER, n), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_bytes, mixed, range_hashes
+from ledgerloom.llm.common import INVERSE, MULTIPLIER, by_bytes, mixed, powers, range_hashes
 
 #: Stands for the space mark; no character has this code.
 MARK = 0x110000
@@ -58,6 +58,11 @@ class Vocabulary:
     second: np.ndarray
     raw: list[bytes | None]  # what a piece stands for, by id
 
+    def __post_init__(self):
+        self.raw_size = np.array([len(x or b"") for x in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_data = np.frombuffer(b"".join(x or b"" for x in self.raw), np.uint8)
+
     @classmethod
     def load(cls, path: str, sharpness: float = 1.0, offset: float = 10.0) -> Vocabulary:
         import sentencepiece
@@ -80,6 +85,10 @@ class Vocabulary:
         size = np.array([len(c) for c in codes])
         flat, ends = np.concatenate(codes), np.cumsum(size)
         keys = range_hashes(_spread(flat), ends - size, ends)
+        # Proper prefixes of pieces that are no pieces follow the pieces, so that a search can end where no piece goes on.
+        at = np.arange(len(flat)) - np.repeat(ends - size, size)
+        prefixes = range_hashes(_spread(flat), np.repeat(ends - size, size), np.arange(len(flat)) + 1)[at < np.repeat(size, size) - 1]
+        keys = np.concatenate((keys, np.setdiff1d(prefixes, keys)))
         first, second = np.full(1 << _BITS, -1, np.int32), np.full(1 << _BITS, -1, np.int32)
         mask = np.uint64((1 << _BITS) - 1)
         for k, (a, b) in enumerate(zip((keys & mask).tolist(), ((keys >> np.uint64(32)) & mask).tolist())):
@@ -114,92 +123,103 @@ class Vocabulary:
         s = b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")
         return s[1:] if ids else s
 
+    def spelled(self, segmentations: list[np.ndarray]) -> list[bytes]:
+        """What each of these segmentations decodes to, as UTF-8."""
+        ids = np.concatenate([np.zeros(0, np.int32), *segmentations])
+        size = self.raw_size[ids]
+        ends = np.cumsum(size)
+        data = self.raw_data[np.repeat(self.raw_start[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(x) for x in segmentations])))].tolist()
+        return [data[a + (a < b) : b] for a, b in zip(bounds, bounds[1:])]
+
 
 class Lattices:
-    """Lattices of distinct units, laid one after the other: node numbers run through all of them."""
+    """Lattices of distinct units: node numbers run through all of them."""
 
     def __init__(self, v: Vocabulary, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Units are codes[start:end], not empty."""
         size = ends - starts
-        base = np.cumsum(size + 1) - (size + 1)  # a unit of n characters has n + 1 nodes
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         flat = codes[np.repeat(starts, size) + at]
         left = np.repeat(size, size) - at  # characters from here to the unit's end
-        node = np.repeat(base, size) + at
+        # Nodes are numbered by depth, and within a depth by unit, the longest units first.
+        longest = int(size.max(initial=0))
+        reach = np.cumsum(np.bincount(size, minlength=longest + 1)[::-1])[::-1]  # units of at least so many characters
+        base = np.concatenate(([0], np.cumsum(reach)))
+        place = np.empty(len(size), np.int64)
+        place[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        unit = np.repeat(place, size)
+        nodes = int(base[-1])
         spread = _spread(flat)
-        place = np.arange(len(flat))
-        e_from, e_to, e_piece, e_weight = [], [], [], []
-        live = place
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread * powers(MULTIPLIER, len(flat)))))
+        inverse = powers(INVERSE, len(flat) + 1)
+        pieces = len(v.ids)
+        found = []
+        live = np.arange(len(flat))
         for n in range(1, v.longest + 1):
             live = live[left[live] >= n]
             if not len(live):
                 break
-            k = v.find(range_hashes(spread, live, live + n))
+            k = v.find(mixed((sums[live + n] - sums[live]) * inverse[live] + np.uint64(n)))
             if n == 1:
-                none = live[k < 0]
+                none = live[(k < 0) | (k >= pieces)]
                 c = flat[none]
                 width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
                 width = np.where(c == MARK, 3, width)
-                e_from.append(node[none])
-                e_to.append(node[none] + 1)
-                e_piece.append(-1 - c)
-                e_weight.append(width * v.byte_weight)
-            hit = live[k >= 0]
-            k = k[k >= 0]
-            e_from.append(node[hit])
-            e_to.append(node[hit] + n)
-            e_piece.append(k.astype(np.int64))
-            e_weight.append(v.weights[k])
-        # The longest first: of a node's edges these are the likeliest, so a walk rarely looks further.
-        a, b, piece, w = (np.concatenate(x[::-1]) for x in (e_from, e_to, e_piece, e_weight))
-        order = np.argsort(b, kind="stable")
-        self.source, self.target, self.piece, w = a[order], b[order], piece[order], w[order]
-        self.first = np.searchsorted(self.target, np.arange(int((size + 1).sum()) + 1))  # edges of a node by its number
-        self.begin, self.end = base, base + size
-        depth = np.empty(len(self.first) - 1, np.int64)
-        depth[np.repeat(base, size + 1) + (np.arange((size + 1).sum()) - np.repeat(base, size + 1))] = np.arange((size + 1).sum()) - np.repeat(base, size + 1)
-        alpha = np.zeros(len(depth))
-        p = np.empty(len(w))
-        deep = depth[self.target].astype(np.int16 if size.max(initial=0) < 1 << 15 else np.int64)
-        by_depth = np.argsort(deep, kind="stable")
-        bounds = np.searchsorted(deep[by_depth], np.arange(1, int(size.max(initial=0)) + 2))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            e = by_depth[lo:hi]
-            x = alpha[self.source[e]] + w[e]
-            t = self.target[e]
-            new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            many = np.diff(np.append(new, len(e)))
+                found.append((base[at[none]] + unit[none], base[at[none] + 1] + unit[none], -1 - c, width * v.byte_weight))
+            hit = (k >= 0) & (k < pieces)
+            here, piece = live[hit], k[hit]
+            found.append((base[at[here]] + unit[here], base[at[here] + n] + unit[here], piece, v.weights[piece]))
+            live = live[k >= 0]
+        # By target, and the longest first: of a node's edges these are the likeliest, so a walk rarely looks further.
+        many = sum((np.bincount(t, minlength=nodes) for _, t, _, _ in found), np.zeros(nodes, np.int64))
+        self.first = np.concatenate(([0], np.cumsum(many)))  # edges of a node by its number
+        total = int(self.first[-1])
+        self.source, self.target, self.piece, w = np.empty(total, np.int32), np.repeat(np.arange(nodes, dtype=np.int32), many), np.empty(total, np.int32), np.empty(total)
+        free = self.first[:-1].copy()
+        for e_from, e_to, piece, weight in reversed(found):
+            to = free[e_to]
+            free[e_to] += 1
+            self.source[to], self.piece[to], w[to] = e_from, piece, weight
+        self.end = base[size] + place
+        self.starts = len(size)  # the first nodes are units' starts
+        alpha, self.log_p = np.zeros(nodes), np.empty(total)
+        for d in range(1, longest + 1):
+            lo, hi = int(self.first[base[d]]), int(self.first[base[d + 1]])
+            new = self.first[base[d] : base[d + 1]] - lo
+            x = alpha[self.source[lo:hi]] + w[lo:hi]
+            times = many[base[d] : base[d + 1]]
             top = np.maximum.reduceat(x, new)
-            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), new))
-            alpha[t[new]] = total
-            p[e] = np.exp(x - np.repeat(total, many))
-        self.p = p
+            alpha[base[d] : base[d + 1]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, times)), new))
+            self.log_p[lo:hi] = x - np.repeat(alpha[base[d] : base[d + 1]], times)
+        self.p = p = np.exp(self.log_p)
         sums = np.cumsum(p)
         before = np.concatenate(([0.0], sums))[self.first[self.target]]
         # Within a node the shares rise to 1; the last edge takes what rounding leaves.
-        key = self.target + np.minimum(sums - before, 1.0)
-        key[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = self.target[self.first[1:][self.first[1:] > self.first[:-1]] - 1] + 1.0
-        self.key = key
-        self.start_of = np.zeros(len(depth), bool)
-        self.start_of[base] = True
+        self.share = np.minimum(sums - before, 1.0)
+        self.share[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = 1.0
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(np.maximum(1 - p, 0))
+        self.ids = np.where(self.piece >= 0, v.ids[np.maximum(self.piece, 0)], -1)
 
     def walk(self, nodes: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node back to its unit's start: (which walk, edge), in the order of walks and steps. seed: one 64-bit value for each walk."""
         which, edges = [], []
-        live = np.flatnonzero(~self.start_of[nodes])
+        live = np.flatnonzero(nodes >= self.starts)
         at = nodes[live]
         step = 0
         while len(live):
-            u = at + _uniform(seed[live], step)
-            e, last = self.first[at], self.first[at + 1] - 1
-            on = np.flatnonzero((self.key[e] <= u) & (e < last))
+            u = _uniform(seed[live], step)
+            e = self.first[at]
+            # The last edge's share is 1, over any u.
+            on = np.flatnonzero(self.share[e] <= u)
             while len(on):
                 e[on] += 1
-                on = on[(self.key[e[on]] <= u[on]) & (e[on] < last[on])]
+                on = on[self.share[e[on]] <= u[on]]
             which.append(live)
             edges.append(e)
             at = self.source[e]
-            on = ~self.start_of[at]
+            on = at >= self.starts
             live, at = live[on], at[on]
             step += 1
         if not which:
@@ -224,11 +244,15 @@ def _less(bound: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
 @dataclass
 class Sample:
     rank: int
-    ids: list[int]
+    pieces: np.ndarray
     log_prob: float
     value: float
     inclusion: float
 
+    @property
+    def ids(self) -> list[int]:
+        return self.pieces.tolist()
+
 
 class _Leaves:
     """One segmentation of each of some texts: decisions in order with their subtrees' bounds."""
@@ -240,8 +264,7 @@ class _Leaves:
         self.total = sums[bounds[1:]] - sums[bounds[:-1]]
         before = sums[:-1] - np.repeat(sums[bounds[:-1]], size)
         at = np.arange(len(edge)) - np.repeat(bounds[:-1], size)
-        with np.errstate(divide="ignore"):
-            mass = before + np.log(np.maximum(1 - lattices.p[edge], 0))
+        mass = before + lattices.log_rest[edge]
         for k, edges in banned.items():
             left = 1 - lattices.p[[*edges, int(edge[bounds[k] + branch[k]])]].sum()
             mass[bounds[k] + branch[k]] = before[bounds[k] + branch[k]] + (np.log(left) if left > 1e-12 else -np.inf)
@@ -264,7 +287,7 @@ class _Leaves:
 def segment(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed: int = 0) -> list[list[Sample]]:
     """Up to k distinct sampled segmentations of each text, from the largest perturbed log-probability on. An empty text has one, without pieces."""
     n = len(texts)
-    out: list[list[Sample]] = [[] if t else [Sample(1, [], 0.0, 0.0, 1.0)] for t in texts]
+    out: list[list[Sample]] = [[] if t else [Sample(1, np.zeros(0, np.int32), 0.0, 0.0, 1.0)] for t in texts]
     used = [i for i, t in enumerate(texts) if t]
     if not used:
         return out
@@ -290,8 +313,7 @@ def segment(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed: int
     def walk_seed(rank: int, docs: np.ndarray, place: np.ndarray) -> np.ndarray:
         return mixed(seeds[docs] + np.array([rank], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + mixed(place.astype(np.uint64) + np.uint64(77))
 
-    with np.errstate(divide="ignore"):
-        logs = np.log(lattices.p)
+    logs = lattices.log_p
     which, edge = lattices.walk(lattices.end[unit], walk_seed(1, doc_of, inner))
     everyone = np.arange(len(used))
     first = -np.log(-np.log(_uniform(mixed(seeds + np.uint64(5)), 1)))
@@ -338,8 +360,7 @@ def segment(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed: int
         leaves.append(_Leaves(go, bounds, new_unit, new_edge, logs[new_edge], value[go], np.array(branch), banned, lattices, mixed(seeds[go] + np.uint64(9 + rank))))
         for j, d in enumerate(go.tolist()):
             found[d].append((len(leaves) - 1, j))
-    ids = np.where(lattices.piece >= 0, v.ids[np.maximum(lattices.piece, 0)], -1)
-    ordered = [_forward(x, lattices, ids, v) for x in leaves]
+    ordered = [_forward(x, lattices, v) for x in leaves]
     for d, i in enumerate(used):
         for rank, (leaf, row) in enumerate(found[d], 1):
             x = leaves[leaf]
@@ -349,33 +370,26 @@ def segment(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed: int
     return out
 
 
-def _forward(x: _Leaves, lattices: Lattices, ids: np.ndarray, v: Vocabulary) -> list[list[int]]:
+def _forward(x: _Leaves, lattices: Lattices, v: Vocabulary) -> list[np.ndarray]:
     """Piece ids of each segmentation in the order of the text: a unit's decisions run from its end."""
     begin = np.flatnonzero(np.diff(x.unit, prepend=-1))
     end = np.append(begin[1:], len(x.unit))
     edge = x.edge[np.repeat(begin + end - 1, end - begin) - np.arange(len(x.edge))]
-    got = ids[edge].tolist()
-    lacking = np.flatnonzero(ids[edge] < 0)
-    spelled: dict[int, list[int]] = {}
-    for at in lacking.tolist():
-        code = int(-1 - lattices.piece[edge[at]])
-        raw = (" " if code == MARK else chr(code)).encode("utf-8", "surrogatepass")
-        spelled[at] = v.byte_ids[list(raw)].tolist()
-    out = []
-    where = np.searchsorted(lacking, x.bounds)
-    for j in range(len(x.text)):
-        lo, hi = int(x.bounds[j]), int(x.bounds[j + 1])
-        holes = lacking[where[j] : where[j + 1]].tolist()
-        if not holes:
-            out.append(got[lo:hi])
-            continue
-        row, at = [], lo
-        for h in holes:
-            row += got[at:h]
-            row += spelled[h]
-            at = h + 1
-        out.append(row + got[at:hi])
-    return out
+    ids, bounds = lattices.ids[edge], x.bounds
+    lacking = np.flatnonzero(ids < 0)
+    if len(lacking):
+        codes, which = np.unique(-1 - lattices.piece[edge[lacking]], return_inverse=True)
+        spelled = [v.byte_ids[list((" " if c == MARK else chr(c)).encode("utf-8", "surrogatepass"))] for c in codes.tolist()]
+        many = np.ones(len(ids), np.int64)
+        many[lacking] = np.array([len(y) for y in spelled])[which]
+        place = np.concatenate(([0], np.cumsum(many)))
+        ids = np.repeat(ids, many)
+        for j, y in enumerate(spelled):
+            at = place[lacking[which == j]]
+            for d, i in enumerate(y.tolist()):
+                ids[at + d] = i
+        bounds = place[bounds]
+    return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def _encode(v: Vocabulary, k: int, seed: int, digest: bool):
@@ -390,15 +404,15 @@ def _encode(v: Vocabulary, k: int, seed: int, digest: bool):
                 columns = {
                     "id": part.column("id").take(take),
                     "rank": pa.array([s.rank for _, s in flat], pa.int32()),
-                    "n_pieces": pa.array([len(s.ids) for _, s in flat], pa.int64()),
+                    "n_pieces": pa.array([len(s.pieces) for _, s in flat], pa.int64()),
                     "log_prob": pa.array([s.log_prob for _, s in flat], pa.float64()),
                     "inclusion": pa.array([s.inclusion for _, s in flat], pa.float64()),
                 }
                 if digest:
-                    columns["ids_sha256"] = pa.array([hashlib.sha256(np.array(s.ids, "<i4").tobytes()).hexdigest() for _, s in flat], pa.string())
-                    columns["lossless"] = pa.array([v.decode(s.ids) == texts[i] for i, s in flat], pa.bool_())
+                    columns["ids_sha256"] = pa.array([hashlib.sha256(s.pieces.astype("<i4").tobytes()).hexdigest() for _, s in flat], pa.string())
+                    columns["lossless"] = pa.array([x == texts[i].encode("utf-8", "surrogatepass") for x, (i, _) in zip(v.spelled([s.pieces for _, s in flat]), flat)], pa.bool_())
                 else:
-                    columns["ids"] = pa.array([s.ids for _, s in flat], pa.list_(pa.int32()))
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s.pieces) for _, s in flat]))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(s.pieces for _, s in flat)]), pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run

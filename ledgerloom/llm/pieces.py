@@ -59,6 +59,8 @@ class Vocabulary:
     raw: list[bytes | None]  # what a piece stands for, by id
 
     def __post_init__(self):
+        self.is_known = np.zeros(MARK + 1, bool)
+        self.is_known[self.known] = True
         self.raw_size = np.array([len(x or b"") for x in self.raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw_data = np.frombuffer(b"".join(x or b"" for x in self.raw), np.uint8)
@@ -235,10 +237,9 @@ def _uniform(seed: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def _less(bound: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A Gumbel variable at ``mass`` given that it is no more than ``bound``."""
-    with np.errstate(divide="ignore"):
-        return np.where(np.isneginf(mass), -np.inf, -np.logaddexp(-bound, np.log(-np.log(u)) - mass))
+def _truncated(bound: np.ndarray, gumbel: np.ndarray) -> np.ndarray:
+    """A Gumbel variable, given that it is no more than ``bound``, from the variable without this condition; the order of variables with one bound stays."""
+    return np.where(np.isneginf(gumbel), -np.inf, -np.logaddexp(-bound, -gumbel))
 
 
 @dataclass
@@ -268,7 +269,7 @@ class _Leaves:
         for k, edges in banned.items():
             left = 1 - lattices.p[[*edges, int(edge[bounds[k] + branch[k]])]].sum()
             mass[bounds[k] + branch[k]] = before[bounds[k] + branch[k]] + (np.log(left) if left > 1e-12 else -np.inf)
-        self.best = _less(np.repeat(value, size), mass, _uniform(np.repeat(seed, size), at))
+        self.best = mass - np.log(-np.log(_uniform(np.repeat(seed, size), at)))  # not yet truncated at the walk's value
         self.best[at < np.repeat(branch, size)] = -np.inf  # these belong to the parents
 
     def tops(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +278,7 @@ class _Leaves:
         filled = np.flatnonzero(np.diff(self.bounds) > 0)
         if len(filled):
             top = np.maximum.reduceat(self.best, self.bounds[filled])
-            value[self.text[filled]] = top
+            value[self.text[filled]] = _truncated(self.value[filled], top)
             of = np.repeat(np.arange(len(filled)), np.diff(self.bounds)[filled])
             hit = np.flatnonzero(self.best == top[of])
             place[self.text[filled[of[hit[::-1]]]]] = hit[::-1]
@@ -298,7 +299,7 @@ def segment(v: Vocabulary, texts: list[str], keys: list[str], k: int, seed: int
     doc_start = np.zeros(len(codes), bool)
     doc_start[np.cumsum(size) - size] = True
     mark = codes == MARK
-    alone = ~mark & (v.known[np.minimum(np.searchsorted(v.known, codes), len(v.known) - 1)] != codes)
+    alone = ~mark & ~v.is_known[codes]
     cut = doc_start.copy()
     cut[1:] |= (mark[1:] & ~mark[:-1]) | alone[1:] | alone[:-1]
     starts = np.flatnonzero(cut)

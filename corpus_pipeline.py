@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import fmindex, jaccard, langid, pieces, pii
-from ledgerloom.llm.common import held_out, read_table
+from ledgerloom.llm.common import held_out, read_table, shared_folder
 from ledgerloom.llm.queries import tokenizer_path
 
 #: SQL cannot express trained models and sampling; tests compare each stage with a brute-force version.
@@ -46,7 +45,8 @@ def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts have changed, so a column of their lengths is made anew."""
+    return docs if "n_chars" not in docs.columns else docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,10 +60,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each stage's rows are written as Parquet in the shared folder and read again."""
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    shared = kept.get() if kept.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

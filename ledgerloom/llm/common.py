@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,18 @@ def _tops(step: DataFrame) -> DataFrame:
             return step
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives back what memory a task has freed, as Python workers outlive tasks and the stages of a pipeline add up."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key counts as the text of a null-free empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts == part

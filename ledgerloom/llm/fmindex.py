@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, cut, runs, utf8, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, cut, runs, tidy, utf8, word_hashes
 
 #: Bytes of the words of this contract: all but the ASCII characters that are neither letters nor digits.
 _CODE = np.arange(256)
@@ -300,7 +300,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str, it
             part, size = [], 0
     passes += [phrases(part, window)] if part else []
     schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + (", name long, items array<string>, spans array<struct<start:long,end:long>>" if keep_spans else "")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *([F.xxhash64(text).alias("name")] if keep_spans else [])).mapInArrow(_hits(passes, keep_spans, shard_words), schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *([F.xxhash64(text).alias("name")] if keep_spans else [])).mapInArrow(tidy(_hits(passes, keep_spans, shard_words)), schema)
 
 
 def without_spans(docs: DataFrame, found: DataFrame, key: str, text: str, most: float) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, components, counted_cut, cut, mixed, range_hashes, runs, utf8, utf8_like, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, components, counted_cut, cut, mixed, range_hashes, runs, tidy, utf8, utf8_like, word_hashes
 
 SLICE, ROWS = 1 << 21, 2048
 #: Sizes from 4 ** SMALL on have SEGMENTS * 4 ** band segments.
@@ -482,7 +482,7 @@ class _Join:
         self.k, self.percent = k, percent
         self.kind = docs.schema[key].dataType.simpleString()
         self.slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        described = cut(self.slim.mapInArrow(_describe(k, percent), f"id {self.kind}, n long, class binary, name long, parities binary, band int, chunk int, cells binary"))
+        described = cut(self.slim.mapInArrow(tidy(_describe(k, percent)), f"id {self.kind}, n long, class binary, name long, parities binary, band int, chunk int, cells binary"))
         self.rows = described.filter("band is null").select("id", "n", "class")
         self.plan = allocate(described.filter("band is not null"), percent)
         sets = described.filter("band is null and n > 0 and id is not null")
@@ -491,8 +491,8 @@ class _Join:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """Pairs of names (a, b), which may repeat, and members (sign, name, size, place) of large groups."""
         parts = int(self.slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        signed = self.slim.filter("id is not null").mapInArrow(_sign(self.k, self.percent, self.plan, parts), "part int, hot boolean, blob binary")
-        met = cut(signed.repartitionById(parts, "part").mapInArrow(_groups(self.percent), "sign long, a long, b long, size int, place int"))
+        signed = self.slim.filter("id is not null").mapInArrow(tidy(_sign(self.k, self.percent, self.plan, parts)), "part int, hot boolean, blob binary")
+        met = cut(signed.repartitionById(parts, "part").mapInArrow(tidy(_groups(self.percent)), "sign long, a long, b long, size int, place int"))
         large = met.filter("sign is not null").select("sign", F.col("a").alias("name"), "size", "place")
         lead = large.groupBy("sign").agg(F.min(F.struct("place", "name", "size")).alias("lead"))
         upper = lambda c: F.pow(F.lit(2.0), (F.col(c) + 1) / 2048) + 1e-6
@@ -507,7 +507,7 @@ class _Join:
         p = pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
         side = lambda c, by: self.classes.select(F.col("name").alias(by), F.col("class").alias(c), F.col("n").alias("n" + c), F.col("parities").alias("x" + c))
         p = p.join(side("a", "p"), "p").join(side("b", "q"), "q").filter((F.col("p") != F.col("q")) | (F.col("a") < F.col("b")))
-        return p.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_close(self.percent), "a binary, b binary")
+        return p.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(tidy(_close(self.percent)), "a binary, b binary")
 
     def links(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """Those of the pairs whose sets are similar enough, and their number."""
@@ -515,7 +515,7 @@ class _Join:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted, n = counted_cut(wanted.join(self.classes, "class").select(F.col("rep").alias("id")).distinct())
         texts = self.slim.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id").select("text")
-        sets = cut(texts.mapInArrow(_arrays(self.k), "class binary, tokens array<long>").dropDuplicates(["class"]))
+        sets = cut(texts.mapInArrow(tidy(_arrays(self.k)), "class binary, tokens array<long>").dropDuplicates(["class"]))
         a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
@@ -533,7 +533,7 @@ class _Join:
         dealt = dealt.withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select("sign", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", "component", "place", *_EARLIER)
         dealt = dealt.join(self.classes.select("class", "n", "parities"), "class").repartition("sign", "x", "y").sortWithinPartitions("sign", "x", "y")
-        return dealt.mapInArrow(_across(self.percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return dealt.mapInArrow(tidy(_across(self.percent)), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 75) -> DataFrame:

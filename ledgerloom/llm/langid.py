@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, runs, utf8
+from ledgerloom.llm.common import LOWER, by_bytes, runs, tidy, utf8
 
 #: Letters keep their (lower-case) byte, everything else is 32.
 _LETTER = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
@@ -78,7 +78,7 @@ def _count(bits: int):
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 16, smoothing: float = 0.5, penalty: float = 4.0) -> Model:
     """Learn from all rows with a language. Languages are ordered by name; a table without any gives a model that predicts ``und``."""
     given = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sums = given.mapInArrow(_count(bits), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    sums = given.mapInArrow(tidy(_count(bits)), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     counts = np.zeros((len(languages), 1 << bits))
     at = {name: i for i, name in enumerate(languages)}
@@ -175,4 +175,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "__text")] if keep is None else keep
     fields = docs.select(*keep).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, lang_score double"
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(_predict(model), schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(tidy(_predict(model)), schema)

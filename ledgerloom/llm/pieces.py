@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import INVERSE, MULTIPLIER, by_bytes, mixed, powers, range_hashes
+from ledgerloom.llm.common import INVERSE, MULTIPLIER, by_bytes, mixed, powers, range_hashes, tidy
 
 #: Stands for the space mark; no character has this code.
 MARK = 0x110000
-SLICE = 1 << 20
+SLICE = 3 << 18
 _BITS = 21
 
 
@@ -179,7 +179,8 @@ class Lattices:
         total = int(self.first[-1])
         self.source, self.target, self.piece, w = np.empty(total, np.int32), np.repeat(np.arange(nodes, dtype=np.int32), many), np.empty(total, np.int32), np.empty(total)
         free = self.first[:-1].copy()
-        for e_from, e_to, piece, weight in reversed(found):
+        while found:
+            e_from, e_to, piece, weight = found.pop()
             to = free[e_to]
             free[e_to] += 1
             self.source[to], self.piece[to], w[to] = e_from, piece, weight
@@ -195,13 +196,11 @@ class Lattices:
             alpha[base[d] : base[d + 1]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, times)), new))
             self.log_p[lo:hi] = x - np.repeat(alpha[base[d] : base[d + 1]], times)
         self.p = p = np.exp(self.log_p)
+        del w, alpha, free, spread, inverse
         sums = np.cumsum(p)
-        before = np.concatenate(([0.0], sums))[self.first[self.target]]
         # Within a node the shares rise to 1; the last edge takes what rounding leaves.
-        self.share = np.minimum(sums - before, 1.0)
-        self.share[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = 1.0
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log(np.maximum(1 - p, 0))
+        self.share = np.minimum(sums - np.concatenate(([0.0], sums))[np.repeat(self.first[:-1], many)], 1.0)
+        self.share[self.first[1:][many > 0] - 1] = 1.0
         self.ids = np.where(self.piece >= 0, v.ids[np.maximum(self.piece, 0)], -1)
 
     def walk(self, nodes: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +264,8 @@ class _Leaves:
         self.total = sums[bounds[1:]] - sums[bounds[:-1]]
         before = sums[:-1] - np.repeat(sums[bounds[:-1]], size)
         at = np.arange(len(edge)) - np.repeat(bounds[:-1], size)
-        mass = before + lattices.log_rest[edge]
+        with np.errstate(divide="ignore"):
+            mass = before + np.log(np.maximum(1 - lattices.p[edge], 0))
         for k, edges in banned.items():
             left = 1 - lattices.p[[*edges, int(edge[bounds[k] + branch[k]])]].sum()
             mass[bounds[k] + branch[k]] = before[bounds[k] + branch[k]] + (np.log(left) if left > 1e-12 else -np.inf)
@@ -428,7 +428,7 @@ def encode(docs: DataFrame, key: str, text: str, model: str, k: int = 2, seed: i
     kind = docs.schema[key].dataType.simpleString()
     v = Vocabulary.load(model, **weights)
     schema = f"id {kind}, rank int, n_pieces long, log_prob double, inclusion double, " + ("ids_sha256 string, lossless boolean" if digest else "ids array<int>")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_encode(v, k, seed, digest), schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(_encode(v, k, seed, digest)), schema)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:

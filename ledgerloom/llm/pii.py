@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_bytes
+from ledgerloom.llm.common import by_bytes, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Outside, then beginning and inside of each kind.
@@ -424,12 +424,12 @@ def scan(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base_sha256 string, spans string"
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).mapInArrow(_scan((trained(**options),), False), schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).mapInArrow(tidy(_scan((trained(**options),), False)), schema)
 
 
 def redact(docs: DataFrame, text: str, **options) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets; null texts stay null."""
     rest = [c for c in docs.columns if c != text]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", `__text` string"
-    done = docs.select(*rest, F.col(text).alias("__text")).mapInArrow(_scan((trained(**options),), True), schema)
+    done = docs.select(*rest, F.col(text).alias("__text")).mapInArrow(tidy(_scan((trained(**options),), True)), schema)
     return done.withColumnRenamed("__text", text).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, runs, utf8, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, runs, tidy, utf8, word_hashes
 
 FEATURES = ["log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "marks", "pipes", "high_bytes", "log_lines", "line_length", "distinct_words", "repeated_lines", "top_word", "capital_words", "word_spread", "repeated_pairs"]
 SLICE = 1 << 21
@@ -86,7 +86,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{c} double" for c in FEATURES)
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_extract, schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(_extract), schema)
 
 
 @dataclass

@@ -77,6 +77,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, as squares of very large or small components are out of a double's range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -199,13 +201,13 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, threshold: float
     Other columns are ignored, and an empty table gives an empty result.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    v = F.col(vector).cast("array<float>") if "double" not in vectors.schema[vector].dataType.simpleString() else F.col(vector)
-    element = "double" if "double" in vectors.schema[vector].dataType.simpleString() else "float"
-    base = vectors.select(F.col(key).alias("id"), v.alias("v"))
+    # Floats are doubles without loss; anything else is read as doubles.
+    element = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    base = vectors.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{element}>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     sound = F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     plain = F.transform("v", lambda e: e + F.lit(0.0).cast(element))  # -0.0 to 0.0
-    base = base.withColumn("v", F.when(sound, plain)).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1)))
+    base = base.withColumn("v", F.when(sound, plain)).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     names = base.select("id", F.when(F.col("v").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("v").isNotNull(), F.col("h2")).alias("h2"))
     classes = cut(base.filter("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v")))
     c, tables, need = calibrate(classes.count(), threshold, miss)

@@ -256,6 +256,20 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(df.limit(0), "k", "v").count() == 0
 
 
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(1, [1e200] * 4), (2, [1.0000001e200] * 4), (3, [1e-200] * 4), (4, [1.1e-200] * 4), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [1e300, 1e-300, 0.0, 0.0]), (7, [0.0, 0.0, 1.0, 0.0])]
+    got = {q["id"]: (q["n_links"], q["component_id"]) for q in vectors.near_duplicates(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v").collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_vectors_of_other_numbers(spark):
+    rows = [(1, [100_000_001, 0]), (2, [100_000_000, 0]), (3, [0, 7]), (4, None), (5, [0, 0])]
+    df = spark.createDataFrame(rows, "k long, v array<int>")
+    for kind in ("int", "decimal(20,3)"):
+        got = {q["id"]: q["component_id"] for q in vectors.near_duplicates(df.selectExpr("k", f"cast(v as array<{kind}>) v"), "k", "v").collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(6)
     x = (r.normal(size=64) + r.normal(size=(200, 64)) * 0.05).tolist()

@@ -49,7 +49,7 @@ def vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hubs(v: DataFrame, n: int = HUBS) -> DataFrame:
-    return v.orderBy(F.desc("degree"), "seq").limit(n).select("name", "type", "degree")
+    return v.orderBy(F.desc("degree"), "seq", "name").limit(n).select("name", "type", "degree")
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,10 +66,13 @@ def relation_counts(edges: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder, or one of our own where none is set."""
+    """Checkpoint in the folder that the cluster names in spark.checkpoint.dir; in one of our own only where none is set and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graph-"))
     return df.checkpoint()
 
 
@@ -126,7 +129,7 @@ def schema_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def instance_sample(v: DataFrame, edges: DataFrame, n: int = INSTANCE_NODES) -> DataFrame:
     """The subgraph that the n best connected vertices induce: (source, target, label), the last label of a pair wins."""
-    top = v.orderBy(F.desc("degree"), "seq").limit(n).select("name")
+    top = v.orderBy(F.desc("degree"), "seq", "name").limit(n).select("name")
     inside = edges.join(F.broadcast(top.withColumnRenamed("name", "source")), "source", "left_semi").join(F.broadcast(top.withColumnRenamed("name", "target")), "target", "left_semi")
     return inside.groupBy("source", "target").agg(F.max_by("relation", "seq").alias("label"))
 

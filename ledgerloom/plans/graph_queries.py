@@ -23,7 +23,7 @@ def _vertices(spark: S, sf: str) -> DataFrame:
     return graph.vertices(*instance(spark, sf))
 
 
-@query("hub_nodes", G + "select name, type, degree from g_vertices order by degree desc, seq limit 30")
+@query("hub_nodes", G + "select name, type, degree from g_vertices order by degree desc, seq, name limit 30")
 def hub_nodes(spark: S, sf: str) -> DataFrame:
     return graph.hubs(_vertices(spark, sf))
 

@@ -235,9 +235,6 @@ def allocate(cells: DataFrame, percent: int) -> Plan:
     return Plan(levels, hot, deep, middle)
 
 
-_ENTRY = [("sign", "<u4", "<u2"), ("name", "<u4", "<u2"), ("size", "<u2"), ("place", "<u2")]
-
-
 def _pack(sign: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray) -> bytes:
     """Signatures and names as 48 bits, sizes and places as 16."""
     low = np.uint64(0xFFFFFFFF)

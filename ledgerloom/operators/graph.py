@@ -119,12 +119,19 @@ def component_stats(c: DataFrame) -> DataFrame:
 
 
 def schema_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between types: (source_type, target_type, label), a pair's last label wins. Types are looked up in the edge's page, the last declaration wins."""
+    """Edges between types: (source_type, target_type, label), a pair's last label wins. Types are looked up in the edge's page, the last declaration wins.
+
+    For flat rows of which the pages are gone; ``page_schema_edges`` needs no join.
+    """
     types = nodes.groupBy("doc", "page", "name").agg(F.max_by("type", "seq").alias("type"))
     side = lambda end, out: types.select("doc", "page", F.col("name").alias(end), F.col("type").alias(out))
     e = edges.join(side("source", "s"), ["doc", "page", "source"], "left").join(side("target", "t"), ["doc", "page", "target"], "left")
-    e = e.select(F.coalesce("s", F.lit("Unknown")).alias("source_type"), F.coalesce("t", F.lit("Unknown")).alias("target_type"), "relation", "seq")
-    return e.groupBy("source_type", "target_type").agg(F.max_by("relation", "seq").alias("label"))
+    return page_schema_edges(e.select(F.coalesce("s", F.lit("Unknown")).alias("src_last"), F.coalesce("t", F.lit("Unknown")).alias("tgt_last"), "relation", "seq"))
+
+
+def page_schema_edges(edges: DataFrame) -> DataFrame:
+    """The same of ``ingest.page_edges``, which carry the types of their ends."""
+    return edges.groupBy(F.col("src_last").alias("source_type"), F.col("tgt_last").alias("target_type")).agg(F.max_by("relation", "seq").alias("label"))
 
 
 def instance_sample(v: DataFrame, edges: DataFrame, n: int = INSTANCE_NODES) -> DataFrame:

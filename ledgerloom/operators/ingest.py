@@ -8,26 +8,34 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import compact_props, key_of, present, property_name, relation_name
 from ledgerloom.sources.schemas import CONFIDENCE_THRESHOLD, DEFAULT_CONFIDENCE, EDGE_TYPES, METADATA_FIELDS, NODE_TYPES, OVERLAY_FIELDS
 
+EDGE_KEY = ["src_label", "src_name", "rel_type", "tgt_label", "tgt_name"]
 
-def first_types(nodes: DataFrame) -> DataFrame:
-    """(doc, page, name, type): within a page a name's first declaration decides."""
-    return nodes.groupBy("doc", "page", "name").agg(F.min_by("type", "seq").alias("type"))
 
+def page_edges(pages: DataFrame) -> DataFrame:
+    """As ``graph.flatten_edges``, with what each edge's own page says of its ends, looked up in the page's arrays: no row leaves its task.
 
-def typed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with the types of their ends, looked up in their own page; undeclared ends are Unknown."""
-    t = first_types(nodes)
-    side = lambda end, out: t.select("doc", "page", F.col("name").alias(end), F.col("type").alias(out))
-    e = edges.join(side("source", "src_label"), ["doc", "page", "source"], "left").join(side("target", "tgt_label"), ["doc", "page", "target"], "left")
-    return e.withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in ("src_label", "tgt_label")})
-
-
-def rewritten(edges: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Edges with ``src_name`` and ``tgt_name`` from (doc, page, name, canonical), raw names where a page declares none; a name's last mapping in a page wins."""
-    m = canonical.groupBy("doc", "page", "name").agg(F.max_by("canonical", "seq").alias("canonical"))
-    side = lambda end, out: m.select("doc", "page", F.col("name").alias(end), F.col("canonical").alias(out))
-    e = edges.join(side("source", "cs"), ["doc", "page", "source"], "left").join(side("target", "ct"), ["doc", "page", "target"], "left")
-    return e.withColumn("src_name", F.coalesce("cs", "source")).withColumn("tgt_name", F.coalesce("ct", "target")).drop("cs", "ct")
+    ``src_label`` and ``tgt_label`` are the types of a name's first declaration in the page, ``src_last`` and ``tgt_last`` those of its last one;
+    an end that the page does not declare is Unknown, as is one without a type. Nodes may carry a field ``canonical``: then ``src_name`` and
+    ``tgt_name`` are the last canonical name that the page gives, else the names as they stand.
+    """
+    resolved = any(f.name == "canonical" for f in pages.schema["nodes"].dataType.elementType.fields)
+    declared = F.filter("nodes", lambda n: n["name"] != "")
+    lists = {"names": lambda n: n["name"], "types": lambda n: F.coalesce(n["type"], F.lit("Unknown")), "canonical": lambda n: n["canonical" if resolved else "name"]}
+    listed = pages.select("doc", "page", "edges", declared.alias("declared")).select("doc", "page", "edges", *(F.transform("declared", f).alias(c) for c, f in lists.items()))
+    both = listed.select("*", *(F.reverse(c).alias(f"{c}_back") for c in lists))
+    at = lambda names, end: F.array_position(names, end).cast("int") - 1
+    look = lambda values, names, end, other: F.coalesce(F.get(values, at(names, end)), other)
+
+    def found(e: Column) -> Column:
+        out = [e["source"].alias("source"), F.coalesce(e["relation"], F.lit("UNKNOWN")).alias("relation"), e["target"].alias("target"), e["properties"].alias("properties")]
+        for end, side in (("source", "src"), ("target", "tgt")):
+            out.append(look(F.col("types"), F.col("names"), e[end], F.lit("Unknown")).alias(f"{side}_label"))
+            out.append(look(F.col("types_back"), F.col("names_back"), e[end], F.lit("Unknown")).alias(f"{side}_last"))
+            out.append(look(F.col("canonical_back"), F.col("names_back"), e[end], e[end]).alias(f"{side}_name"))
+        return F.struct(*out)
+
+    rows = both.select("doc", "page", F.posexplode(F.transform("edges", found)).alias("pos", "e")).select("doc", "page", "pos", "e.*")
+    return rows.filter("source <> '' and target <> ''").withColumn("seq", F.struct("doc", "page", F.lit(1).alias("kind"), "pos"))
 
 
 def confidence_of(value: Column) -> Column:
@@ -45,6 +53,11 @@ def node_confidence(source: Column, props: Column) -> Column:
     return F.when(source == "photographed", 0.70).otherwise(0.90) + F.when(F.coalesce(F.size(props), F.lit(0)) > 0, 0.05).otherwise(0.0)
 
 
+def _as_map(k: str, v: str) -> Column:
+    """The keys and values of a group as a map in the order of the keys; null keys are none."""
+    return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(k).isNotNull(), F.struct(k, v)))))
+
+
 def merged_nodes(nodes: DataFrame, label: str = "label", name: str = "canonical_name", props: str = "props") -> DataFrame:
     """Upsert by (label, name): of each property the last non-empty value, as (label, canonical_name, props, element_id).
 
@@ -53,8 +66,7 @@ def merged_nodes(nodes: DataFrame, label: str = "label", name: str = "canonical_
     keys = [F.col(label).alias("label"), F.col(name).alias("canonical_name")]
     each = nodes.select(*keys, F.explode_outer(compact_props(F.col(props))).alias("k", "v"), "seq")
     last = each.groupBy("label", "canonical_name", "k").agg(F.max_by("v", "seq").alias("v"))
-    entries = F.filter(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))), lambda x: x.isNotNull())
-    return last.groupBy("label", "canonical_name").agg(F.map_from_entries(F.array_sort(entries)).alias("props")).withColumn("element_id", key_of(F.col("label"), F.col("canonical_name")))
+    return last.groupBy("label", "canonical_name").agg(_as_map("k", "v").alias("props")).withColumn("element_id", key_of(F.col("label"), F.col("canonical_name")))
 
 
 def merged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -65,11 +77,31 @@ def merged_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.select(F.col("label"), F.col("canonical_name")).distinct()
     side = lambda p: known.select(F.col("label").alias(f"{p}_label"), F.col("canonical_name").alias(f"{p}_name"))
     e = edges.join(side("src"), ["src_label", "src_name"]).join(side("tgt"), ["tgt_label", "tgt_name"])
-    key = ["src_label", "src_name", "rel_type", "tgt_label", "tgt_name"]
-    scored = e.groupBy(*key).agg(F.max_by(F.round("confidence", 3), "seq").alias("confidence"))
-    each = e.select(*key, F.explode(compact_props(F.col("props"))).alias("k", "v"), "seq").groupBy(*key, "k").agg(F.max_by("v", "seq").alias("v"))
-    props = each.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
-    return scored.join(props, key, "left").withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
+    each = e.select(*EDGE_KEY, F.explode_outer(compact_props(F.col("props"))).alias("k", "v"), F.struct("seq", F.round("confidence", 3).alias("c")).alias("last"))
+    last = each.groupBy(*EDGE_KEY, "k").agg(F.max_by("v", "last.seq").alias("v"), F.max("last").alias("last"))
+    return last.groupBy(*EDGE_KEY).agg(F.max("last")["c"].alias("confidence"), _as_map("k", "v").alias("props"))
+
+
+def _upserted(stored: DataFrame, batch: DataFrame, key: list[str], *single: str) -> DataFrame:
+    """Rows of both sides, one of each key at most in either: the batch's ``props`` go over the stored ones, its non-null ``single`` columns too."""
+    side = lambda df, new: df.select(*key, F.struct(F.lit(new).alias("new"), "props", *single).alias("r"))
+    g = side(stored, False).unionByName(side(batch, True)).groupBy(*key).agg(F.min_by("r", "r.new").alias("a"), F.max_by("r", "r.new").alias("b"))
+    none = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce("a.props", none), F.coalesce("b.props", none)
+    props = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return g.select(*key, props.alias("props"), *(F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in single))
+
+
+def upserted_nodes(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """A stored snapshot (label, canonical_name, props, element_id) with a batch of merged nodes: absent keys come in, of a known key the batch's non-empty properties replace the stored ones and the others stay."""
+    b = batch.withColumn("props", compact_props(F.col("props")))
+    return _upserted(stored, b, ["label", "canonical_name"], "element_id")
+
+
+def upserted_edges(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The same for edges by their ends and relation; the batch's confidence replaces the stored one."""
+    b = batch.withColumn("props", compact_props(F.col("props")))
+    return _upserted(stored, b, EDGE_KEY, "confidence")
 
 
 def dropped_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,11 +176,11 @@ def idempotent(events: DataFrame, keys: list[str]) -> DataFrame:
     return e.groupBy("event_key").agg(F.min(F.struct(*events.columns)).alias("e")).select("event_key", "e.*")
 
 
-def ingest(pages: DataFrame, canonical: DataFrame, metadata: DataFrame | None = None, source: str = "pdf_text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(pages: DataFrame, canonical: DataFrame, metadata: DataFrame | None = None, source: str = "pdf_text", stored: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, bridge) of pages, given (type, name, canonical): resolved, typed, gated and merged.
 
     Names are trimmed everywhere, edges with bad properties keep their row with the default confidence, and the bridge links each page that has
-    text to its nodes.
+    text to its nodes. With a ``stored`` snapshot the batch is merged into it, and edges may end at stored nodes.
     """
     n = pages.select("doc", "page", F.posexplode("nodes").alias("pos", "n"))
     n = n.select("doc", "page", F.trim("n.name").alias("name"), F.coalesce("n.type", F.lit("Unknown")).alias("type"), F.coalesce("n.properties", F.create_map().cast("map<string,string>")).alias("properties"), F.struct("doc", "page", "pos").alias("seq")).filter("name <> ''")
@@ -161,10 +193,19 @@ def ingest(pages: DataFrame, canonical: DataFrame, metadata: DataFrame | None =
         contracts = nodes.filter("label = 'Contract'").select(F.col("canonical_name").alias("contract_id"), "props")
         over = overlaid(contracts, metadata).select(F.lit("Contract").alias("label"), F.col("contract_id").alias("canonical_name"), F.col("props").alias("over"))
         nodes = nodes.join(over, ["label", "canonical_name"], "left").withColumn("props", F.coalesce("over", "props")).drop("over")
-    e = pages.select("doc", "page", F.posexplode("edges").alias("pos", "e"))
-    e = e.select("doc", "page", F.trim("e.source").alias("source"), F.trim("e.target").alias("target"), relation_name(F.coalesce("e.relation", F.lit("RELATED_TO"))).alias("relation"), F.coalesce("e.properties", F.create_map().cast("map<string,string>")).alias("props"), F.struct("doc", "page", "pos").alias("seq")).filter("source <> '' and target <> ''")
-    e = rewritten(typed_edges(e, n), n.select("doc", "page", "name", "canonical", "seq"))
+    if stored is not None:
+        nodes = upserted_nodes(stored[0], nodes)
+    trimmed = lambda x, *names: x.withField(names[0], F.trim(x[names[0]])) if len(names) == 1 else trimmed(trimmed(x, names[0]), *names[1:])
+    local = pages.select("doc", "page", F.transform("nodes", lambda x: trimmed(x, "name")).alias("nodes"), F.transform("edges", lambda x: trimmed(x, "source", "target").withField("relation", F.coalesce(x["relation"], F.lit("RELATED_TO")))).alias("edges"))
+    e = page_edges(local).withColumn("relation", relation_name(F.col("relation"))).withColumn("props", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+    for side, end in (("src", "source"), ("tgt", "target")):
+        names = canonical.select(F.col("type").alias(f"{side}_last"), F.col("name").alias(end), F.col("canonical").alias("__canonical"))
+        e = e.join(names, [f"{side}_last", end], "left").withColumn(f"{side}_name", F.coalesce("__canonical", end)).drop("__canonical")
     e = e.withColumn("confidence", confidence_of(F.element_at("props", "confidence"))).withColumn("rel_type", gated(F.col("relation"), F.col("confidence")))
     edges = merged_edges(e, nodes)
+    if stored is not None:
+        edges = upserted_edges(stored[1], edges)
     bridge = n.join(pages.filter("trim(raw_text) <> ''").select("doc", "page"), ["doc", "page"]).select(F.concat("doc", F.lit("::page"), F.col("page")).alias("chunk_id"), key_of(F.col("type"), F.col("canonical")).alias("element_id")).distinct()
+    if stored is not None:
+        bridge = stored[2].unionByName(bridge).distinct()
     return nodes, edges, bridge

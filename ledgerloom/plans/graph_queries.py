@@ -133,16 +133,14 @@ def normalize_relation(spark: S, sf: str) -> DataFrame:
         left join t s on s.doc = e.doc and s.page = e.page and s.name = source left join t g on g.doc = e.doc and g.page = e.page and g.name = target where target is not null)
     select source_type, target_type, arg_max(relation, seq) as label from e group by 1, 2""")
 def schema_edges(spark: S, sf: str) -> DataFrame:
-    p = pages(spark, sf)
-    return graph.schema_edges(graph.flatten_nodes(p), graph.flatten_edges(p))
+    return graph.page_schema_edges(ingest.page_edges(pages(spark, sf)))
 
 
 @query("edge_type_first", P + """, t as (select doc, page, name, arg_min(coalesce(type, 'Unknown'), seq) as type from p_nodes group by all)
     select e.doc, e.page, e.pos::integer as pos, coalesce(s.type, 'Unknown') as src_label, coalesce(g.type, 'Unknown') as tgt_label from p_edges e
     left join t s on s.doc = e.doc and s.page = e.page and s.name = source left join t g on g.doc = e.doc and g.page = e.page and g.name = target where target is not null""")
 def edge_type_first(spark: S, sf: str) -> DataFrame:
-    p = pages(spark, sf)
-    return ingest.typed_edges(graph.flatten_edges(p), graph.flatten_nodes(p)).select("doc", "page", "pos", "src_label", "tgt_label")
+    return ingest.page_edges(pages(spark, sf)).select("doc", "page", "pos", "src_label", "tgt_label")
 
 
 @query("node_type_counts", P + """select type, "count", row_number() over (order by "count" desc, first)::integer as place from (select coalesce(type, 'Unknown') as type, count(*) as "count", min(seq) as first from p_nodes group by 1)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import key_of, offset_days
@@ -15,9 +15,9 @@ S = SparkSession
 P = f"with {PAGES_SQL} "
 
 
-def _canonical(nodes: DataFrame) -> DataFrame:
-    """Parties by their last two digits stand for one another; the canonical map of each page."""
-    return nodes.withColumn("canonical", F.when(F.col("type") == "Deliverable", F.concat(F.lit("D"), F.substring("name", -2, 2))).otherwise(F.col("name")))
+def _canonical(n: Column) -> Column:
+    """A node with its canonical name: parts by their last two digits stand for one another."""
+    return n.withField("canonical", F.when(F.coalesce(n["type"], F.lit("Unknown")) == "Deliverable", F.concat(F.lit("D"), F.substring(n["name"], -2, 2))).otherwise(n["name"]))
 
 
 @query("edge_rewrite", P + """, m as (select doc, page, name, arg_max(case when type = 'Deliverable' then 'D' || right(name, 2) else name end, seq) as canonical from p_nodes group by all)
@@ -25,17 +25,16 @@ def _canonical(nodes: DataFrame) -> DataFrame:
     left join m s on s.doc = e.doc and s.page = e.page and s.name = source left join m t on t.doc = e.doc and t.page = e.page and t.name = target where target is not null""")
 def edge_rewrite(spark: S, sf: str) -> DataFrame:
     p = pages(spark, sf)
-    n = graph.flatten_nodes(p)
-    return ingest.rewritten(graph.flatten_edges(p), _canonical(n)).select("doc", "page", "pos", "src_name", "tgt_name")
+    return ingest.page_edges(p.withColumn("nodes", F.transform("nodes", _canonical))).select("doc", "page", "pos", "src_name", "tgt_name")
 
 
 def _typed(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
     """(nodes as label, canonical_name, props, seq; gated edges with labels)."""
     p = pages(spark, sf)
-    n, e = graph.flatten_nodes(p), graph.flatten_edges(p)
-    t = ingest.typed_edges(e, n).withColumn("confidence", ingest.confidence_of(F.element_at("properties", "confidence")))
+    n = graph.flatten_nodes(p)
+    t = ingest.page_edges(p).withColumn("confidence", ingest.confidence_of(F.element_at("properties", "confidence")))
     t = t.withColumn("rel_type", ingest.gated(F.replace(F.upper("relation"), F.lit(" "), F.lit("_")), F.col("confidence")))
-    t = t.withColumnsRenamed({"source": "src_name", "target": "tgt_name", "properties": "props"})
+    t = t.withColumnRenamed("properties", "props")
     return n.select(F.col("type").alias("label"), F.col("name").alias("canonical_name"), F.col("properties").alias("props"), "seq"), t
 
 

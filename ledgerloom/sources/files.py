@@ -45,10 +45,14 @@ def doc_of(file_name: Column) -> Column:
     return F.regexp_replace(file_name, CANDIDATES.replace(".", r"\.") + "$", "")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
     """A summary file as (kind, key, count), or None if there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return None
     raw = spark.read.schema("node_type_counts map<string,long>, edge_type_counts map<string,long>").option("multiLine", True).json(path)
     parts = [raw.select(F.lit(kind).alias("kind"), F.explode(column).alias("key", "count")) for kind, column in (("node", "node_type_counts"), ("edge", "edge_type_counts"))]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources import files
+
 
 def write_candidates(pages: DataFrame, folder: str) -> None:
     pages.write.mode("overwrite").partitionBy("doc").json(folder)
@@ -30,11 +32,37 @@ def summary_row(node_counts: DataFrame, node_examples: DataFrame, edge_counts: D
     return out.select(F.to_json(F.struct(*names)).alias("summary"))
 
 
+def _pointer(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    if not files.exists(spark, f"{folder}/current/_SUCCESS"):
+        return 0, None
+    runs = spark.read.schema("n long, run_id string").json(f"{folder}/current")
+    return tuple(runs.agg(F.max("n"), F.max_by("run_id", "n")).first())
+
+
+def current_run(spark: SparkSession, folder: str) -> str | None:
+    """The run that a folder's last pointer names, or None before the first one."""
+    return _pointer(spark, folder)[1]
+
+
+def published(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(nodes, edges, bridge) of the current run, which ``ingest.ingest`` takes as ``stored``."""
+    run = current_run(spark, folder)
+    return None if run is None else tuple(spark.read.parquet(f"{folder}/{run}/{name}") for name in ("nodes", "edges", "bridge"))
+
+
 def publish(nodes: DataFrame, edges: DataFrame, bridge: DataFrame, folder: str, run_id: str) -> None:
-    """Write a run's tables, then the pointer that makes them current: readers see all of a run or none of it."""
+    """Write a run's tables, then the pointer that makes them current: readers see all of a run or none of it.
+
+    A run never overwrites the current one, which it may be reading; a run that failed before its pointer can be repeated under its name. Pointers are added, not
+    replaced, so that there is a current run at any time.
+    """
+    spark = nodes.sparkSession
+    n, current = _pointer(spark, folder)
+    if current == run_id:
+        raise ValueError(f"run {run_id} is current already")
     for name, table in (("nodes", nodes), ("edges", edges), ("bridge", bridge)):
         table.write.mode("overwrite").parquet(f"{folder}/{run_id}/{name}")
-    nodes.sparkSession.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    spark.createDataFrame([(n + 1, run_id)], "n long, run_id string").coalesce(1).write.mode("append").json(f"{folder}/current")
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:

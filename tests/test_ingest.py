@@ -1,8 +1,11 @@
+from random import Random
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import document_key
 from ledgerloom.operators import graph, ingest, resolve, revisions
-from ledgerloom.sources import files
+from ledgerloom.sources import files, sinks
 from tests.fixtures import pages
 
 
@@ -36,6 +39,54 @@ def test_merging_is_last_non_empty_and_idempotent(spark):
     assert again == got
 
 
+def looked_up(nodes, end):
+    """A plain twin of the lookup in a page: (first type, last type, last canonical name) of an end."""
+    same = [n for n in nodes if n[0] == end]
+    return (same[0][1] or "Unknown", same[-1][1] or "Unknown", same[-1][2] or end) if same else ("Unknown", "Unknown", end)
+
+
+def test_ends_are_looked_up_in_their_own_page(spark):
+    random = Random(7)
+    name, kind = lambda: random.choice(["a", "b", "c", "", None]), lambda: random.choice(["T", "U", None])
+    rows = [("D", k, [(name(), kind(), name() or "z") for _ in range(random.randrange(6))], [(name(), "R", name(), {}) for _ in range(random.randrange(5))]) for k in range(60)]
+    rows += [("D", 60, None, None), ("D", 61, None, [("a", None, "b", None)]), ("D", 62, [], [])]
+    p = spark.createDataFrame(rows, "doc string, page int, nodes array<struct<name:string,type:string,canonical:string>>, edges array<struct<source:string,relation:string,target:string,properties:map<string,string>>>")
+    got = {(r["page"], r["pos"]): (r["src_label"], r["src_last"], r["src_name"], r["tgt_label"], r["tgt_last"], r["tgt_name"]) for r in ingest.page_edges(p).collect()}
+    assert got == {(page, i): looked_up(n or [], e[0]) + looked_up(n or [], e[2]) for _, page, n, edges in rows for i, e in enumerate(edges or []) if e[0] and e[2]}
+    n, e = graph.flatten_nodes(p.withColumn("nodes", F.transform("nodes", lambda x: x.withField("properties", F.create_map())))), graph.flatten_edges(p)
+    assert sorted(graph.schema_edges(n, e).collect()) == sorted(graph.page_schema_edges(ingest.page_edges(p)).collect())
+
+
+def test_a_batch_is_merged_into_the_stored_snapshot(spark):
+    node = "label string, canonical_name string, props map<string,string>, element_id string"
+    old = spark.createDataFrame([("T", "x", {"a": "1", "b": "2"}, "i"), ("T", "y", None, "j")], node)
+    new = spark.createDataFrame([("T", "x", {"b": "3", "c": "", "d": "4"}, "i"), ("T", "z", {}, "k")], node)
+    want = {"x": ({"a": "1", "b": "3", "d": "4"}, "i"), "y": ({}, "j"), "z": ({}, "k")}
+    merged = ingest.upserted_nodes(old, new)
+    assert {r["canonical_name"]: (r["props"], r["element_id"]) for r in merged.collect()} == want
+    assert {r["canonical_name"]: (r["props"], r["element_id"]) for r in ingest.upserted_nodes(merged, new).collect()} == want
+    assert ingest.upserted_nodes(old.limit(0), old.limit(0)).count() == 0
+    edge = "src_label string, src_name string, rel_type string, tgt_label string, tgt_name string, props map<string,string>, confidence double"
+    e = lambda name, props, c: ("T", name, "R", "T", "x", props, c)
+    got = ingest.upserted_edges(spark.createDataFrame([e("x", {"k": "1"}, 0.9), e("y", {}, 0.8)], edge), spark.createDataFrame([e("x", {"l": "2"}, 0.7), e("z", {}, 0.6)], edge))
+    assert {r["src_name"]: (r["props"], r["confidence"]) for r in got.collect()} == {"x": ({"k": "1", "l": "2"}, 0.7), "y": ({}, 0.8), "z": ({}, 0.6)}
+
+
+def test_ingest_into_a_published_snapshot(spark, tmp_path):
+    folder = str(tmp_path)
+    p = pages(spark)
+    names = resolve.resolve_in_order(graph.flatten_nodes(p).select("type", "name", "seq"))
+    assert sinks.published(spark, folder) is None
+    for k, doc in enumerate(("D1", "D2", "D2")):  # the last run repeats a batch, as after a retry
+        sinks.publish(*ingest.ingest(p.filter(F.col("doc") == doc), names, stored=sinks.published(spark, folder)), folder, f"run{k}")
+    got, want = sinks.published(spark, folder), ingest.ingest(p, names)
+    for a, b in zip(got, want):
+        rows = lambda df: sorted(repr(sorted(r.asDict().items())) for r in df.withColumn("props", F.array_sort(F.map_entries("props"))).collect()) if "props" in df.columns else sorted(df.collect())
+        assert rows(a) == rows(b)
+    with pytest.raises(ValueError, match="is current"):
+        sinks.publish(*got, folder, "run2")
+
+
 def test_dropped_edges_tell_the_missing_end(spark):
     nodes = spark.createDataFrame([("T", "a")], "label string, canonical_name string")
     edges = spark.createDataFrame([("T", "a", "T", "b"), ("T", "c", "T", "a"), ("T", "c", "T", "b")], "src_label string, src_name string, tgt_label string, tgt_name string")

@@ -9,12 +9,19 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ledgerloom.sources.schemas import EMPTY_PAGE, IMAGE_SIDE, PAGE_INSIGHTS, PAGES_EXTRACTED
+from ledgerloom.sources.schemas import DOCUMENT_TYPES, EMPTY_PAGE, IMAGE_SIDE, PAGE_INSIGHTS, PAGES_EXTRACTED
+
+INSIGHT_FIELDS = [
+    "document_type_guess", "section_heading", "parties", "dates_or_milestones", "monetary_values", "cross_document_references",
+    "tables_detected", "confidentiality_marking", "has_signature", "notes",
+]
 
 Extractor = Callable[[str], dict]
 Parser = Callable[[bytes], list[str]]
@@ -97,8 +104,21 @@ def image_insights(files: DataFrame, reader: Callable[[bytes], str], tries: int
     fields = PAGE_INSIGHTS.split("error string, ", 1)[1]
     parsed = raw.withColumn("p", F.from_json("json", fields + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.when(F.col("p._corrupt").isNotNull(), F.lit("not the JSON that was asked for"))
-    names = [f.strip().split(" ")[0] for f in ("document_type_guess", "section_heading", "parties", "dates_or_milestones", "monetary_values", "cross_document_references", "tables_detected", "confidentiality_marking", "has_signature", "notes")]
-    return parsed.select("_source_file", F.coalesce("error", bad).alias("error"), *(F.col(f"p.{n}").alias(n) for n in names)).orderBy("_source_file")
+    return parsed.select("_source_file", F.coalesce("error", bad).alias("error"), *(F.col(f"p.{n}").alias(n) for n in INSIGHT_FIELDS)).orderBy("_source_file")
+
+
+def insight_violations(insights: DataFrame) -> DataFrame:
+    """(_source_file, violations) of readable pages that break the rules: every field is there, if empty; a list's items have all their parts; the type is a known one.
+
+    A page with an error, or one that says so in its notes, is no violation: it has its error.
+    """
+    absent = [F.when(F.col(n).isNull(), F.lit(f"no {n}")) for n in INSIGHT_FIELDS]
+    lists = {f.name: f.dataType.elementType.names for f in insights.schema.fields if isinstance(f.dataType, ArrayType) and f.name in INSIGHT_FIELDS}
+    gap = lambda names: lambda x: F.array_contains(F.array(*(x[n].isNull() for n in names)), True)
+    parts = [F.when(F.exists(f, gap(names)), F.lit(f"incomplete {f}")) for f, names in lists.items()]
+    unknown = F.when(~F.col("document_type_guess").isin(*DOCUMENT_TYPES), F.concat(F.lit("unknown type "), "document_type_guess"))
+    found = F.filter(F.array(*absent, *parts, unknown), lambda x: x.isNotNull())
+    return insights.filter("error is null").select("_source_file", found.alias("violations")).filter(F.size("violations") > 0)
 
 
 def page_label(kind, error):
@@ -112,12 +132,13 @@ def fitted(width: int, height: int, side: int = IMAGE_SIDE) -> tuple[int, int]:
     return (width, height) if longest <= side else (max(1, round(width * side / longest)), max(1, round(height * side / longest)))
 
 
-def converted(files: DataFrame, done: DataFrame, convert: Callable[[bytes], bytes]) -> DataFrame:
-    """Images (path, content) that have no output yet, converted: (path, content, error)."""
+def converted(files: DataFrame, done: DataFrame, convert: Callable[[bytes, Callable[[int, int], tuple[int, int]]], bytes], side: int = IMAGE_SIDE) -> DataFrame:
+    """Images (path, content) that have no output yet, converted: (path, content, error). ``convert`` gets the content and the rule for sizes (``fitted``)."""
+    sizes = partial(fitted, side=side)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, *attempt(lambda c=c: convert(bytes(c)), 1, float)) for p, c in zip(pdf["path"], pdf["content"])]
+            rows = [(p, *attempt(lambda c=c: convert(bytes(c), sizes), 1, float)) for p, c in zip(pdf["path"], pdf["content"])]
             yield pd.DataFrame(rows, columns=["path", "content", "error"])
 
     return files.select("path", "content").join(done.select("path"), "path", "left_anti").mapInPandas(run, "path string, content binary, error string")

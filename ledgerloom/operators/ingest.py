@@ -149,6 +149,24 @@ def off_ontology_edges(edges: DataFrame) -> DataFrame:
     return off_ontology(edges, "relation", EDGE_TYPES)
 
 
+def extraction_violations(pages: DataFrame) -> DataFrame:
+    """(doc, page, violations) of pages that break the extraction's rules: edges whose ends the page does not declare, nodes without a name, bookkeeping fields as properties.
+
+    Types outside the ontology are no violation if the page suggests them as new ones. All is looked up in a page's own arrays.
+    """
+    names = F.transform("nodes", lambda n: n["name"])
+    ends = F.flatten(F.transform("edges", lambda e: F.array(e["source"], e["target"])))
+    unnamed = F.transform(F.filter("nodes", lambda n: F.coalesce(F.trim(n["name"]), F.lit("")) == ""), lambda n: F.concat(F.lit("no name: "), F.coalesce(n["type"], F.lit("Unknown"))))
+    suggested = F.transform("suggested_new_types", lambda t: t["type"])
+    new = F.array_except(F.filter(F.transform("nodes", lambda n: n["type"]), lambda t: t.isNotNull() & ~t.isin(*NODE_TYPES)), F.coalesce(suggested, F.array().cast("array<string>")))
+    keys = F.flatten(F.transform("nodes", lambda n: F.coalesce(F.map_keys(n["properties"]), F.array().cast("array<string>"))))
+    hidden = F.filter(F.array_distinct(keys), lambda k: property_name(k).isin(*(c.lower().replace(" ", "_") for c in METADATA_FIELDS["bookkeeping"])))
+    say = lambda text, found: F.transform(found, lambda x: F.concat(F.lit(f"{text}: "), x))
+    lists = [say("undeclared", F.array_except(F.filter(ends, lambda x: x.isNotNull()), names)), unnamed, say("type not suggested", new), say("bookkeeping", hidden)]
+    found = F.array_sort(F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists))))
+    return pages.select("doc", "page", found.alias("violations")).filter(F.size("violations") > 0)
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, count) of node types and relations as seen, dropped edges included; a missing relation is RELATED_TO."""
     n = nodes.select(F.concat(F.lit("node:"), "type").alias("key"))

@@ -79,6 +79,14 @@ def topk_blocks(queries: DataFrame, chunks: DataFrame, k: int, same: tuple[str,
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
 
 
+def current_chunks(chunks: DataFrame, contracts: DataFrame | list | None = None) -> DataFrame:
+    """Chunks that a search may give: not superseded and, if ``contracts`` is given, of these contracts (a short list of ids, or a table of any size with contract_id)."""
+    current = chunks.filter(~F.coalesce("superseded", F.lit(False)))
+    if contracts is None:
+        return current
+    return current.join(contracts.select("contract_id"), "contract_id", "left_semi") if isinstance(contracts, DataFrame) else current.filter(F.col("contract_id").isin(contracts))
+
+
 def truncated(embedding: Column, k: int) -> Column:
     """The first k components, scaled to length 1."""
     head = F.transform(F.slice(embedding, 1, k), lambda x: x.cast("double"))

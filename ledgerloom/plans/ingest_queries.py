@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import key_of, offset_days
-from ledgerloom.operators import graph, ingest, revisions
+from ledgerloom.operators import embedding, graph, ingest, revisions
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.views import METADATA_SQL, PAGES_SQL, confidence, metadata, pages, table, tag
 from ledgerloom.sources import files
@@ -94,6 +94,31 @@ def merge_edges(spark: S, sf: str) -> DataFrame:
     return ingest.merged_edges(e, n).select("src_label", "src_name", "rel_type", "tgt_label", "tgt_name", "confidence")
 
 
+@query("upsert_nodes", """with s as (select 'P' || c_custkey as name, c_mktsegment as segment, c_nationkey::varchar as nation from customer),
+    b as (select 'P' || o_custkey as name, arg_max(o_orderpriority, o_orderkey) as segment, arg_max(o_orderstatus, o_orderkey) as status from orders group by 1)
+    select 'Party' as label, coalesce(s.name, b.name) as canonical_name, concat_ws(',', 'nation=' || nation, 'segment=' || coalesce(b.segment, s.segment), 'status=' || status) as props,
+    sha256('Party|' || coalesce(s.name, b.name)) as element_id from s full join b on s.name = b.name""")
+def upsert_nodes(spark: S, sf: str) -> DataFrame:
+    """Customers as the stored nodes, their orders as a batch: a later order's values go over what is stored."""
+    node = lambda df, key, props, seq: df.select(F.lit("Party").alias("label"), tag("P", key).alias("canonical_name"), props.alias("props"), F.col(seq).alias("seq"))
+    stored = node(table(spark, sf, "customer"), "c_custkey", F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string")), "c_custkey")
+    batch = node(table(spark, sf, "orders"), "o_custkey", F.create_map(F.lit("segment"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus")), "o_orderkey")
+    merged = ingest.upserted_nodes(ingest.merged_nodes(stored), ingest.merged_nodes(batch))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return merged.select("label", "canonical_name", text.alias("props"), "element_id")
+
+
+@query("vector_points", r"""select 'K' || doc_id as datapoint_id, len(embedding)::integer as dims, 'contract_id' as namespace, coalesce(source, '') as allow, coalesce(source, '') as crowding_tag,
+    concat_ws(',', 'lang:' || lang, 'source:' || source) as element_ids from documents join embeddings on vec_id = doc_id where regexp_matches(text, '\S') and len(embedding) > 0""")
+def vector_points(spark: S, sf: str) -> DataFrame:
+    """Documents as chunks of the contract that their source stands for; language and source are the nodes of a chunk."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(tag("K", "doc_id").alias("chunk_id"), F.col("source").alias("contract_id"), "text", "embedding", "lang", "source")
+    nodes = F.explode(F.array(tag("lang:", "lang"), tag("source:", "source")))
+    bridge = table(spark, sf, "documents").select(tag("K", "doc_id").alias("chunk_id"), nodes.alias("element_id")).filter("element_id is not null")
+    p = embedding.datapoints(d, bridge).withColumn("r", F.col("restricts")[0])
+    return p.select("datapoint_id", F.size("feature_vector").alias("dims"), "r.namespace", F.col("r.allow")[0].alias("allow"), "crowding_tag", F.array_join("element_ids", ",").alias("element_ids"))
+
+
 @query("ingest_stats", P + """select 'node:' || coalesce(type, 'Unknown') as key, count(*) as "count" from p_nodes group by 1 union all select 'edge:' || replace(upper(coalesce(relation, 'UNKNOWN')), ' ', '_'), count(*) from p_edges where target is not null group by 1""")
 def ingest_stats(spark: S, sf: str) -> DataFrame:
     p = pages(spark, sf)

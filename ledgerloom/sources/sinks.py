@@ -66,8 +66,18 @@ def publish(nodes: DataFrame, edges: DataFrame, bridge: DataFrame, folder: str,
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
-    """Chunks by whether they are superseded, so that queries on current text prune the rest; within that clustered by contract."""
-    chunks.repartition("contract_id").sortWithinPartitions("contract_id", "revision").write.mode("overwrite").partitionBy("superseded").parquet(folder)
+    """Chunks by whether they are superseded, so that queries on current text prune the rest; within that in ranges of contract and chunk, so that a contract of many chunks fills several files."""
+    chunks.repartitionByRange("contract_id", "chunk_id").sortWithinPartitions("contract_id", "chunk_id").write.mode("overwrite").partitionBy("superseded").parquet(folder)
+
+
+def write_insights(insights: DataFrame, folder: str, parts: int | None = None) -> None:
+    """Insights as a row of JSON per image in ``images``, and all of them as one sorted list: the parts of ``all``, read in the order of their names.
+
+    The list is never gathered: parts are ranges of file names, and a line of a part is an item.
+    """
+    insights.write.mode("overwrite").json(f"{folder}/images")
+    ranges = (parts, "_source_file") if parts else ("_source_file",)
+    insights.repartitionByRange(*ranges).sortWithinPartitions("_source_file").write.mode("overwrite").json(f"{folder}/all")
 
 
 def proposal(summary: DataFrame, title: str = "Schema proposal") -> str:

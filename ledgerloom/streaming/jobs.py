@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.functions.names import score
 from ledgerloom.functions.text import key_of
+from ledgerloom.sources import files
 from ledgerloom.sources.schemas import MERGE_THRESHOLD
 
 
@@ -47,6 +48,30 @@ def cutover(history: DataFrame, live: DataFrame, at, ts: str = "ts") -> DataFram
     return history.filter(F.col(ts) < at).unionByName(live.filter(F.col(ts) >= at))
 
 
+def backfill(history: DataFrame, folder: str, at, ts: str = "ts", unit: str = "day", keys: tuple[str, ...] = ("event_key",)) -> list[str]:
+    """Write history before the cutover in pages of time, each a folder of its own, and give the names of the pages that were written.
+
+    A page is written whole or not at all, and one that is there is not written again, so that a run that stopped is taken up where it was.
+    Pages are as many as the days (or other units) of history, whatever its rows; events without a time go to the page ``none``.
+    """
+    spark = history.sparkSession
+    paged = history.filter((F.col(ts) < at) | F.col(ts).isNull()).withColumn("__page", F.coalesce(F.date_format(F.date_trunc(unit, ts), "yyyyMMdd'T'HHmmss"), F.lit("none")))
+    names = [r[0] for r in paged.select("__page").distinct().orderBy("__page").collect()]
+    todo = [n for n in names if not files.exists(spark, f"{folder}/page={n}/_SUCCESS")]
+    for n in todo:
+        paged.filter(F.col("__page") == n).drop("__page").dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{folder}/page={n}")
+    return todo
+
+
+def reconciled(arrived: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
+    """Events that arrived but were not written, as rows that came after the watermark are dropped without a trace: dead letters with the reason."""
+    done = written.select(*keys).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & arrived[k].eqNullSafe(done[k])
+    return arrived.join(done, same, "left_anti").withColumn("reason", F.lit("too late"))
+
+
 def dead_letters(events: DataFrame, *needed: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows with an empty needed column go to review with the reason, and are never dropped."""
     reason = F.array_join(F.filter(F.array(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"no {c}")) for c in needed)), lambda x: x.isNotNull()), "; ")

@@ -12,14 +12,14 @@ back to a sampled place; their spans are merged and give the hit words of each d
 pieces that overlap by one word less than a phrase, so that no occurrence is lost and none counts twice. Shards are built inside Arrow
 batches: memory is bounded by the shard's size, nothing is shuffled, and a lost executor costs its own shards.
 
-The test phrases, windows of consecutive words of the benchmark's items, are collected once and sent along with the task; they are as large
-as the benchmark, and ``max_phrases`` bounds them: a larger benchmark is searched in as many passes as needed.
+The test phrases, windows of consecutive words of the benchmark's items, are gathered part by part and sent along with the tasks of a pass;
+``max_phrases`` bounds a part: a larger benchmark is searched in as many passes as needed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,17 +195,30 @@ def phrases(items: list[tuple], window: int) -> Phrases:
     hashes, _, _, row = split_words(data, offsets)
     vocabulary = np.unique(hashes)
     symbol = np.searchsorted(vocabulary, hashes) + 1
-    found: dict[tuple[int, ...], set[int]] = {}
-    for k in range(len(items)):
-        s = symbol[row == k].tolist()
-        for at in range(max(1, len(s) - window + 1) if s else 0):
-            found.setdefault(tuple(s[at : at + window]), set()).add(k)
-    keys = sorted(found)
-    table = np.zeros((len(keys), window), np.int64)
-    for j, key in enumerate(keys):
-        table[j, window - len(key) :] = key
-    pairs = np.array([(j, k) for j, key in enumerate(keys) for k in sorted(found[key])], np.int64).reshape(-1, 2)
-    return Phrases(vocabulary, table, np.array([len(k) for k in keys], np.int64), pairs, np.array([str(i) for i, _ in items], dtype=object), window)
+    bounds = np.searchsorted(row, np.arange(len(items) + 1))
+    size = np.diff(bounds)
+    # Where a window begins: at each word that has enough words behind it, and at the first word of a shorter item.
+    start = np.flatnonzero(np.arange(len(row)) <= bounds[row] + np.maximum(size[row] - window, 0))
+    of, length = row[start], np.minimum(size[row[start]], window)
+    back = length[:, None] - window + np.arange(window)  # the place in its window that a column holds, negative in front of a short one
+    table = np.where(back >= 0, symbol[np.minimum(start[:, None] + np.maximum(back, 0), max(len(symbol) - 1, 0))] if len(symbol) else 0, 0).astype(np.int64)
+    table, phrase = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+    both = np.unique(phrase.ravel().astype(np.int64) << 32 | of)
+    pairs = np.column_stack([both >> 32, both & 0xFFFFFFFF])
+    return Phrases(vocabulary, table, (table > 0).sum(axis=1), pairs, np.array([str(i) for i, _ in items], dtype=object), window)
+
+
+def passes(benchmark: DataFrame, item: str, text: str, window: int, max_phrases: int) -> Iterator[Phrases]:
+    """The benchmark's phrases in parts of about ``max_phrases``, an item whole in one part. Items come to the driver partition by partition, and no more than a part of them is kept."""
+    part, size = [], 0
+    for i, t in benchmark.select(F.col(item), F.col(text)).filter(F.col(item).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+        part.append((i, t))
+        size += len(t) // 2 + 1  # a word and the gap behind it have two characters at least
+        if size > max_phrases:
+            yield phrases(part, window)
+            part, size = [], 0
+    if part:
+        yield phrases(part, window)
 
 
 def _spans(p: Phrases, hashes: np.ndarray, row: np.ndarray, shard_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,70 +250,90 @@ def _spans(p: Phrases, hashes: np.ndarray, row: np.ndarray, shard_words: int) ->
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _hits(passes: list[Phrases], keep_spans: bool, shard_words: int):
+def _search(p: Phrases, shard_words: int, first: bool, finish: Callable | None):
+    """One pass. Rows carry the words that are hit (``marks``, begins and ends in turn) and the ``items`` found so far; the last pass makes the result of them by ``finish``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", SHARD_BYTES):
                 data, offsets = utf8(part.column("text"))
                 n = len(offsets) - 1
                 hashes, start, end, row = split_words(data, offsets)
+                bounds = np.searchsorted(row, np.arange(n + 1))
                 cover = np.zeros(len(hashes) + 1, np.int64)
-                pairs = []
-                for p in passes:
-                    phrase, place = _spans(p, hashes, row, shard_words)
-                    np.add.at(cover, place, 1)
-                    np.add.at(cover, place + p.lengths[phrase], -1)
-                    lo, hi = np.searchsorted(p.item_of[:, 0], [phrase, phrase + 1])
-                    each = hi - lo
-                    pick = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
-                    both = np.unique(np.repeat(row[place], each) << 32 | p.item_of[pick, 1])
-                    pairs += [(int(x >> 32), p.item_ids[x & 0xFFFFFFFF]) for x in both.tolist()]
-                hit = np.cumsum(cover)[:-1] > 0
-                items: list[set[str]] = [set() for _ in range(n)]
-                for r, i in pairs:
-                    items[r].add(i)
-                listed = [sorted(x) for x in items]
-                columns = {
-                    "id": part.column("id"),
-                    "n_words": pa.array(np.bincount(row, minlength=n), pa.int64()),
-                    "n_hit": pa.array(np.bincount(row[hit], minlength=n), pa.int64()),
-                    "n_items": pa.array([len(x) for x in listed], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]),
-                }
-                if keep_spans:
-                    s, e, r = runs(hit, np.searchsorted(row, np.arange(n + 1)))
-                    spans: list[list[dict]] = [[] for _ in range(n)]
-                    # Bytes to code points: continuation bytes do not count.
-                    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                    base = points[offsets[:-1]]
-                    for a, b, k in zip(start[s].tolist(), end[e - 1].tolist(), r.tolist()):
-                        spans[k].append({"start": int(points[a] - base[k]), "end": int(points[b] - base[k])})
-                    columns["name"] = part.column("name")
-                    columns["items"] = pa.array(listed, pa.list_(pa.string()))
-                    columns["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_pydict(columns)
+                items: list[set[str]] = [set() for _ in range(n)] if first else [set(x) for x in part.column("items").to_pylist()]
+                if not first:
+                    marks = part.column("marks")
+                    sizes = marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    at = marks.flatten().to_numpy(zero_copy_only=False) + np.repeat(bounds[:-1], sizes)
+                    np.add.at(cover, at[::2], 1)
+                    np.add.at(cover, at[1::2], -1)
+                phrase, place = _spans(p, hashes, row, shard_words)
+                np.add.at(cover, place, 1)
+                np.add.at(cover, place + p.lengths[phrase], -1)
+                lo, hi = np.searchsorted(p.item_of[:, 0], [phrase, phrase + 1])
+                each = hi - lo
+                pick = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
+                for x in np.unique(np.repeat(row[place], each) << 32 | p.item_of[pick, 1]).tolist():
+                    items[x >> 32].add(p.item_ids[x & 0xFFFFFFFF])
+                hit, listed = np.cumsum(cover)[:-1] > 0, [sorted(x) for x in items]
+                if finish is not None:
+                    yield finish(part, data, offsets, start, end, row, bounds, hit, listed)
+                    continue
+                s, e, r = runs(hit, bounds)
+                flat = (np.column_stack([s, e]) - bounds[r][:, None]).ravel()
+                ends = np.concatenate(([0], np.cumsum(2 * np.bincount(r, minlength=n)))).astype(np.int32)
+                state = {"marks": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())), "items": pa.array(listed, pa.list_(pa.string()))}
+                kept = {f.name: part.column(f.name) for f in part.schema if f.name not in state}
+                yield pa.RecordBatch.from_pydict(kept | state)
 
     return run
 
 
+def _finish(keep_spans: bool):
+    def make(part, data, offsets, start, end, row, bounds, hit, listed) -> pa.RecordBatch:
+        n = len(listed)
+        columns = {
+            "id": part.column("id"),
+            "n_words": pa.array(np.diff(bounds), pa.int64()),
+            "n_hit": pa.array(np.bincount(row[hit], minlength=n), pa.int64()),
+            "n_items": pa.array([len(x) for x in listed], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()),
+        }
+        if keep_spans:
+            s, e, r = runs(hit, bounds)
+            spans: list[list[dict]] = [[] for _ in range(n)]
+            # Bytes to code points: continuation bytes do not count.
+            points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            base = points[offsets[:-1]]
+            for a, b, k in zip(start[s].tolist(), end[e - 1].tolist(), r.tolist()):
+                spans[k].append({"start": int(points[a] - base[k]), "end": int(points[b] - base[k])})
+            columns["name"] = part.column("name")
+            columns["items"] = pa.array(listed, pa.list_(pa.string()))
+            columns["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        return pa.RecordBatch.from_pydict(columns)
+
+    return make
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int = 10, keep_spans: bool = False, max_phrases: int = 2_000_000, shard_words: int = 1 << 20) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256 and, with ``keep_spans``, a hash that names the text, items and merged spans of code points.
 
+    A benchmark of more than about ``max_phrases`` windows is searched in passes over the documents, each of which writes its state to the
+    shared folder; the driver and a task hold the phrases of one pass (the driver those of the next one too), whatever the benchmark's size.
     Words are compared after lower-casing A-Z. Null and empty texts have no words and no hits; repeated rows are judged each by itself; an empty
     benchmark or table gives no hits or no rows; a null item is none. Other columns of either table are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
-    items = sorted(((r[0], r[1]) for r in benchmark.select(F.col(item), F.col(item_text)).filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).collect()), key=lambda x: (str(x[0]), x[1]))
-    passes, part, size = [], [], 0
-    for i in items:
-        part.append(i)
-        size += len(i[1]) // 2 + 1
-        if size > max_phrases:
-            passes.append(phrases(part, window))
-            part, size = [], 0
-    passes += [phrases(part, window)] if part else []
+    state = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *([F.xxhash64(text).alias("name")] if keep_spans else []))
+    carried = f"id {kind}, text {docs.schema[text].dataType.simpleString()}, " + ("name long, " if keep_spans else "") + "marks array<long>, items array<string>"
+    todo, first = passes(benchmark, item, item_text, window, max_phrases), True
+    p = next(todo, None) or phrases([], window)
+    while (after := next(todo, None)) is not None:
+        state = cut(state.mapInArrow(tidy(_search(p, shard_words, first, None)), carried))
+        p, first = after, False
     schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + (", name long, items array<string>, spans array<struct<start:long,end:long>>" if keep_spans else "")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *([F.xxhash64(text).alias("name")] if keep_spans else [])).mapInArrow(tidy(_hits(passes, keep_spans, shard_words)), schema)
+    return state.mapInArrow(tidy(_search(p, shard_words, first, _finish(keep_spans))), schema)
 
 
 def without_spans(docs: DataFrame, found: DataFrame, key: str, text: str, most: float) -> DataFrame:

@@ -213,6 +213,23 @@ def test_decontamination_against_scans(spark):
     assert {r_["n_hit"] for r_ in fmindex.decontaminate(d, b.limit(0), "k", "t", "i", "s").collect()} == {0}
 
 
+def test_passes_over_a_large_benchmark(spark):
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice("abcdef") for _ in range(n))
+    items = [(i % 25, text(r.randint(0, 9))) for i in range(30)]  # some ids repeat, in one pass or in several
+    docs = [(i, text(r.randint(0, 40))) for i in range(40)] + [(40, None), (41, ""), (42, text(2000))]
+    d = spark.createDataFrame([(*x, "clash") for x in docs], "k long, t string, marks string")
+    b = spark.createDataFrame(items, "i long, s string")
+    want = brute_hits(docs, items, 4)
+    whole = {q["id"]: q for q in fmindex.decontaminate(d, b, "k", "t", "i", "s", 4, keep_spans=True).collect()}
+    assert {i: tuple(q)[1:5] for i, q in whole.items()} == want
+    parts = list(fmindex.passes(b, "i", "s", 4, 12))
+    assert len(parts) > 5 and max(len(p.lengths) for p in parts) <= 12
+    for size in (12, 60):
+        got = fmindex.decontaminate(d, b, "k", "t", "i", "s", 4, keep_spans=True, max_phrases=size, shard_words=100)
+        assert {q["id"]: q for q in got.collect()} == whole
+
+
 def test_suffix_array_and_index():
     r = np.random.default_rng(3)
     for n, sigma in ((1, 3), (40, 3), (400, 6), (300, 2)):

@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """The name, with as many further marks as it takes to be no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, cut, runs, tidy, utf8, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, cut, runs, tidy, unused, utf8, word_hashes
 
 #: Bytes of the words of this contract: all but the ASCII characters that are neither letters nor digits.
 _CODE = np.arange(256)
@@ -342,14 +342,15 @@ def without_spans(docs: DataFrame, found: DataFrame, key: str, text: str, most:
     Only rows with hits are joined: their keys are few against the corpus, and are broadcast if ``found`` has at most a million. Rows that
     repeat a key are cut by their own text's spans.
     """
-    hit = cut(found.filter("n_hit > 0").select(F.col("id").alias(key), F.col("name").alias("__name"), (F.col("n_hit") / F.col("n_words")).alias("__share"), F.col("spans").alias("__spans")).distinct())
+    name, share, spans = (unused(c, docs) for c in ("__name", "__share", "__spans"))
+    hit = cut(found.filter("n_hit > 0").select(F.col("id").alias(key), F.col("name").alias(name), (F.col("n_hit") / F.col("n_words")).alias(share), F.col("spans").alias(spans)).distinct())
     few = hit.count() <= 1_000_000
-    named = docs.withColumn("__name", F.xxhash64(text))
-    joined = named.join(F.broadcast(hit) if few else hit, [key, "__name"], "left").filter(F.coalesce("__share", F.lit(0.0)) <= most)
+    named = docs.withColumn(name, F.xxhash64(text))
+    joined = named.join(F.broadcast(hit) if few else hit, [key, name], "left").filter(F.coalesce(share, F.lit(0.0)) <= most)
     pieces = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["text"], F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
         lambda acc: F.concat(acc["text"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))),
     )
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), pieces).otherwise(F.col(text))).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), pieces).otherwise(F.col(text))).select(*docs.columns)

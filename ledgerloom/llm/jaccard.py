@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, components, counted_cut, cut, mixed, range_hashes, runs, tidy, utf8, utf8_like, word_hashes
+from ledgerloom.llm.common import LOWER, by_bytes, components, counted_cut, cut, mixed, range_hashes, runs, tidy, utf8, utf8_like, word_hashes, unused
 
 SLICE, ROWS = 1 << 21, 2048
 #: Sizes from 4 ** SMALL on have SEGMENTS * 4 ** band segments.
@@ -561,12 +561,13 @@ def deduplicate(docs: DataFrame, key: str, text: str, k: int = 5, percent: int =
     if not n:
         found = near_duplicates(docs, key, text, k, percent)
         gone, n = counted_cut(found.filter("component_id <> id").select(F.col("id").alias(key)))
-        return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key, "left_anti")
+        return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key, "left_anti").select(*docs.columns)
     # An id that repeats does not tell its rows apart, so rows are numbered.
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    row = unused("__row", docs)
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     named = numbered.filter(F.col(key).isNotNull())
-    found = near_duplicates(named, "__row", text, k, percent).select(F.col("id").alias("__row"), "component_id")
-    first = named.select("__row", F.col(key).alias("__key")).join(found, "__row").groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("x")).select("x.__row")
-    kept = named.join(cut(first), "__row", "left_semi").drop("__row")
-    once = kept.join(repeated, key, "left_semi").dropDuplicates([key, text])
-    return kept.join(repeated, key, "left_anti").unionByName(once).unionByName(numbered.filter(F.col(key).isNull()).drop("__row"))
+    found = near_duplicates(named, row, text, k, percent).select(F.col("id").alias(row), "component_id")
+    first = named.select(row, F.col(key).alias("key_")).join(found, row).groupBy("component_id").agg(F.min(F.struct("key_", row)).alias("x")).select(f"x.{row}")
+    kept = named.join(cut(first), row, "left_semi").drop(row).select(*docs.columns)
+    once = kept.join(repeated, key, "left_semi").select(*docs.columns).dropDuplicates([key, text])
+    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once).unionByName(numbered.filter(F.col(key).isNull()).drop(row))

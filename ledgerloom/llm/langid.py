@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, runs, tidy, utf8
+from ledgerloom.llm.common import LOWER, by_bytes, runs, tidy, unused, utf8
 
 #: Letters keep their (lower-case) byte, everything else is 32.
 _LETTER = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
@@ -145,23 +145,23 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray, steps: int = 6, r
     return out
 
 
-def _predict(model: Model):
+def _predict(model: Model, own: str):
     from_id = model.languages + [UNKNOWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "__text", SLICE):
-                data, offsets = utf8(part.column("__text"))
+            for part in by_bytes(batch, own, SLICE):
+                data, offsets = utf8(part.column(own))
                 share = infer(model, data, offsets)
                 k = len(model.languages)
                 pick = share.argmax(axis=1) if k else np.zeros(len(share), np.int64)
                 score = share[np.arange(len(share)), pick] if k else np.zeros(len(share))
-                letters = pc.fill_null(pc.match_substring_regex(part.column("__text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                letters = pc.fill_null(pc.match_substring_regex(part.column(own), r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 pick = np.where((score > 0) & letters, pick, k)
                 score = np.where(pick < k, np.clip(score, 0, 1), 0.0)
                 names = pa.array(from_id, pa.string()).take(pa.array(pick))
-                kept = [part.column(i) for i, f in enumerate(part.schema) if f.name != "__text"]
-                yield pa.RecordBatch.from_arrays([*kept, names, pa.array(score, pa.float64())], names=[*(f.name for f in part.schema if f.name != "__text"), "lang_pred", "lang_score"])
+                kept = [part.column(i) for i, f in enumerate(part.schema) if f.name != own]
+                yield pa.RecordBatch.from_arrays([*kept, names, pa.array(score, pa.float64())], names=[*(f.name for f in part.schema if f.name != own), "lang_pred", "lang_score"])
 
     return run
 
@@ -172,7 +172,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     Whole texts are judged. Null texts and texts without a letter get ``und`` and 0; a text whose letters are none that the model
     has words of, as none is left without a model, too. Repeated rows are judged alike; equal proportions go to the first name.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "__text")] if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")] if keep is None else keep
     fields = docs.select(*keep).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, lang_score double"
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(tidy(_predict(model)), schema)
+    own = unused("__text", docs)
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(tidy(_predict(model, own)), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_bytes, tidy
+from ledgerloom.llm.common import by_bytes, tidy, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Outside, then beginning and inside of each kind.
@@ -394,17 +394,17 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(options: tuple, redact: bool):
+def _scan(options: tuple, redact: bool, own: str = "__text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = options[0]
         for batch in batches:
-            for part in by_bytes(batch, "__text", SLICE):
-                texts = ["" if t is None else t for t in part.column("__text").to_pylist()]
+            for part in by_bytes(batch, own, SLICE):
+                texts = ["" if t is None else t for t in part.column(own).to_pylist()]
                 found = find(net, texts)
-                kept = {f.name: part.column(i) for i, f in enumerate(part.schema) if f.name != "__text"}
+                kept = {f.name: part.column(i) for i, f in enumerate(part.schema) if f.name != own}
                 if redact:
-                    nulls = part.column("__text").is_null().to_pylist()
-                    kept["__text"] = pa.array([None if none else redacted(t, [*b, *m]) if b or m else t for t, (b, m), none in zip(texts, found, nulls)], pa.string())
+                    nulls = part.column(own).is_null().to_pylist()
+                    kept[own] = pa.array([None if none else redacted(t, [*b, *m]) if b or m else t for t, (b, m), none in zip(texts, found, nulls)], pa.string())
                 else:
                     for j, kind in enumerate(KINDS):
                         kept[f"n_{kind}"] = pa.array([sum(k == j for _, k, _ in b) for b, _ in found], pa.int64())
@@ -428,8 +428,11 @@ def scan(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str, **options) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind in brackets; null texts stay null."""
-    rest = [c for c in docs.columns if c != text]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", `__text` string"
-    done = docs.select(*rest, F.col(text).alias("__text")).mapInArrow(tidy(_scan((trained(**options),), True)), schema)
-    return done.withColumnRenamed("__text", text).select(*docs.columns)
+    """``docs`` with each span in ``text`` replaced by its kind in brackets; null texts stay null.
+
+    Empty texts stay empty, whole texts are searched however long they are, repeated rows are treated alike, an empty table gives an empty one.
+    """
+    rest, own = [c for c in docs.columns if c != text], unused("__text", docs)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + f", `{own}` string"
+    done = docs.select(*rest, F.col(text).alias(own)).mapInArrow(tidy(_scan((trained(**options),), True, own)), schema)
+    return done.withColumnRenamed(own, text).select(*docs.columns)

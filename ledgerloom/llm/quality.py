@@ -84,6 +84,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, FEATURES) of every row over its whole text, however long; null texts count as empty, repeated rows give equal rows, an empty table none. Other columns are ignored."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{c} double" for c in FEATURES)
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(_extract), schema)
@@ -195,9 +196,10 @@ def decide(m: Model, x: np.ndarray) -> np.ndarray:
 
 
 def train(found: DataFrame, labels: DataFrame, key: str, label: str, sample: int = 20000, **options) -> Model:
-    """Fit on at most ``sample`` labelled rows, those with the least hashes of their keys. Null labels and keys are left out; of rows that repeat a key one is taken."""
+    """Fit on at most ``sample`` labelled rows, those with the least hashes of their keys. Null labels and keys are left out; of rows that repeat a key the one with the least features is taken. An empty table gives a model that is only its intercept."""
     given = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    rows = found.join(given, "id").orderBy(F.xxhash64("id"), "id").limit(sample).dropDuplicates(["id"]).orderBy("id").toPandas()
+    one = found.join(given, "id").groupBy("id", "y").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    rows = one.orderBy(F.xxhash64("id"), "id").limit(sample).select("y", "x.*", "id").orderBy("id").toPandas()
     return fit(rows[FEATURES].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float), **options)
 
 

@@ -15,6 +15,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import unused
+
 
 def _is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
@@ -65,10 +67,11 @@ def place(df: DataFrame, key: str, shards: list[str], size: int, slot: str = "sl
     Null keys go where the empty string goes; repeated rows go to one shard; an empty table gives an empty result. A column of ``df``
     that has the name of an output column is replaced.
     """
-    table = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
+    own_slot, own_shard = unused("__slot", df), unused("__shard", df)
+    table = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias(own_slot), F.col("shard").alias(own_shard))
     kept = [c for c in df.columns if c not in (slot, shard) or c == key]
-    placed = df.select(*kept, slot_of(F.col(key), size).alias("__slot")).join(F.broadcast(table), "__slot")
-    return placed.select(*kept, F.col("__slot").alias(slot), F.col("__shard").alias(shard))
+    placed = df.select(*kept, slot_of(F.col(key), size).alias(own_slot)).join(F.broadcast(table), own_slot)
+    return placed.select(*kept, F.col(own_slot).alias(slot), F.col(own_shard).alias(shard))
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], size: int, path: str) -> None:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components
+from ledgerloom.llm.common import components, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,11 +83,13 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     """``pages`` with host, path, rule and verdict; columns of ``pages`` that have those names are replaced.
 
     redirects: more edges (src, dst) of URLs. Null URLs and URLs without :// have an empty host and path, fit no rule, have no aliases
-    and are allowed. Repeated rows are judged alike. Decisions travel along edges by joins on URLs, of which only those with an edge take part.
+    and are allowed. Null, empty and very long html is read like any other; an empty table gives an empty result. Repeated rows are judged alike. Decisions travel along edges by joins on URLs, of which only those with an edge take part.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    judged = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
+    rule, place = unused("__rule", pages), unused("__url", pages)
+    given = unused("inherited", pages)
+    judged = pages.select(*kept, host.alias("host"), path.alias("path")).withColumn(rule, rule_of(F.col("host"), F.col("path"), rules))
     edges = alias_edges(pages, url, html) if html else None
     if redirects is not None:
         clean = redirects.select(*(F.regexp_replace(c, r"(?s)#.*$", "").alias(c) for c in ("src", "dst")))
@@ -95,10 +97,10 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     if edges is not None:
         edges = edges.select(*(same_case(F.col(c)).alias(c) for c in ("src", "dst")))
     if edges is None:
-        return judged.select(*kept, "host", "path", F.col("__rule.text").alias("rule"), F.coalesce("__rule.verdict", F.lit("allow")).alias("verdict"))
+        return judged.select(*kept, "host", "path", F.col(f"{rule}.text").alias("rule"), F.coalesce(f"{rule}.verdict", F.lit("allow")).alias("verdict"))
     alias = components(edges)
     own = alias.select("id", "component", rule_of(host_of(F.col("id")), path_of(F.col("id")), rules).verdict.alias("v"))
     group = own.groupBy("component").agg(F.when(F.max(F.col("v") == "allow"), "allow").when(F.max(F.col("v") == "block"), "block").otherwise("allow").alias("inherited"))
-    moved = own.join(group, "component").filter("inherited = 'block'").select(F.col("id").alias("__url"), "inherited")
-    judged = judged.withColumn("__url", F.when(F.col(url).contains("://"), same_case(F.regexp_replace(url, r"(?s)#.*$", ""))))
-    return judged.join(moved, "__url", "left").select(*kept, "host", "path", F.col("__rule.text").alias("rule"), F.coalesce("__rule.verdict", "inherited", F.lit("allow")).alias("verdict"))
+    moved = own.join(group, "component").filter("inherited = 'block'").select(F.col("id").alias(place), F.col("inherited").alias(given))
+    judged = judged.withColumn(place, F.when(F.col(url).contains("://"), same_case(F.regexp_replace(url, r"(?s)#.*$", ""))))
+    return judged.join(moved, place, "left").select(*kept, "host", "path", F.col(f"{rule}.text").alias("rule"), F.coalesce(f"{rule}.verdict", given, F.lit("allow")).alias("verdict"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, jaccard, langid, licenses, pieces, pii, quality, sharding, urls, vectors
+from ledgerloom.llm import divergence, fmindex, jaccard, langid, licenses, pieces, pii, quality, sharding, urls, vectors
 from ledgerloom.llm.common import cut, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,31 @@ def tokenizer_path() -> str:
 @query("op7_sampled_pieces")
 def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), k=2, digest=True).withColumnRenamed("id", "doc_id")
+
+
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_SHARE = "1 + (1000000000::hugeint * ({n} + 1)) // ({size} + {kept})"
+
+
+@query(
+    "op13_source_divergence",
+    f"""with read as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    words as (select lang, source, doc, unnest(regexp_extract_all(text, '{_TERMS}')) as term from read),
+    kept as (select lang, term, count(*) as n from words group by 1, 2 having count(distinct doc) >= 3),
+    langs as (select lang, count(*) as v, sum(n) as size from kept group by 1),
+    counts as (select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by 1, 2, 3),
+    groups as (select lang, source from read group by 1, 2),
+    sizes as (select lang, source, (select coalesce(sum(n), 0) from counts c where c.lang = g.lang and c.source = g.source) as size from groups g),
+    shares as (select k.lang, s.source, k.term, coalesce(c.n, 0) as n, {_SHARE.format(n="coalesce(c.n, 0)", size="s.size", kept="l.v")} as p, {_SHARE.format(n="k.n", size="l.size", kept="l.v")} as q
+        from kept k join langs l using (lang) join sizes s using (lang) left join counts c on c.lang = k.lang and c.source = s.source and c.term = k.term),
+    summed as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+    pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    terms as (select lang, source, term as item, (p - q) * (p - q) // q as value from shares where n > 0 and p > q),
+    ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+        union all (select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms qualify rank <= 200))
+    select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked""",
+)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import divergence, fmindex, jaccard, langid, licenses, pieces, pii, quality, sharding, urls, vectors
+from ledgerloom.llm import divergence, fmindex, jaccard, langid, licenses, ordermin, pieces, pii, quality, sharding, urls, vectors
 from ledgerloom.llm.common import cut, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ _SHARE = "1 + (1000000000::hugeint * ({n} + 1)) // ({size} + {kept})"
 )
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import divergence, fmindex, jaccard, langid, licenses, ordermin, pieces, pii, quality, sharding, urls, vectors
+from ledgerloom.llm import divergence, fmindex, jaccard, langid, licenses, ordermin, pieces, pii, quality, repair, sharding, urls, vectors
 from ledgerloom.llm.common import cut, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,53 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprints(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+_CRC = "(select list_transform(range(256), lambda x: list_reduce(list_prepend(x, repeat([0::bigint], 8)), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"
+_STATES = "struct(c bigint, a varchar, t varchar)[]"
+_INSERTED = "{{'c': {e}.c + 2, 'a': {e}.a || 'I', 't': {e}.t || '{role}:' || chr(10)}}"
+_USER = f"list_min([e[3], {', '.join(_INSERTED.format(e=f'e[{k}]', role='user') for k in (1, 2, 4))}])"
+_KEPT = "{{'c': case when {ok} then e[{k}].c + short else 1000000 end, 'a': e[{k}].a || 'K', 't': e[{k}].t || line}}"
+_NAMED = "{{'c': case when gone then 1000000 else e[{k}].c + 2 + short end, 'a': e[{k}].a || 'R', 't': e[{k}].t || '{role}:' || text || chr(10)}}"
+_GONE = "{{'c': e[{k}].c + 3, 'a': e[{k}].a || 'D', 't': e[{k}].t}}"
+
+
+def _after(state: int) -> str:
+    """Candidates for a state after one more row."""
+    out = [_GONE.format(k=state)]
+    before, role, initial = {1: ((), "", ""), 2: ((1,), "", "s"), 3: ((1, 2, 4), "user", "u"), 4: ((3,), "assistant", "a")}[state]
+    out += [_KEPT.format(k=k, ok=f"not gone and initial = '{initial}'") for k in before]
+    out += [_NAMED.format(k=k, role=role) for k in before if role]
+    return f"list_min([{', '.join(out)}])"
+
+
+@query(
+    "op12_conversation_repair",
+    f"""with recursive coded as (select c.conv_id, c.turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda h: ascii(h)::bigint)),
+            lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 20 as code from conversations c, {_CRC}),
+    damaged as (select conv_id, turn, case code when 4 then 'user' else role end as role, case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(case code when 3 then [1, 2] else [1] end) as copy from coded where code <> 0),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(role || ':' || text), copy) as i from damaged),
+    seen as (select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+        not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as cut, role[1] as initial, lag(role[1]) over (partition by conv_id order by i) as before from placed),
+    told as (select conv_id, i, turn, text, initial, before, role || ':' || text || chr(10) as line, blank, again and not blank as duplicate, cut and not blank and not again as truncated, blank or again as gone,
+        case when cut and not blank and not again then 1 else 0 end as short from seen),
+    counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+        count(*) filter (truncated) as truncated, count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n from told group by 1),
+    ids as (select distinct conv_id from conversations),
+    steps(conv_id, i, e) as (
+        select conv_id, 0::bigint, [{{'c': 0, 'a': '', 't': ''}}, {{'c': 1000000, 'a': '', 't': ''}}, {{'c': 2, 'a': 'I', 't': 'user:' || chr(10)}}, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}}]::{_STATES} from ids
+        union all
+        select conv_id, i, list_append(e[1:3], list_min([e[4], {_INSERTED.format(e="e[3]", role="assistant")}]))::{_STATES} from (
+            select conv_id, i, list_append(list_append(e[1:2], {_USER}), e[4])::{_STATES} as e from (
+                select s.conv_id, s.i + 1 as i, [{_after(1)}, {_after(2)}, {_after(3)}, {_after(4)}]::{_STATES} as e
+                from steps s join told r on r.conv_id is not distinct from s.conv_id and r.i = s.i + 1))),
+    ends as (select s.conv_id, list_min([e[1], e[4]]) as best from steps s left join counts c on c.conv_id is not distinct from s.conv_id where s.i = coalesce(c.n, 0))
+    select d.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+        coalesce(illegal, 0)::bigint as illegal, best.c as cost, best.a as audit, sha256(best.t[1:greatest(length(best.t) - 1, 0)]) as repaired_sha256
+    from ids d join ends e on e.conv_id is not distinct from d.conv_id left join counts c on c.conv_id is not distinct from d.conv_id""",
+)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faulty = repair.damaged(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return repair.repair(faulty, "id", "turn", "role", "text", F.col("present")).withColumnRenamed("id", "conv_id")

@@ -168,7 +168,7 @@ def _diverge(table: pa.Table) -> pa.Table:
     start = np.searchsorted(row, np.arange(len(source) + 1))
     full = np.flatnonzero(np.diff(start))  # reduceat would read on in an empty row
     f = lambda x, y: (x - y) * (x - y) // y
-    facing = source // SIDE
+    of = column(heads, "side")
     q = np.empty(int(term.max()) + 1 if len(term) else 0, np.int64)
     a_out, b_out, v_out = [], [], []
     for b in range(len(source)):
@@ -180,7 +180,7 @@ def _diverge(table: pa.Table) -> pa.Table:
         if len(full):
             at = q[term]
             total[full] += np.add.reduceat(f(p, at) - f(absent[row], at), start[full])
-        a = np.flatnonzero((facing == (other if facing[b] == side else side)) & (np.arange(len(source)) != b))
+        a = np.flatnonzero((of == (other if of[b] == side else side)) & (np.arange(len(source)) != b))
         a_out.append(source[a])
         b_out.append(np.full(len(a), source[b]))
         v_out.append(total[a])
@@ -188,7 +188,7 @@ def _diverge(table: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(out["a"]), pa.string()), **{k: pa.array(v.astype(np.int64)) for k, v in out.items()}})
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 3, top: int = 200) -> DataFrame:
+def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 3, top: int = 200, entries_each: int = ENTRIES, sources_each: int = SIDE) -> DataFrame:
     """(lang, source, part, item, value, rank) for each group of one language and source.
 
     Terms are runs of letters of ASCII, in lower case, and of all other characters. A language keeps the V terms that ``least`` of its documents hold. A term
@@ -210,7 +210,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = entries.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("term").alias("held"), F.count_if(real & F.col("leads")).alias("led"))
     groups = groups.withColumns({"kept": F.sum("led").over(by_lang), "lang_size": F.sum("size").over(by_lang), "lang_held": F.sum("held").over(by_lang)})
     groups = groups.withColumn("s", F.row_number().over(by_lang.orderBy("source")).cast("long") - 1).drop("led")
-    groups = cut(groups.withColumn("sides", F.floor(F.max("s").over(by_lang) / SIDE).cast("int")))
+    groups = cut(groups.withColumn("sides", F.floor(F.max("s").over(by_lang) / sources_each).cast("int")))
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     placed = entries.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALT)).cast("int")).join(salted, ["lang", "source", "salt"])
 
@@ -220,11 +220,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     terms = over.select("lang", "source", F.lit("term").alias("part"), "item", _excess(F.col("p"), F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= top)
 
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("lang_held") / ENTRIES)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("lang_held") / entries_each)).cast("int")
     block = F.when(real, F.array(F.pmod(F.xxhash64("term", F.lit(1)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = placed.select("lang", "s", "term", "n", (F.col("size") + F.col("kept")).alias("size"), F.explode(block).alias("block"), F.floor(F.col("s") / SIDE).cast("int").alias("side"), "sides")
+    dealt = placed.select("lang", "s", "term", "n", (F.col("size") + F.col("kept")).alias("size"), F.explode(block).alias("block"), F.floor(F.col("s") / sources_each).cast("int").alias("side"), "sides")
     dealt = dealt.withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("sides"))))
-    dealt = dealt.select("lang", "block", F.least("side", "facing").alias("i"), F.greatest("side", "facing").alias("j"), "s", "size", "n", "term")
+    dealt = dealt.select("lang", "block", F.least("side", "facing").alias("i"), F.greatest("side", "facing").alias("j"), "side", "s", "size", "n", "term")
     parts = dealt.groupBy("lang", "block", "i", "j").applyInArrow(_diverge, "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     absent = _share(F.lit(0), F.col("size"), F.col("kept"))
     rows = groups.select("lang", F.col("s").alias("a"), "source", F.when(F.col("kept") > 0, absent).alias("p0"))

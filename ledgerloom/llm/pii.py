@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.llm.common import by_bytes, tidy, unused
 
@@ -29,7 +30,7 @@ KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)
 CORE, SIDE = 32, 16
 WINDOW = CORE + 2 * SIDE
-SLICE, BATCH = 1 << 22, 512
+SLICE, BATCH, GROUP = 1 << 22, 512, 1 << 13
 
 _TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -206,21 +207,35 @@ def crf_loss(e: np.ndarray, y: np.ndarray, trans: np.ndarray, start: np.ndarray)
 
 def viterbi(e: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Best tags (time, batch) of sequences padded to one time."""
+    score, back = forward(e, 0, None, length, trans, start)
+    return backtrack(score, [back])
+
+
+def forward(e: np.ndarray, at: int, score: np.ndarray | None, length: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores after the emissions of times from ``at`` on, given the scores before, and for each time and tag the best tag before it."""
     time, n, k = e.shape
-    score = start + e[0]
     back = np.zeros((time, n, k), np.int8)
-    for t in range(1, time):
+    for t in range(time):
+        if score is None:
+            score = start + e[0]
+            continue
         both = score[:, :, None] + trans
-        back[t] = both.argmax(1)
-        new = both.max(1) + e[t]
-        live = (t < length)[:, None]
-        back[t] = np.where(live, back[t], np.arange(k))
-        score = np.where(live, new, score)
-    tag = score.argmax(1)
-    out = np.zeros((time, n), np.int8)
-    for t in range(time - 1, -1, -1):
-        out[t] = tag
-        tag = back[t][np.arange(n), tag]
+        live = (at + t < length)[:, None]
+        back[t] = np.where(live, both.argmax(1), np.arange(k))
+        score = np.where(live, both.max(1) + e[t], score)
+    return score, back
+
+
+def backtrack(score: np.ndarray, backs: list[np.ndarray]) -> np.ndarray:
+    """The tags (time, batch) that lead to the best scores."""
+    tag, rows = score.argmax(1), np.arange(len(score))
+    out = np.zeros((sum(map(len, backs)), len(score)), np.int8)
+    at = len(out)
+    for back in reversed(backs):
+        for t in range(len(back) - 1, -1, -1):
+            at -= 1
+            out[at] = tag
+            tag = back[t][rows, tag]
     return out
 
 
@@ -301,22 +316,68 @@ def trained(hidden: int = 16, steps: int = 180, batch: int = 64, rate: float = 0
     return net
 
 
+def _digits(s: str) -> bool:
+    """Whether there are only digits of ASCII; others, such as superscripts, are no numbers to ``int``."""
+    return s.isascii() and s.isdigit()
+
+
 def _plausible(kind: int, s: str) -> bool:
     """What a kind's definition asks of every span."""
     digits = sum("0" <= c <= "9" for c in s)
     if kind == 0:
         return s.count("@") == 1 and "." in s.split("@")[1] and not s.startswith("@") and s[-1].isalnum()
     if kind == 1:
-        return s.count(".") == 3 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in s.split("."))
+        return s.count(".") == 3 and all(_digits(x) and len(x) <= 3 and int(x) <= 255 for x in s.split("."))
     if kind == 2:
-        return 13 <= digits <= 19 and s[0].isdigit() and s[-1].isdigit() and digits + sum(c in " -" for c in s) == len(s)
-    return 10 <= digits <= 15 and s[-1].isdigit() and s[0] in "+(0123456789" and all(c in "+(). -0123456789" for c in s)
+        return 13 <= digits <= 19 and _digits(s[0]) and _digits(s[-1]) and digits + sum(c in " -" for c in s) == len(s)
+    return 10 <= digits <= 15 and _digits(s[-1]) and s[0] in "+(0123456789" and all(c in "+(). -0123456789" for c in s)
+
+
+def _decoded(net: Network, padded: list[np.ndarray], first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Tags (time, stretch) of stretches of ``size`` adjoining cores from core ``first`` on, of texts as padded classes.
+
+    Each place has the mean of the emissions of the windows that reach it. Windows are read some cores at a time; what is held for a whole stretch is one byte a
+    place and tag, and sums at places that later windows reach too are carried on.
+    """
+    n, longest = len(size), int(size.max())
+    length = size * CORE + 2 * SIDE
+    each = max(1, BATCH // n)
+    open_sums, open_times = np.zeros((2 * SIDE, n, TAGS), np.float32), np.zeros((2 * SIDE, n, 1), np.float32)
+    score, backs = None, []
+    for at in range(0, longest, each):
+        cores = min(each, longest - at)
+        sums, times = (np.concatenate((o, np.zeros((cores * CORE, *o.shape[1:]), np.float32))) for o in (open_sums, open_times))
+        here = [(j, c) for j in range(n) for c in range(at, min(at + cores, int(size[j])))]
+        if here:
+            x = np.stack([padded[j][(first[j] + c) * CORE : (first[j] + c) * CORE + WINDOW] for j, c in here])
+            for (j, c), e in zip(here, net.emit(x).transpose(1, 0, 2)):
+                place = (c - at) * CORE
+                sums[place : place + WINDOW, j] += e
+                times[place : place + WINDOW, j] += 1
+        done = len(sums) if at + cores == longest else cores * CORE
+        score, back = forward(sums[:done] / np.maximum(times[:done], 1), at * CORE, score, length, net.p["t"], net.p["s"])
+        backs.append(back)
+        open_sums, open_times = sums[done:], times[done:]
+    return backtrack(score, backs)
+
+
+def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Stretches of like size that are decoded together, at most BATCH, and of GROUP cores when all are as long as the longest; a longer one is by itself."""
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and to - at < BATCH and int(size[order[to]]) * (to - at + 1) <= GROUP:
+            to += 1
+        yield order[at:to]
+        at = to
 
 
 def model_spans(net: Network, texts: list[str]) -> list[list[Span]]:
     """What the network finds in each text."""
     out: list[list[Span]] = [[] for _ in texts]
-    rows, cores, inputs = [], [], []
+    padded: dict[int, np.ndarray] = {}
+    rows, firsts, sizes = [], [], []
     for k, text in enumerate(texts):
         if not _TRIGGER.search(text):
             continue
@@ -324,35 +385,21 @@ def model_spans(net: Network, texts: list[str]) -> list[list[Span]]:
         hot = np.unique(np.flatnonzero((x == len(_OWN)) | (x == 0)) // CORE)
         hot = np.unique(np.concatenate((hot - 1, hot, hot + 1)))
         hot = hot[(hot >= 0) & (hot * CORE < len(x))]
-        padded = np.full(len(x) + WINDOW + CORE, CLASSES, np.int64)
-        padded[SIDE : SIDE + len(x)] = x
-        rows += [k] * len(hot)
-        cores.append(hot)
-        inputs.append(padded[hot[:, None] * CORE + np.arange(WINDOW)])
+        padded[k] = np.full(len(x) + WINDOW + CORE, CLASSES, np.uint8)
+        padded[k][SIDE : SIDE + len(x)] = x
+        new = np.flatnonzero(np.concatenate(([True], hot[1:] != hot[:-1] + 1)))  # stretches of adjoining windows
+        rows += [k] * len(new)
+        firsts.append(hot[new])
+        sizes.append(np.diff(np.append(new, len(hot))))
     if not rows:
         return out
-    row, core, x = np.array(rows), np.concatenate(cores), np.concatenate(inputs)
-    emitted = np.concatenate([net.emit(x[at : at + BATCH]).transpose(1, 0, 2) for at in range(0, len(x), BATCH)])
-    # Stretches of adjoining windows; each place has the mean of the emissions of its windows.
-    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (core[1:] != core[:-1] + 1))))
-    size = np.diff(np.append(new, len(row)))
-    order = np.argsort(size, kind="stable")
-    for at in range(0, len(order), BATCH):
-        group = order[at : at + BATCH]
-        longest = int(size[group].max())
-        e = np.zeros((longest * CORE + 2 * SIDE, len(group), TAGS), np.float32)
-        times = np.zeros((longest * CORE + 2 * SIDE, len(group), 1), np.float32)
+    row, first, size = np.array(rows), np.concatenate(firsts), np.concatenate(sizes)
+    for group in _groups(size):
+        tags = _decoded(net, [padded[k] for k in row[group].tolist()], first[group], size[group])
         for j, s in enumerate(group.tolist()):
-            for w in range(int(size[s])):
-                e[w * CORE : w * CORE + WINDOW, j] += emitted[new[s] + w]
-                times[w * CORE : w * CORE + WINDOW, j] += 1
-        e /= np.maximum(times, 1)
-        length = size[group] * CORE + 2 * SIDE
-        tags = viterbi(e, length, net.p["t"], net.p["s"])
-        for j, s in enumerate(group.tolist()):
-            t = tags[: length[j], j]
-            base = int(core[new[s]]) * CORE - SIDE
-            text = texts[row[new[s]]]
+            t = tags[: int(size[s]) * CORE + 2 * SIDE, j]
+            base = int(first[s]) * CORE - SIDE
+            text = texts[row[s]]
             for a in np.flatnonzero(t % 2 == 1).tolist():
                 inside = t[a] + 1
                 b = a + 1
@@ -363,7 +410,7 @@ def model_spans(net: Network, texts: list[str]) -> list[list[Span]]:
                     # A number's span ends where the number ends.
                     whole = (i == 0 or not (text[i - 1].isalnum() and text[i].isalnum())) and (j2 == len(text) or not (text[j2].isalnum() and text[j2 - 1].isalnum()))
                     if whole:
-                        out[row[new[s]]].append((i, kind, j2))
+                        out[row[s]].append((i, kind, j2))
     return [sorted(x) for x in out]
 
 
@@ -420,11 +467,11 @@ def scan(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     """One row per row: id, n_email, n_ip, n_card, n_phone (base spans), n_added (the network's spans), base_sha256 and spans (all).
 
     Offsets are in code points of the whole text, the end exclusive. Null and empty texts have no spans. Rows are scanned each by itself, so repeated rows are
-    alike; other columns are ignored.
+    alike; other columns are ignored. An empty table has no rows. A text of digits only is decoded in parts, at some 20 bytes a character.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base_sha256 string, spans string"
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).mapInArrow(tidy(_scan((trained(**options),), False)), schema)
+    return docs.select(docs[_quoted(key)].alias("id"), docs[_quoted(text)].alias("__text")).mapInArrow(tidy(_scan((trained(**options),), False)), schema)
 
 
 def redact(docs: DataFrame, text: str, **options) -> DataFrame:
@@ -433,6 +480,10 @@ def redact(docs: DataFrame, text: str, **options) -> DataFrame:
     Empty texts stay empty, whole texts are searched however long they are, repeated rows are treated alike, an empty table gives an empty one.
     """
     rest, own = [c for c in docs.columns if c != text], unused("__text", docs)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + f", `{own}` string"
-    done = docs.select(*rest, F.col(text).alias(own)).mapInArrow(tidy(_scan((trained(**options),), True, own)), schema)
-    return done.withColumnRenamed(own, text).select(*docs.columns)
+    schema = StructType([StructField(c, docs.schema[c].dataType) for c in rest] + [StructField(own, StringType())])
+    done = docs.select(*(docs[_quoted(c)] for c in rest), docs[_quoted(text)].alias(own)).mapInArrow(tidy(_scan((trained(**options),), True, own)), schema)
+    return done.select(*(done[_quoted(own if c == text else c)].alias(c) for c in docs.columns))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

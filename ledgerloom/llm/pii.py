@@ -20,10 +20,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ledgerloom.llm.common import by_bytes, tidy, unused
+from ledgerloom.llm.common import by_bytes, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Outside, then beginning and inside of each kind.
@@ -479,10 +478,11 @@ def redact(docs: DataFrame, text: str, **options) -> DataFrame:
 
     Empty texts stay empty, whole texts are searched however long they are, repeated rows are treated alike, an empty table gives an empty one.
     """
-    rest, own = [c for c in docs.columns if c != text], unused("__text", docs)
-    schema = StructType([StructField(c, docs.schema[c].dataType) for c in rest] + [StructField(own, StringType())])
-    done = docs.select(*(docs[_quoted(c)] for c in rest), docs[_quoted(text)].alias(own)).mapInArrow(tidy(_scan((trained(**options),), True, own)), schema)
-    return done.select(*(done[_quoted(own if c == text else c)].alias(c) for c in docs.columns))
+    # Arrow functions take plain column names only.
+    plain = {c: "text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)}
+    schema = StructType([StructField(plain[c], StringType() if c == text else docs.schema[c].dataType) for c in sorted(docs.columns, key=lambda c: c == text)])
+    done = docs.select(*(docs[_quoted(c)].alias(plain[c]) for c in docs.columns)).mapInArrow(tidy(_scan((trained(**options),), True, "text")), schema)
+    return done.select(*(done[plain[c]].alias(c) for c in docs.columns))
 
 
 def _quoted(name: str) -> str:

@@ -7,6 +7,7 @@ back into the order of the text and hashed as a tuple. Texts agree in a draw whe
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_bytes, cut, mixed, tidy
+from ledgerloom.llm.common import by_bytes, mixed, shared_folder, tidy
 
 K, PICKED, DRAWS = 8, 2, 64
 #: K-mers that are numbered at a time; of longer texts, one range of hashes after another.
@@ -124,7 +125,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def as_text(signature: np.ndarray) -> str:
     """Eight lowercase hexadecimal digits for each draw."""
-    return signature.astype(">u4").tobytes().hex()
+    return _packed(signature).hex()
+
+
+def _packed(signature: np.ndarray) -> bytes:
+    return signature.astype(">u4").tobytes()
 
 
 def _edited(text: str, following: str) -> str:
@@ -140,12 +145,13 @@ def _compare(rows: Iterator[tuple[object, str, str]], **how: int) -> Iterator[tu
         last = following, own if following == text else signature(following, **how)
         changed = _edited(text, following)
         other = own if changed == text else signature(changed, **how)
-        sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        yield key, len(text), sha, as_text(own), as_text(other), likeness(own, other), likeness(own, last[1])
+        sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest()
+        yield key, len(text), sha, _packed(own), _packed(other), likeness(own, other), likeness(own, last[1])
 
 
 RESULT = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_TYPES = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_ARROW = [pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +165,7 @@ def _in_order(kind: pa.DataType, **how: int):
 
     def batch(results: list[tuple], texts: list[str | None], edge: int | None, part: int) -> pa.RecordBatch:
         columns = list(zip(*results))
-        values = [pa.array(columns[0], kind)] + [pa.array(c, t) for c, t in zip(columns[1:], [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2])]
+        values = [pa.array(columns[0], kind)] + [pa.array(c, t) for c, t in zip(columns[1:], _ARROW)]
         return pa.RecordBatch.from_arrays(values + [pa.array(texts, pa.string()), pa.array([edge] * len(results), pa.int32()), pa.array([part] * len(results), pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +191,7 @@ def _at_edges(kind: pa.DataType, **how: int):
         for b in batches:
             found = list(_compare(zip(*(b.column(c).to_pylist() for c in ("id", "text", "following"))), **how))
             columns = list(zip(*found)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind)] + [pa.array(c, t) for c, t in zip(columns[1:], [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2])], names=["id", *RESULT])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind)] + [pa.array(c, t) for c, t in zip(columns[1:], _ARROW)], names=["id", *RESULT])
 
     return run
 
@@ -208,11 +214,14 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int = K, picked: int =
     dealt = read.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
     name = read.schema["id"].dataType.simpleString()
     kind = read.select("id").limit(0).toArrow().schema.field("id").type
-    found = cut(dealt.select("id", "text").mapInArrow(tidy(_in_order(kind, **how)), f"id {name}, {_TYPES}, text string, edge int, part int"))
+    folder = f"{shared_folder(docs.sparkSession)}/fingerprints-{uuid.uuid4().hex}"
+    dealt.select("id", "text").mapInArrow(tidy(_in_order(kind, **how)), f"id {name}, {_TYPES}, text string, edge int, part int").write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
     parts = Window.orderBy("part")  # as many rows as partitions
     around = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("part").over(parts), F.max("part").over(around))
     ring = found.filter("edge = 0").select("part").withColumn("before", before)
     first = found.filter("edge = 0").select("part", F.col("text").alias("following")).join(ring, "part")
     meet = found.filter("edge = 1").select("id", "text", F.col("part").alias("before")).join(first, "before").select("id", "text", "following")
-    return found.filter("edge is null").select("id", *RESULT).unionByName(meet.mapInArrow(tidy(_at_edges(kind, **how)), f"id {name}, {_TYPES}"))
+    out = found.filter("edge is null").select("id", *RESULT).unionByName(meet.mapInArrow(tidy(_at_edges(kind, **how)), f"id {name}, {_TYPES}"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in RESULT[1:4]})

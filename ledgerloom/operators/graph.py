@@ -104,6 +104,15 @@ def components(v: DataFrame, edges: DataFrame) -> DataFrame:
     return names.join(out, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
+def roots(step: DataFrame) -> DataFrame:
+    """(id, up): where steps (id, up) lead in the end; an id that is no key of a step is a root. Steps double each round, so a chain takes the logarithm of its length; they must have no cycle."""
+    jump = keep(step.withColumn("moved", F.lit(True)))
+    while not jump.filter("moved").isEmpty():
+        above = jump.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        jump = keep(jump.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+    return jump.drop("moved")
+
+
 def component_sizes(c: DataFrame) -> DataFrame:
     return c.groupBy("component").agg(F.count("*").alias("size"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import bag_overlap, contains, may_match, normalize_name, ratio_udf, score
-from ledgerloom.operators.graph import components, keep
+from ledgerloom.functions.names import contains, normalize_name, ratio_udf
+from ledgerloom.operators import fuzzy
+from ledgerloom.operators.graph import components, keep, roots
 from ledgerloom.sources.schemas import CONTAINMENT, DUPLICATE_THRESHOLD, MERGE_THRESHOLD
 
 
@@ -28,31 +28,17 @@ def _pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def candidate_pairs(n: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
-    """Pairs of one type with different normalised names that may reach the threshold.
-
-    Distinct names are paired by blocks: a pair whose ratio reaches the threshold has lengths within a factor of t / (2 - t), so names meet in
-    buckets of their length's logarithm and the next one; names that contain another meet by the shorter one's whole text among the substrings of the
-    longer. Then lengths and characters in common are compared before Python sees a pair.
-    """
-    width = F.log(F.lit((2 - threshold) / threshold))
-    d = n.groupBy("type", "norm").agg(F.min("seq").alias("seq")).withColumn("bucket", F.floor(F.log(F.length("norm")) / width).cast("int"))
-    a = d.select("type", F.col("norm").alias("x"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    b = d.select("type", F.col("norm").alias("y"), "bucket")
-    both = a.join(b, ["type", "bucket"]).filter("x <> y").select("type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    x, y = F.col("x"), F.col("y")
-    near = both.filter(2 * F.least(F.length(x), F.length(y)) >= threshold * (F.length(x) + F.length(y))).filter(2 * bag_overlap(x, y) >= threshold * (F.length(x) + F.length(y)))
+    """(type, x, y): pairs of one type with different normalised names that may reach the threshold, from an index of rare tokens; names within others are found by a rare piece."""
+    d = keep(n.select("type", "norm").distinct().withColumn("side", F.lit(3)))
+    near = fuzzy.alike(d, threshold)
     if threshold <= CONTAINMENT:
         near = near.unionByName(contained_norms(d).select("type", F.least("short", "long").alias("x"), F.greatest("short", "long").alias("y"))).distinct()
     return near
 
 
 def contained_norms(d: DataFrame) -> DataFrame:
-    """(type, short, long): distinct normalised names of which one lies within the other, by an equi-join on substrings of the lengths that occur."""
-    sizes = d.groupBy("type").agg(F.array_sort(F.collect_set(F.length("norm"))).alias("sizes"))
-    n = F.length("norm")
-    parts = F.flatten(F.transform(F.filter("sizes", lambda k: k < n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("norm"), i, k))))
-    inner = d.select("type", "norm").join(sizes, "type").select("type", F.col("norm").alias("long"), F.explode(F.array_distinct(parts)).alias("short"))
-    return inner.join(d.select("type", F.col("norm").alias("short")), ["type", "short"], "left_semi")
+    """(type, short, long): distinct normalised names of which one lies within the other."""
+    return fuzzy.contained(d)
 
 
 def scored_pairs(v: DataFrame, threshold: float = DUPLICATE_THRESHOLD, least: int = 1, strip_dash: bool = False) -> DataFrame:
@@ -80,27 +66,38 @@ def resolve_in_order(names: DataFrame, threshold: float = MERGE_THRESHOLD, compa
     """(type, name, canonical) as one pass over each type's names in the order of ``seq`` decides: an equal normalised name, else the first
     registered one whose score reaches the threshold, else a new entity.
 
-    The order makes it sequential within a type, so a type's distinct names meet in one task; use ``resolve_by_links`` for types of many
-    names. ``compat``: names that normalise to nothing take part too, and then merge with anything.
+    A registered name stands for what it was resolved to, so the pass is a forest: the parent of a normalised name is the earliest earlier one that it is alike to, and its
+    canonical name is its root's. Parents come from the candidate pairs, roots by doubling steps; nothing goes name by name. ``compat``: names that normalise to nothing
+    take part too, and then merge with anything.
     """
-    first = names.groupBy("type", "name").agg(F.min("seq").alias("seq")).withColumn("norm", normalize_name(F.col("name"), strip_dash=True))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        registry: dict[str, str] = {}
-        out = []
-        pdf = pdf.sort_values("place")
-        for name, norm in pdf[["name", "norm"]].itertuples(index=False):
-            if not norm and not compat:
-                out.append(name)
-                continue
-            if norm not in registry:
-                hit = next((c for n, c in registry.items() if score(norm, n, 0 if compat else 1) >= threshold), None)
-                registry[norm] = name if hit is None else hit
-            out.append(registry[norm])
-        return pd.DataFrame({"type": pdf["type"].values, "name": pdf["name"].values, "canonical": out})
-
-    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy("seq", "name")))
-    return placed.select("type", "name", "norm", "place").groupBy("type").applyInPandas(one, "type string, name string, canonical string")
+    kind = F.coalesce(F.concat(F.lit("="), F.col("type").cast("string")), F.lit("")).alias("kind")
+    first = names.groupBy("type", "name").agg(F.min("seq").alias("seq")).select("type", "name", "seq", kind, normalize_name(F.col("name"), strip_dash=True).alias("norm"))
+    known = first if compat else first.filter("norm <> ''")
+    entries = keep(known.groupBy("kind", "norm").agg(F.min(F.struct("seq", "name")).alias("at")))
+    parents = earliest(entries, threshold, compat)
+    top = roots(parents.select(F.struct("kind", "norm").alias("id"), F.struct("kind", F.col("parent").alias("norm")).alias("up")))
+    top = top.select(F.col("id.kind").alias("kind"), F.col("id.norm").alias("norm"), F.col("up.norm").alias("root"))
+    told = entries.join(top, ["kind", "norm"], "left").select("kind", "norm", F.coalesce("root", "norm").alias("root"))
+    told = told.join(entries.select("kind", F.col("norm").alias("root"), F.col("at.name").alias("canonical")), ["kind", "root"])
+    return first.join(told, ["kind", "norm"], "left").select("type", "name", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def earliest(entries: DataFrame, threshold: float = MERGE_THRESHOLD, compat: bool = False) -> DataFrame:
+    """(kind, norm, parent): the earliest earlier name of the kind whose score reaches the threshold; ``at`` orders names. Those without one have no row."""
+    pairs = candidate_pairs(entries.filter("norm <> ''").select(F.col("kind").alias("type"), "norm"), threshold)
+    side = lambda c: entries.select(F.col("kind").alias("type"), F.col("norm").alias(c), F.col("at").alias("at_" + c))
+    p = pairs.join(side("x"), ["type", "x"]).join(side("y"), ["type", "y"])
+    before = F.col("at_x") < F.col("at_y")
+    p = p.select(F.col("type").alias("kind"), *(F.when(before, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("y", "x", "norm"), ("x", "y", "old"), ("at_x", "at_y", "old_at"))))
+    s = ratio_udf(F.col("norm"), F.col("old"))
+    p = p.withColumn("s", F.when(contains(F.col("norm"), F.col("old")), F.greatest(s, F.lit(CONTAINMENT))).otherwise(s)).filter(F.col("s") >= threshold).drop("s")
+    if compat and threshold <= CONTAINMENT:  # nothing lies within every name
+        empty = entries.filter("norm = ''").select("kind", F.col("at").alias("old_at"))
+        after = entries.filter("norm <> ''").join(empty, "kind").filter(F.col("at") > F.col("old_at")).select("kind", "norm", F.lit("").alias("old"), "old_at")
+        start = entries.groupBy("kind").agg(F.min_by("norm", "at").alias("old"), F.min("at").alias("first"))
+        own = empty.join(start, "kind").filter(F.col("first") < F.col("old_at")).select("kind", F.lit("").alias("norm"), "old", F.col("first").alias("old_at"))
+        p = p.unionByName(after).unionByName(own)
+    return p.groupBy("kind", "norm").agg(F.min_by("old", "old_at").alias("parent"))
 
 
 def resolve_by_links(names: DataFrame, threshold: float = MERGE_THRESHOLD, least: int = 1) -> DataFrame:
@@ -122,7 +119,16 @@ def ambiguous(references: DataFrame, documents: DataFrame, threshold: float = ME
     """Fuzzy matches of references' titles to documents of the same revision: (ref, title, best, similarity, verdict). Several best ones, or none, go to review; nothing is matched by itself."""
     r = references.select("ref", "revision", normalize_name(F.col("title")).alias("x")).filter("x <> ''")
     d = documents.select("revision", normalize_name(F.col("title")).alias("y"), F.col("title").alias("found")).filter("y <> ''").distinct()
-    pairs = r.select("revision", "x").distinct().join(d.select("revision", "y").distinct(), "revision").filter(may_match(F.col("x"), F.col("y"), threshold))
+    asked, there = keep(r.select("revision", "x").distinct()), keep(d.select("revision", "y").distinct())
+    sides = asked.select("revision", F.col("x").alias("norm"), F.lit(1).alias("side")).unionAll(there.select("revision", "y", F.lit(2)))
+    both = keep(sides.groupBy(F.col("revision").cast("string").alias("type"), "norm").agg(F.bit_or("side").alias("side")))
+    near = fuzzy.alike(both, threshold)
+    if threshold <= CONTAINMENT:
+        near = near.unionByName(fuzzy.contained(both).select("type", F.least("short", "long").alias("x"), F.greatest("short", "long").alias("y"))).distinct()
+    same = both.filter("side = 3").select("type", F.col("norm").alias("x"), F.col("norm").alias("y"))
+    either = near.unionByName(near.select("type", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(same)
+    kind = F.col("revision").cast("string").alias("type")
+    pairs = either.join(asked.select("revision", kind, "x"), ["type", "x"]).join(there.select(kind, "y"), ["type", "y"]).select("revision", "x", "y")
     s = ratio_udf(F.col("x"), F.col("y"))
     pairs = pairs.withColumn("s", F.when(F.col("x") == F.col("y"), 1.0).when(contains(F.col("x"), F.col("y")), F.greatest(s, F.lit(CONTAINMENT))).otherwise(s)).filter(F.col("s") >= threshold)
     full = r.join(pairs, ["revision", "x"], "left").join(d, ["revision", "y"], "left")

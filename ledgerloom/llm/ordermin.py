@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,9 +155,13 @@ _TYPES = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerp
 _ARROW = [pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, as they are dealt out whole; ``tie`` orders rows of one key."""
+    zip_ = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield from by_bytes(batch, "text", SLICE)
+        for part in by_bytes(batch, "text", SLICE):
+            texts = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), part.column("row"), pa.array([zip_.compress(t) for t in texts], pa.binary())], names=["id", "tie", "row", "packed"])
 
 
 def _in_order(kind: pa.DataType, **how: int):
@@ -170,14 +175,22 @@ def _in_order(kind: pa.DataType, **how: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        unzip = zstandard.ZstdDecompressor()
         held: tuple | None = None
-        for piece in _texts(batches):
-            rows = list(zip(piece.column("id").to_pylist(), (t or "" for t in piece.column("text").to_pylist())))
-            if held is None:
-                yield batch([(rows[0][0], *[None] * 6)], [rows[0][1]], 0, part)
-            rows = rows if held is None else [held, *rows]
-            held = rows[-1]
-            found = list(_compare(((key, text, after[1]) for (key, text), after in zip(rows, rows[1:])), **how))
+
+        def met(rows: pa.RecordBatch) -> Iterator[tuple[object, str, str]]:
+            nonlocal held
+            for key, packed in zip(rows.column("id").to_pylist(), rows.column("packed").to_pylist()):
+                text = unzip.decompress(packed).decode("utf-8", "surrogatepass")
+                if held is not None:
+                    yield *held, text
+                held = key, text
+
+        for rows in batches:
+            if held is None and len(rows):
+                first = unzip.decompress(rows.column("packed")[0].as_py()).decode("utf-8", "surrogatepass")
+                yield batch([(rows.column("id")[0].as_py(), *[None] * 6)], [first], 0, part)
+            found = list(_compare(met(rows), **how))
             if found:
                 yield batch(found, [None] * len(found), None, part)
         if held is not None:
@@ -211,11 +224,12 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int = K, picked: int =
     how = {"k": k, "picked": picked, "draws": draws, "limit": limit}
     read = docs.select(docs[key].alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("row")]
-    dealt = read.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
     name = read.schema["id"].dataType.simpleString()
+    packed = read.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).mapInArrow(tidy(_pack), f"id {name}, tie long, row long, packed binary")
+    dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order)
     kind = read.select("id").limit(0).toArrow().schema.field("id").type
     folder = f"{shared_folder(docs.sparkSession)}/fingerprints-{uuid.uuid4().hex}"
-    dealt.select("id", "text").mapInArrow(tidy(_in_order(kind, **how)), f"id {name}, {_TYPES}, text string, edge int, part int").write.parquet(folder)
+    dealt.select("id", "packed").mapInArrow(tidy(_in_order(kind, **how)), f"id {name}, {_TYPES}, text string, edge int, part int").write.parquet(folder)
     found = docs.sparkSession.read.parquet(folder)
     parts = Window.orderBy("part")  # as many rows as partitions
     around = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -261,7 +261,7 @@ def _anchors(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for types, norms, _ in _slices(batches):
+        for types, norms, sides in _slices(batches):
             names = _Names(types, norms)
             level = np.searchsorted(PIECES, names.size, side="right") - 1
             for i, q in enumerate(PIECES):
@@ -273,17 +273,18 @@ def _anchors(shared):
                 rarest = rarest[level[row[rarest]] == i]
                 for rows, short in ((rarest, True), (np.arange(len(row)), False)):
                     at = row[rows].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([types[r] for r in at], pa.string()), pa.array(key[rows].view(np.int64)), pa.array([norms[r] for r in at], pa.string()), pa.array([short] * len(at), pa.bool_())], names=["type", "piece", "norm", "short"])
+                    yield pa.RecordBatch.from_arrays([pa.array([types[r] for r in at], pa.string()), pa.array(key[rows].view(np.int64)), pa.array([norms[r] for r in at], pa.string()), pa.array([sides[r] for r in at], pa.int32()), pa.array([short] * len(at), pa.bool_())], names=["type", "piece", "norm", "side", "short"])
 
     return run
 
 
 def contained(d: DataFrame) -> DataFrame:
-    """(type, short, long): names of one type of which one lies within another, by an equi-join of the shorter one's rarest piece with the longer one's pieces."""
-    d = d.filter("norm <> '' and type is not null").select("type", "norm", F.lit(3).alias("side"))
+    """(type, short, long): names of one type of which one lies within another, by an equi-join of the shorter one's rarest piece with the longer one's pieces. ``side`` as in ``alike``, if there is one."""
+    side = F.col("side").cast("int") if "side" in d.columns else F.lit(3)
+    d = d.filter("norm <> '' and type is not null").select("type", "norm", side.alias("side"))
     often = d.sparkSession.sparkContext.broadcast(_frequencies(d, PIECES, False))
-    posts = d.mapInArrow(_anchors(often), "type string, piece long, norm string, short boolean")
-    short = posts.filter("short").select("type", "piece", F.col("norm").alias("short"))
-    long = posts.filter("not short").select("type", "piece", F.col("norm").alias("long"))
-    return short.join(long, ["type", "piece"]).filter(F.col("long").contains(F.col("short")) & (F.length("long") > F.length("short"))).select("type", "short", "long")
-
+    posts = d.mapInArrow(_anchors(often), "type string, piece long, norm string, side int, short boolean")
+    short = posts.filter("short").select("type", "piece", F.col("norm").alias("short"), F.col("side").alias("one"))
+    long = posts.filter("not short").select("type", "piece", F.col("norm").alias("long"), F.col("side").alias("two"))
+    found = short.join(long, ["type", "piece"]).filter(F.expr("(((one & 1) & (two >> 1)) | ((one >> 1) & (two & 1))) > 0"))
+    return found.filter(F.col("long").contains(F.col("short")) & (F.length("long") > F.length("short"))).select("type", "short", "long")

@@ -28,8 +28,12 @@ def _pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def candidate_pairs(n: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
-    """(type, x, y): pairs of one type with different normalised names that may reach the threshold, from an index of rare tokens; names within others are found by a rare piece."""
-    d = keep(n.select("type", "norm").distinct().withColumn("side", F.lit(3)))
+    """(type, x, y): pairs of one type with different normalised names that may reach the threshold, from an index of rare tokens; names within others are found by a rare piece.
+
+    A column ``side`` restricts the pairs: 1 and 2 for names of two sides that are to meet, 3 for both.
+    """
+    side = F.bit_or("side") if "side" in n.columns else F.lit(3)
+    d = keep(n.groupBy("type", "norm").agg(side.cast("int").alias("side")))
     near = fuzzy.alike(d, threshold)
     if threshold <= CONTAINMENT:
         near = near.unionByName(contained_norms(d).select("type", F.least("short", "long").alias("x"), F.greatest("short", "long").alias("y"))).distinct()
@@ -84,7 +88,7 @@ def resolve_in_order(names: DataFrame, threshold: float = MERGE_THRESHOLD, compa
 
 def earliest(entries: DataFrame, threshold: float = MERGE_THRESHOLD, compat: bool = False) -> DataFrame:
     """(kind, norm, parent): the earliest earlier name of the kind whose score reaches the threshold; ``at`` orders names. Those without one have no row."""
-    pairs = candidate_pairs(entries.filter("norm <> ''").select(F.col("kind").alias("type"), "norm"), threshold)
+    pairs = candidate_pairs(entries.filter("norm <> ''").select(F.col("kind").alias("type"), "norm", *(c for c in entries.columns if c == "side")), threshold)
     side = lambda c: entries.select(F.col("kind").alias("type"), F.col("norm").alias(c), F.col("at").alias("at_" + c))
     p = pairs.join(side("x"), ["type", "x"]).join(side("y"), ["type", "y"])
     before = F.col("at_x") < F.col("at_y")

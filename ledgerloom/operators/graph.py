@@ -113,6 +113,43 @@ def roots(step: DataFrame) -> DataFrame:
     return jump.drop("moved")
 
 
+def walk(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id, depth): all that single steps (id, up) lead to from each start (id), itself at depth 0.
+
+    After round k all places within 2^k steps are known, and a step of 2^(k+1) is two of 2^k; so any depth takes the logarithm of it in rounds. A place that a cycle leads to again
+    keeps its least depth, and rounds end when they find none that is new. Several steps from one place are followed all.
+    """
+    s = steps.filter(F.col("id").isNotNull() & F.col("up").isNotNull()).select("id", "up").distinct()
+    jump, reach = keep(s), keep(starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("depth")).distinct())
+    length, known = 1, reach.count()
+    while not jump.isEmpty():
+        far = reach.join(jump, "id").select("start", F.col("up").alias("id"), (F.col("depth") + length).alias("depth"))
+        reach = keep(reach.unionByName(far).groupBy("start", "id").agg(F.min("depth").alias("depth")))
+        found = reach.count()
+        if found == known:
+            break
+        known, length = found, 2 * length
+        jump = keep(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")).distinct())
+    return reach
+
+
+def expand(starts: DataFrame, edges: DataFrame, hops: int, directed: bool = True) -> DataFrame:
+    """(start, name, depth): vertices within a number of edges from each start (name), with the least number; each is visited once, so cycles end."""
+    e = edges.select("source", "target").filter("source is not null and target is not null")
+    if not directed:
+        e = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    e = keep(e.distinct())
+    visited = keep(starts.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth")).distinct())
+    frontier = visited
+    for depth in range(1, hops + 1):
+        near = frontier.join(e, F.col("name") == F.col("source")).select("start", F.col("target").alias("name")).distinct()
+        frontier = keep(near.join(visited, ["start", "name"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)  # of tables that are kept
+    return visited
+
+
 def component_sizes(c: DataFrame) -> DataFrame:
     return c.groupBy("component").agg(F.count("*").alias("size"))
 

@@ -260,3 +260,12 @@ def incremental_skip(spark: S, sf: str) -> DataFrame:
 @query("base64_payload", "select page_id, base64(url::blob) as payload from pages")
 def base64_payload(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", files.payload(F.col("url").cast("binary")).alias("payload"))
+
+
+@query("trace_sites", f"""with recursive {GRAPH_SQL}, e as (select source, target from g_edges union select target, source from g_edges),
+    near(start, name, depth) as (select name, name, 0 from g_nodes where name like 'R %' union select n.start, e.target, n.depth + 1 from near n join e on e.source = n.name where n.depth < 3)
+    select start, name, min(depth) as depth from near group by 1, 2""")
+def trace_sites(spark: S, sf: str) -> DataFrame:
+    """Sites, parties and contracts within three edges of each region."""
+    nodes, edges = instance(spark, sf)
+    return graph.expand(nodes.filter("name like 'R %'").select("name"), edges, 3, directed=False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import chunk_hash, key_of
-from ledgerloom.operators import chunks, references, revisions
+from ledgerloom.operators import asof, chunks, graph, references, revisions
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.views import CHUNK_VERSIONS_SQL, LINES_SQL, NORM_SQL, VERSIONS_SQL, chunk_versions, lines_of_documents, table, versions
 
@@ -36,15 +36,23 @@ def version_asof(spark: S, sf: str) -> DataFrame:
 
 @query("version_walk", V + """, w as (select contract_id, max(revision) as newest from versions group by 1) select contract_id, newest as start, revision, newest - revision as depth from versions join w using (contract_id)""")
 def version_walk(spark: S, sf: str) -> DataFrame:
-    """Every step back from a contract's newest revision, by recursion over SUPERSEDES; a contract's number of revisions bounds the depth."""
-    versions(spark, sf).select("contract_id", "revision").createOrReplaceTempView("__versions")
-    depth = spark.table("__versions").agg(F.max("revision")).first()[0] or 0
-    return spark.sql(
-        f"""with recursive walk(contract_id, start, revision, depth) max recursion level {depth + 2} as (
-            select contract_id, max(revision), max(revision), 0 from __versions group by contract_id
-            union all select w.contract_id, w.start, v.revision, w.depth + 1 from walk w join __versions v on v.contract_id = w.contract_id and v.revision = w.revision - 1)
-        select contract_id, start, revision, depth from walk"""
-    )
+    """Every step back from a contract's newest revision over SUPERSEDES, by doubling steps."""
+    v = revisions.chain(versions(spark, sf))
+    place = lambda c: F.struct("contract_id", F.col(c).alias("revision"))
+    steps = v.filter("supersedes is not null").select(place("revision").alias("id"), place("supersedes").alias("up"))
+    walked = graph.walk(steps, revisions.latest(v).select(place("revision").alias("id")))
+    return walked.select("start.contract_id", F.col("start.revision").alias("start"), F.col("id.revision").alias("revision"), F.col("depth").cast("int").alias("depth"))
+
+
+@query("line_version_asof", V + """, e as (select l_orderkey, l_linenumber, o_custkey as contract_id, l_shipdate as at from lineitem join orders on o_orderkey = l_orderkey),
+    v as (select contract_id, freeze_ts, max(revision) as revision, arg_max(order_key, revision) as order_key from versions group by 1, 2)
+    select e.l_orderkey, e.l_linenumber, v.revision, v.order_key from e asof left join v on e.contract_id = v.contract_id and e.at >= v.freeze_ts""")
+def line_version_asof(spark: S, sf: str) -> DataFrame:
+    """The revision of its contract that was current when a line was shipped."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("contract_id"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(orders, "l_orderkey")
+    found = asof.as_of_join(lines, versions(spark, sf), ["contract_id"], "l_shipdate", "freeze_ts", ["revision", "order_key"], days=90)
+    return found.select("l_orderkey", "l_linenumber", "revision", "order_key")
 
 
 @query("chunk_hash", L + "select doc_id, pos, sha256(" + NORM_SQL.format("line") + ") as chunk_hash from doc_lines")

@@ -27,10 +27,17 @@ def ageing(pending: DataFrame, today, first_seen: str = "first_seen") -> DataFra
     return pending.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def sharing_pairs(links: DataFrame, a: str, doc: str) -> DataFrame:
+def sharing_pairs(links: DataFrame, a: str, doc: str, most: int = 1024) -> DataFrame:
     """(left, right, shared): pairs of contracts that refer to a document in common.
 
-    A document that very many contracts refer to gives a pair for any two of them; that is the result's own size. Links are made distinct first.
+    A document that very many contracts refer to gives a pair for any two of them; that is the result's own size. So that no task forms all of them, the contracts of a document
+    with more than ``most`` are dealt to groups, and each pair of groups meets by itself; a document with fewer is one group. Links are made distinct first, null ends have no pairs.
     """
-    d = links.select(F.col(a).alias("c"), F.col(doc).alias("d")).distinct()
-    return d.withColumnRenamed("c", "left").join(d.withColumnRenamed("c", "right"), "d").filter("left < right").groupBy("left", "right").agg(F.count("*").alias("shared"))
+    d = links.select(F.col(a).alias("c"), F.col(doc).alias("d")).distinct().filter("c is not null and d is not null")
+    heavy = d.groupBy("d").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("d", F.ceil(F.col("n") / most).cast("int").alias("groups"))
+    dealt = d.join(heavy, "d", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    own = F.pmod(F.xxhash64("c"), F.col("groups")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    left = dealt.select("d", F.col("c").alias("left"), own.alias("i"), other.alias("j"))
+    right = dealt.select("d", F.col("c").alias("right"), own.alias("j"), other.alias("i"))
+    return left.join(right, ["d", "i", "j"]).filter("left < right").groupBy("left", "right").agg(F.count("*").alias("shared"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ledgerloom.operators.graph import keep
 from ledgerloom.sources.schemas import EXAMPLES, PAYLOAD_CHARS
 
 
@@ -22,7 +30,36 @@ def all_edges(pages: DataFrame) -> DataFrame:
 def type_counts(rows: DataFrame, kind: str) -> DataFrame:
     """Counts by type, the most frequent first, ties by first appearance: (kind, count, place)."""
     c = rows.groupBy(kind).agg(F.count("*").alias("count"), F.min("seq").alias("first"))
-    return c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("count"), "first"))).select(kind, "count", "place")
+    c = running(c.withColumn("one", F.lit(1)), [F.desc("count"), F.asc("first")], "one", "before")
+    return c.select(kind, "count", (F.col("before") + 1).cast("int").alias("place"))
+
+
+def running(df: DataFrame, order: list[Column], amount: str, out: str, within: list[Column] | None = None) -> DataFrame:
+    """``df`` with the sum of a whole-number column over all rows before each row in an order; a null amount counts as 0.
+
+    Rows are dealt by ranges of ``order`` (and sorted by ``within`` besides, of which long texts are no range); each task sums its range and each range begins with the sums of those before it.
+    One row a range is added up in the driver, and no task sees all rows. Rows that the order does not tell apart come in any order.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    plain = df.select(*map(col, df.columns), F.coalesce(col(amount).cast("long"), F.lit(0)).alias("__amount")).repartitionByRange(*order).sortWithinPartitions(*order, *(within or []))
+    plain = plain.toDF(*names, "amount")
+    schema = StructType([*plain.schema.fields[:-1], StructField("part", IntegerType()), StructField("here", LongType()), StructField("upto", LongType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column("amount").to_numpy()
+            upto = total + np.cumsum(n)
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(len(n), part), pa.int32()), pa.array(upto - n), pa.array(upto)], names=[f.name for f in schema.fields])
+
+    summed = keep(plain.mapInArrow(sums, schema))
+    ends = sorted((r["part"], r["total"]) for r in summed.groupBy("part").agg(F.max_by("upto", F.struct("upto", "here")).alias("total")).collect())
+    before = list(zip((p for p, _ in ends), accumulate((t for _, t in ends), initial=0)))
+    offsets = df.sparkSession.createDataFrame(before, "part int, offset long")
+    found = summed.join(F.broadcast(offsets), "part")
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns)), (F.col("here") + F.col("offset")).alias(out))
 
 
 def examples(rows: DataFrame, kind: str, n: int = EXAMPLES) -> DataFrame:
@@ -41,7 +78,7 @@ def suggested(pages: DataFrame) -> DataFrame:
 def synthesis_payload(insights: DataFrame, chars: int = PAYLOAD_CHARS) -> DataFrame:
     """All insights as JSON in the order of their files, cut for a model's input. Rows are numbered first, so that only those that may fit are gathered."""
     j = insights.select("_source_file", F.to_json(F.struct(*insights.columns)).alias("j"))
-    j = j.withColumn("before", F.sum(F.length("j") + 1).over(Window.orderBy("_source_file", "j").rowsBetween(Window.unboundedPreceding, -1)))
-    kept = j.filter(F.coalesce("before", F.lit(0)) < chars)
+    j = running(j.withColumn("size", F.length("j") + 1), [F.asc("_source_file")], "size", "before", [F.asc("j")])
+    kept = j.filter(F.col("before") < chars)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_source_file", "j"))), lambda x: x["j"])
     return kept.agg(F.substring(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 1, chars).alias("payload"))

@@ -269,3 +269,9 @@ def trace_sites(spark: S, sf: str) -> DataFrame:
     """Sites, parties and contracts within three edges of each region."""
     nodes, edges = instance(spark, sf)
     return graph.expand(nodes.filter("name like 'R %'").select("name"), edges, 3, directed=False)
+
+
+@query("isolated_nodes_whole", f"with {GRAPH_SQL} select name, arg_max(type, seq) as type from g_nodes where name not in (select name from g_ends) group by 1")
+def isolated_nodes_whole(spark: S, sf: str) -> DataFrame:
+    """Over the whole graph; ``isolated_nodes`` asks about orders and their lines only."""
+    return graph.isolated(*instance(spark, sf)).select("name", "type")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import retrieval
+from ledgerloom.functions import typed
+from ledgerloom.operators import drift, retrieval, vector_index
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.views import table
 from ledgerloom.streaming import jobs
@@ -52,6 +53,13 @@ def vector_topk_all_whole(spark: S, sf: str) -> DataFrame:
     return retrieval.topk_blocks(_all_queries(spark, sf), table(spark, sf, "embeddings"), 10).withColumn("score", F.round("score", 4))
 
 
+@query("vector_index_topk", _Q20 + _SCORED + """, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, vec_id, rank::integer as rank, round(score, 4) as score from r where rank <= 10""")
+def vector_index_topk(spark: S, sf: str) -> DataFrame:
+    """The rows of ``vector_topk_all_whole`` from an index of inverted lists, which leaves out cells that cannot hold a neighbour."""
+    index = vector_index.build(table(spark, sf, "embeddings"))
+    return vector_index.search(_all_queries(spark, sf), index, 10).withColumn("score", F.round("score", 4))
+
+
 @query("truncate_embedding", "with h as (select vec_id, embedding[1:16]::double[] as h from embeddings) select vec_id, round(h[1] / sqrt(list_dot_product(h, h)), 6) as first, round(h[16] / sqrt(list_dot_product(h, h)), 6) as last, len(h)::integer as dims from h")
 def truncate_embedding(spark: S, sf: str) -> DataFrame:
     t = table(spark, sf, "embeddings").select("vec_id", retrieval.truncated(F.col("embedding"), 16).alias("t"))
@@ -160,3 +168,28 @@ def dead_letter(spark: S, sf: str) -> DataFrame:
 @query("usage_drift", "select user_id, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def usage_drift(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("usage_stability")
+def usage_stability(spark: S, sf: str) -> DataFrame:
+    """Drift of the events' values between weeks, by type; sketches are random within their bounds, so SQL gives no equal rows."""
+    e = _events(spark, sf)
+    found = drift.stability(drift.sketches(e, ["event_type"], F.date_trunc("week", "ts"), "value"), ["event_type"])
+    return found.select("event_type", "period", "before", "n", "stability", "verdict")
+
+
+@query("typed_leaves", """with leaves as (select o_orderstatus, case when o_orderstatus = 'P' then o_orderpriority else '$' || format('{:,.2f}', o_totalprice) end as amount, case when o_orderpriority = '5-LOW' then 'soon' else strftime(o_orderdate, '%Y-%m-%d') end as day from orders),
+    typed as (select o_orderstatus, try_cast(replace(replace(amount, '$', ''), ',', '') as decimal(18,2)) as amount, try_cast(day as date) as day from leaves)
+    select o_orderstatus, count(*) as n, sum(amount)::double as total, count(*) filter (amount is null) as bad_amounts, min(day) as first_day, count(*) filter (day is null) as bad_days from typed group by 1""")
+def typed_leaves(spark: S, sf: str) -> DataFrame:
+    """Amounts and dates that properties hold as text: what does not fit is null and counted."""
+    o = table(spark, sf, "orders")
+    amount = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
+    day = F.when(F.col("o_orderpriority") == "5-LOW", "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    p = o.select("o_orderstatus", F.to_json(F.struct(amount.alias("amount"), day.alias("date"))).alias("properties"))
+    leaves = p.withColumn("v", typed.variant(F.col("properties"))).select("o_orderstatus", typed.leaf(F.col("v"), "$.amount").alias("amount"), typed.leaf(F.col("v"), "$.date").alias("date"))
+    t = leaves.withColumns({"value": typed.money(F.col("amount")), "day": typed.date(F.col("date"))})
+    return t.groupBy("o_orderstatus").agg(
+        F.count("*").alias("n"), F.sum("value").cast("double").alias("total"), F.count_if(typed.bad(F.col("amount"), F.col("value"))).alias("bad_amounts"),
+        F.min("day").alias("first_day"), F.count_if(typed.bad(F.col("date"), F.col("day"))).alias("bad_days"),
+    )

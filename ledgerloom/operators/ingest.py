@@ -194,7 +194,10 @@ def idempotent(events: DataFrame, keys: list[str]) -> DataFrame:
     return e.groupBy("event_key").agg(F.min(F.struct(*events.columns)).alias("e")).select("event_key", "e.*")
 
 
-def ingest(pages: DataFrame, canonical: DataFrame, metadata: DataFrame | None = None, source: str = "pdf_text", stored: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(
+    pages: DataFrame, canonical: DataFrame, metadata: DataFrame | None = None, source: str = "pdf_text", stored: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    threshold: float = CONFIDENCE_THRESHOLD,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, bridge) of pages, given (type, name, canonical): resolved, typed, gated and merged.
 
     Names are trimmed everywhere, edges with bad properties keep their row with the default confidence, and the bridge links each page that has
@@ -219,7 +222,7 @@ def ingest(pages: DataFrame, canonical: DataFrame, metadata: DataFrame | None =
     for side, end in (("src", "source"), ("tgt", "target")):
         names = canonical.select(F.col("type").alias(f"{side}_last"), F.col("name").alias(end), F.col("canonical").alias("__canonical"))
         e = e.join(names, [f"{side}_last", end], "left").withColumn(f"{side}_name", F.coalesce("__canonical", end)).drop("__canonical")
-    e = e.withColumn("confidence", confidence_of(F.element_at("props", "confidence"))).withColumn("rel_type", gated(F.col("relation"), F.col("confidence")))
+    e = e.withColumn("confidence", confidence_of(F.element_at("props", "confidence"))).withColumn("rel_type", gated(F.col("relation"), F.col("confidence"), threshold))
     edges = merged_edges(e, nodes)
     if stored is not None:
         edges = upserted_edges(stored[1], edges)

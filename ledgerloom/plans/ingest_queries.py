@@ -20,7 +20,7 @@ def _canonical(n: Column) -> Column:
     return n.withField("canonical", F.when(F.coalesce(n["type"], F.lit("Unknown")) == "Deliverable", F.concat(F.lit("D"), F.substring(n["name"], -2, 2))).otherwise(n["name"]))
 
 
-@query("edge_rewrite", P + """, m as (select doc, page, name, arg_max(case when type = 'Deliverable' then 'D' || right(name, 2) else name end, seq) as canonical from p_nodes group by all)
+@query("edge_rewrite", P + """, m as materialized (select doc, page, name, arg_max(case when type = 'Deliverable' then 'D' || right(name, 2) else name end, seq) as canonical from p_nodes group by all)
     select e.doc, e.page, e.pos::integer as pos, coalesce(s.canonical, source) as src_name, coalesce(t.canonical, target) as tgt_name from p_edges e
     left join m s on s.doc = e.doc and s.page = e.page and s.name = source left join m t on t.doc = e.doc and t.page = e.page and t.name = target where target is not null""")
 def edge_rewrite(spark: S, sf: str) -> DataFrame:
@@ -38,8 +38,8 @@ def _typed(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
     return n.select(F.col("type").alias("label"), F.col("name").alias("canonical_name"), F.col("properties").alias("props"), "seq"), t
 
 
-_TYPED = """, t as (select doc, page, name, arg_min(coalesce(type, 'Unknown'), seq) as type from p_nodes group by all),
-    typed as (select e.*, coalesce(s.type, 'Unknown') as src_label, coalesce(g.type, 'Unknown') as tgt_label, replace(upper(coalesce(relation, 'UNKNOWN')), ' ', '_') as rel from p_edges e
+_TYPED = """, t as materialized (select doc, page, name, arg_min(coalesce(type, 'Unknown'), seq) as type from p_nodes group by all),
+    typed as materialized (select e.*, coalesce(s.type, 'Unknown') as src_label, coalesce(g.type, 'Unknown') as tgt_label, replace(upper(coalesce(relation, 'UNKNOWN')), ' ', '_') as rel from p_edges e
         left join t s on s.doc = e.doc and s.page = e.page and s.name = source left join t g on g.doc = e.doc and g.page = e.page and g.name = target where target is not null),
     gated as (select *, case when confidence >= 0.75 then rel else 'POSSIBLE_' || rel end as rel_type from typed)"""
 
@@ -199,3 +199,21 @@ def cumulative_liability(spark: S, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem").withColumn("amount", F.col("l_extendedprice").cast("decimal(18,2)"))  # noqa: E741
     c = revisions.cumulative(l, "l_orderkey", "amount", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     return c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("cumulative").cast("double").alias("cumulative"))
+
+
+@query("upsert_edges", """with l as (select 'O' || l_orderkey as src_name, 'D' || l_partkey as tgt_name, l_returnflag = 'N' as old, l_returnflag as flag, l_linestatus as state, l_quantity::integer::varchar as quantity, round(1 - 5 * l_discount, 3) as confidence,
+        row(l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as seq from lineitem),
+    s as (select src_name, tgt_name, arg_max(quantity, seq) as quantity, arg_max(state, seq) as state, arg_max(confidence, seq) as confidence from l where old group by 1, 2),
+    b as (select src_name, tgt_name, arg_max(quantity, seq) as quantity, arg_max(flag, seq) as flag, arg_max(confidence, seq) as confidence from l where not old group by 1, 2)
+    select coalesce(s.src_name, b.src_name) as src_name, coalesce(s.tgt_name, b.tgt_name) as tgt_name, concat_ws(',', 'flag=' || flag, 'quantity=' || coalesce(b.quantity, s.quantity), 'state=' || state) as props,
+    coalesce(b.confidence, s.confidence) as confidence from s full join b on s.src_name = b.src_name and s.tgt_name = b.tgt_name""")
+def upsert_edges(spark: S, sf: str) -> DataFrame:
+    """Lines that are not returned as the stored edges, the others as a batch: its properties and confidence go over what is stored of the same ends."""
+    order = F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    ends = [F.lit("Contract").alias("src_label"), tag("O", "l_orderkey").alias("src_name"), F.lit("HAS_DELIVERABLE").alias("rel_type"), F.lit("Deliverable").alias("tgt_label"), tag("D", "l_partkey").alias("tgt_name")]
+    lines = table(spark, sf, "lineitem").withColumn("quantity", F.col("l_quantity").cast("int").cast("string"))
+    known = lines.select(ends[0].alias("label"), ends[1].alias("canonical_name")).unionByName(lines.select(ends[3].alias("label"), ends[4].alias("canonical_name"))).distinct()
+    side = lambda df, key, value: ingest.merged_edges(df.select(*ends, F.create_map(F.lit("quantity"), F.col("quantity"), F.lit(key), F.col(value)).alias("props"), confidence(F.col("l_discount")).alias("confidence"), order.alias("seq")), known)
+    merged = ingest.upserted_edges(side(lines.filter("l_returnflag = 'N'"), "state", "l_linestatus"), side(lines.filter("l_returnflag <> 'N'"), "flag", "l_returnflag"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return merged.select("src_name", "tgt_name", text.alias("props"), "confidence")

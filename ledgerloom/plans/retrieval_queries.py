@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import typed
@@ -60,6 +60,21 @@ def vector_index_topk(spark: S, sf: str) -> DataFrame:
     return vector_index.search(_all_queries(spark, sf), index, 10).withColumn("score", F.round("score", 4))
 
 
+@query("current_chunk_search", """with v as (select vec_id, label, embedding::double[] as embedding, count(*) over (partition by label order by vec_id) as revision, count(*) over (partition by label) as top from embeddings),
+    current as (select vec_id, embedding from v where top - revision < top // 2 and label in (select distinct n_nationkey % 10 from nation where n_regionkey > 0)),
+    q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0),
+    r as (select query_id, vec_id, list_cosine_similarity(q, embedding) as score, row_number() over (partition by query_id order by list_cosine_similarity(q, embedding) desc, vec_id) as rank from q, current)
+    select query_id, vec_id, rank::integer as rank, round(score, 4) as score from r where rank <= 8""")
+def current_chunk_search(spark: S, sf: str) -> DataFrame:
+    """Search restricted to some contracts and to current text: a label's newer half of vectors is what is not superseded."""
+    w = Window.partitionBy("label")
+    v = table(spark, sf, "embeddings").withColumns({"revision": F.row_number().over(w.orderBy("vec_id")), "top": F.count("*").over(w)})
+    chunks = v.select("vec_id", "embedding", F.col("label").alias("contract_id"), (F.col("top") - F.col("revision") >= F.floor(F.col("top") / 2)).alias("superseded"))
+    contracts = table(spark, sf, "nation").filter("n_regionkey > 0").select((F.col("n_nationkey") % 10).alias("contract_id")).distinct()
+    hits = retrieval.topk_blocks(_all_queries(spark, sf), retrieval.current_chunks(chunks, contracts), 8)
+    return hits.withColumn("score", F.round("score", 4))
+
+
 @query("truncate_embedding", "with h as (select vec_id, embedding[1:16]::double[] as h from embeddings) select vec_id, round(h[1] / sqrt(list_dot_product(h, h)), 6) as first, round(h[16] / sqrt(list_dot_product(h, h)), 6) as last, len(h)::integer as dims from h")
 def truncate_embedding(spark: S, sf: str) -> DataFrame:
     t = table(spark, sf, "embeddings").select("vec_id", retrieval.truncated(F.col("embedding"), 16).alias("t"))

@@ -43,14 +43,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same pages, flat: p_nodes(doc, page, pos, name, type, seq) with missing types, p_edges(doc, page, pos, source, relation, target, confidence, seq) with missing parts.
-PAGES_SQL = """lines as (select 'C' || o_custkey as doc, o_orderkey::integer as page, 'O' || o_orderkey as contract, o_orderstatus, l.*,
+PAGES_SQL = """lines as materialized (select 'C' || o_custkey as doc, o_orderkey::integer as page, 'O' || o_orderkey as contract, o_orderstatus, l.*,
         row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 as i
     from orders join lineitem l on l_orderkey = o_orderkey),
 p_nodes0 as (select 'C' || o_custkey as doc, o_orderkey::integer as page, 0 as pos, 'P' || o_custkey as name, 'Party' as type from orders
     union all select 'C' || o_custkey, o_orderkey::integer, 1, 'O' || o_orderkey, 'Contract' from orders
     union all select doc, page, i + 2, 'D' || l_partkey, case when l_discount > 0 then 'Deliverable' end from lines),
-p_nodes as (select *, row_number() over (order by doc, page, pos) as seq from p_nodes0),
-p_edges as (select doc, page, i as pos, contract as source, case l_returnflag when 'R' then 'HAS_DELIVERABLE' when 'A' then 'COVERS SITE' end as relation,
+p_nodes as materialized (select *, row_number() over (order by doc, page, pos) as seq from p_nodes0),
+p_edges as materialized (select doc, page, i as pos, contract as source, case l_returnflag when 'R' then 'HAS_DELIVERABLE' when 'A' then 'COVERS SITE' end as relation,
         case when l_tax > 0 then 'D' || l_partkey end as target, round(1 - 5 * l_discount, 3) as confidence, row_number() over (order by doc, page, i) as seq from lines)"""
 
 

@@ -6,7 +6,7 @@ double precision, if it collides on at least as many of the counting directions
 
 Counting all pairs would be quadratic. So pairs are counted only where several leading directions' sorted projections put them in one run: each of
 T tables cuts ``c`` leading directions' orders into stretches at random offsets, and rows with the same stretches meet. c grows with the logarithm of the number
-of vectors, and T is calibrated so that a pair at the threshold meets in some table with probability 1 - ``miss``. A pair is counted in the
+of vectors and with how close unrelated ones are, by the distances in a sample of SAMPLE vectors, and T is calibrated so that a pair at the threshold meets in some table with probability 1 - ``miss``. A pair is counted in the
 first table where it meets only.
 
 Equal vectors are one class with a weight. Groups are read as a sorted stream; those over ``BLOCK`` rows are split into blocks and pairs of
@@ -28,6 +28,8 @@ from ledgerloom.llm.common import components, cut, mixed
 BLOCK = 1024
 #: Widths of stretches of leading directions, and half the width of windows of counting directions, in standard deviations of random unit vectors' projections.
 STRETCH, WINDOW, COUNTING = 1.6, 0.5, 16
+#: Vectors whose distances the tables are calibrated by, and how many comparisons a vector's copy in one more table is worth.
+SAMPLE, COPY = 1024, 700
 _SPLIT_BROADCAST = 100_000
 
 
@@ -35,15 +37,26 @@ def _phi(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
-def calibrate(n: int, threshold: float, miss: float) -> tuple[int, int, int]:
-    """(directions per table, tables, collisions needed) for n vectors."""
-    far, near = math.sqrt(2), math.sqrt(2 - 2 * threshold)
-    # A pair at distance d stays within one stretch with probability E max(0, 1 - |N(0, d)| / STRETCH).
+def _staying(distances: np.ndarray) -> np.ndarray:
+    """The probability that two vectors at a distance lie within one stretch of a direction: E max(0, 1 - |N(0, d)| / STRETCH)."""
     grid = np.linspace(-8, 8, 4001)
     weight = np.exp(-grid**2 / 2)
-    stay = lambda d: float((np.maximum(0, 1 - np.abs(grid) * d / STRETCH) * weight).sum() / weight.sum())
-    c = max(2, math.ceil(math.log(max(2, n / 256)) / -math.log(stay(far))))
-    tables = math.ceil(math.log(miss) / math.log(1 - stay(near) ** c))
+    known = np.linspace(0, 2, 201)
+    share = [float((np.maximum(0, 1 - np.abs(grid) * d / STRETCH) * weight).sum() / weight.sum()) for d in known]
+    return np.interp(distances, known, share)
+
+
+def calibrate(n: int, threshold: float, miss: float, apart: np.ndarray | None = None) -> tuple[int, int, int]:
+    """(directions per table, tables, collisions needed) for n vectors, of which pairs are as far ``apart`` as those of a sample; without one, as random directions.
+
+    More directions leave fewer pairs that meet by chance, but take more tables, and so copies, to find all links: their number is the one of least cost, a copy counted as COPY pairs.
+    """
+    near = math.sqrt(2 - 2 * threshold)
+    apart = np.array([math.sqrt(2)]) if apart is None else apart[apart > near]
+    stay, close = _staying(apart), float(_staying(np.array([near]))[0])
+    tables_for = lambda c: math.ceil(math.log(miss) / math.log(1 - close**c))
+    chance = lambda c: float((stay**c).mean()) if len(stay) else 0.0
+    c = min(range(2, 25), key=lambda c: tables_for(c) * (COPY + n * chance(c)))
     p = 2 * _phi(WINDOW / near) - 1
     below, need = 0.0, 0
     for k in range(COUNTING + 1):
@@ -51,7 +64,19 @@ def calibrate(n: int, threshold: float, miss: float) -> tuple[int, int, int]:
         if below > miss:
             need = k
             break
-    return c, tables, need
+    return c, tables_for(c), need
+
+
+def _distances(sample: DataFrame) -> np.ndarray | None:
+    """Distances between the unit vectors of a bounded sample, of those of one length."""
+    rows = sample.toArrow().column("v").combine_chunks()
+    sizes = np.asarray(rows.value_lengths())
+    found = []
+    for d in np.unique(sizes).tolist():
+        x = _unit(_matrix(rows.take(pa.array(np.flatnonzero(sizes == d)))))
+        i, j = np.triu_indices(len(x), 1)
+        found.append(np.sqrt(np.maximum(2 - 2 * (x @ x.T)[i, j], 0)))
+    return np.concatenate(found) if found and sum(map(len, found)) else None
 
 
 class _Directions:
@@ -210,7 +235,8 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, threshold: float
     base = base.withColumn("v", F.when(sound, plain)).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     names = base.select("id", F.when(F.col("v").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("v").isNotNull(), F.col("h2")).alias("h2"))
     classes = cut(base.filter("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v")))
-    c, tables, need = calibrate(classes.count(), threshold, miss)
+    sample = classes.orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE).select("v")
+    c, tables, need = calibrate(classes.count(), threshold, miss, _distances(sample))
     # A class is named by its least id; rows that repeat an id with different vectors share a name, and so their links.
     keyed = classes.select("rep", "w", "v").mapInArrow(_spread(c, tables, seed), f"t int, key long, rep {kind}, w long, v array<{element}>")
     sizes = classes.select("rep", "w", "v").mapInArrow(_spread(c, tables, seed), f"t int, key long, rep {kind}, w long, v array<{element}>").groupBy("t", "key").count().filter("count > 1")

@@ -273,6 +273,22 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(df.limit(0), "k", "v").count() == 0
 
 
+def test_vectors_that_share_a_direction(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 48)) + 1.6  # a mean cosine of about 0.72 and few links
+    x[1500:1520] = x[:20] + 0.25 * r.normal(size=(20, 48))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    cosines = u @ u.T
+    assert 0.65 < cosines.mean() < 0.8
+    apart = np.sqrt(np.maximum(2 - 2 * cosines[np.triu_indices(600, 1)], 0))
+    met = lambda c, t: t * float((vectors._staying(apart[apart > 0.32]) ** c).mean())
+    by_sample, without = vectors.calibrate(100_000, 0.95, 0.01, apart), vectors.calibrate(100_000, 0.95, 0.01)
+    assert without[:2] == (7, 13) and by_sample[0] > without[0] and met(*by_sample[:2]) < 0.6 * met(*without[:2])
+    got = {q["id"]: q["n_links"] for q in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>"), "k", "v").collect()}
+    want = (cosines >= 0.95).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum() > 0
+
+
 def test_vectors_of_extreme_lengths(spark):
     rows = [(1, [1e200] * 4), (2, [1.0000001e200] * 4), (3, [1e-200] * 4), (4, [1.1e-200] * 4), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [1e300, 1e-300, 0.0, 0.0]), (7, [0.0, 0.0, 1.0, 0.0])]
     got = {q["id"]: (q["n_links"], q["component_id"]) for q in vectors.near_duplicates(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v").collect()}

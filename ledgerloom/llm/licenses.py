@@ -6,6 +6,7 @@
    the number of segments S and their frequencies df counted over the whole table. A segment's norm also counts its words outside the
    templates, at the largest idf. The best cosine of at least ``threshold`` names the licence; ties go to the first name. A licence file is
    also compared as a whole with full texts of licences, ``license_texts``; these are alike (MIT and ISC 0.77), so at least ``FULL`` is asked.
+   Where that finds one of the GNU licences, which differ in few words, the title lines in the file decide.
 3. A licence file, or the index page of a directory, declares its licence for the directory. A file with no licence of its own takes over
    the declaration of its nearest ancestor directory: (host, directory) of each ancestor is joined with the declarations, the deepest wins.
 
@@ -47,6 +48,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+RESULT = ("host", "directory", "own_license", "similarity", "inherited_license", "inherited_from", "license")
 #: The least similarity of a licence file to a full text.
 FULL = 0.8
 
@@ -54,6 +56,8 @@ CUE = r"(?i)licen[sc]e|copyright|public domain|redistribut|permission is hereby|
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
 INDEX_FILE = r"(?i)^(index\.[a-z]+|readme(\.[a-z]+)?)?$"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: The title of a GNU licence's full text, in capitals as no licence's body has it.
+TITLE = r"GNU (?:AFFERO |LESSER |LIBRARY )?GENERAL PUBLIC LICENSE\s+Version [0-9]+(?:\.[0-9]+)?"
 
 
 @cache
@@ -105,13 +109,27 @@ def best_of(scored: DataFrame) -> DataFrame:
     return best.select("__id", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("similarity"))
 
 
+def _titled(text: Column) -> Column:
+    """What the title lines of the GNU licences in a text say, as their full texts differ in few words: one name, the lesser licence where the general one that it refers to follows it, or several."""
+    lines = F.regexp_extract_all(text, F.lit(TITLE), F.lit(0))
+    version = lambda x: F.regexp_extract(x, r"([0-9]+(?:\.[0-9]+)?)$", 1)
+    kind = lambda x: F.when(x.contains("AFFERO"), "AGPL-").when(x.contains("LESSER") | x.contains("LIBRARY"), "LGPL-").otherwise("GPL-")
+    names = F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.concat(kind(x), version(x), F.when(version(x).contains("."), "").otherwise(".0")))))
+    lesser = F.filter(names, lambda x: x.startswith("LGPL-"))
+    pair = (F.size(names) == 2) & (F.size(lesser) == 1) & F.exists(names, lambda x: x.startswith("GPL-"))
+    return F.when(pair, lesser[0]).when(F.size(names) > 0, F.array_join(names, " AND "))
+
+
 def scan(files: DataFrame, key: str, url: str, text: str, threshold: float = 0.6) -> DataFrame:
     """One row per row of ``files``: key, host, directory, own_license, similarity, inherited_license, inherited_from, license.
 
     ``key`` names the rows and should be unique: rows that repeat a key share what is found in any of them. A null key, text or URL gives a
     row with nothing found; a URL without :// has an empty host and directory, which no file shares. Of several declarations for one
-    directory that of a licence file precedes an index page's, then the higher similarity, then the first name. Other columns are ignored.
+    directory that of a licence file precedes an index page's, then the higher similarity, then the first name. Other columns are ignored. Texts are read whole however
+    long they are, an empty table has no rows, and a key that is called as another column of the result is refused.
     """
+    if key.lower() in RESULT:
+        raise ValueError(f"{key} is a column of the result; rename the key")
     path = path_of(F.col(url))
     base = files.select(F.col(key).alias("__id"), F.col(text).alias("__text"), host_of(F.col(url)).alias("host"), path.alias("path"))
     base = base.withColumn("__name", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn("directory", F.regexp_replace("path", r"[^/]*$", ""))
@@ -122,8 +140,9 @@ def scan(files: DataFrame, key: str, url: str, text: str, threshold: float = 0.6
     notices = matches(segments(named, "__text", is_file), threshold, TEMPLATES)
     full = matches(segments(named.filter(is_file), "__text", F.lit(True)), FULL, full_texts())
     found = best_of(notices.unionByName(full).withColumnRenamed("own_license", "license"))
-    slim = base.select("__id", "host", "directory", F.when(is_file, 0).when(is_index, 1).alias("rank"))
+    slim = base.select("__id", "host", "directory", F.when(is_file, 0).when(is_index, 1).alias("rank"), F.when(is_file, _titled(F.col("__text"))).alias("__titled"))
     own = slim.join(found, "__id", "left")
+    own = own.withColumn("own_license", F.when(F.col("own_license").rlike("^L?GPL-"), F.coalesce("__titled", "own_license")).otherwise(F.col("own_license"))).drop("__titled")
     declared = own.filter("own_license is not null and rank is not null and host <> ''").groupBy("host", "directory").agg(F.min(F.struct("rank", (-F.col("similarity")).alias("less"), "own_license")).alias("d"))
     declared = declared.select("host", F.col("directory").alias("ancestor"), F.col("d.own_license").alias("given"))
     wanting = own.filter("own_license is null and host <> ''").select("host", "directory").distinct()

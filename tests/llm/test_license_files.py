@@ -39,3 +39,22 @@ def test_other_texts_declare_nothing(spark):
     other = "You may use this software under the licence of the Example Company if you pay for it. Copyright of all parts stays with us. " * 30
     got = scan(spark, [("other", "http://o/LICENSE", other), ("page", "http://p/a.html", dict(licenses.full_texts())["GPL-3.0"][:400])])
     assert got["other"]["own_license"] is None and got["page"]["inherited_license"] is None
+
+
+def test_titles_tell_the_gnu_licences_apart(spark):
+    texts = dict(licenses.full_texts())
+    affero = texts["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("GNU General Public License", "GNU Affero General Public License")
+    files = {"agpl": affero, "both": texts["LGPL-3.0"] + "\n\n" + texts["GPL-3.0"], "gpl": texts["GPL-3.0"], "two": texts["GPL-2.0"] + "\n" + texts["GPL-3.0"], "mit": texts["MIT"]}
+    rows = [(n, f"http://{n}/COPYING", t) for n, t in files.items()] + [(f"{n} page", f"http://{n}/a/b.html", "words") for n in files]
+    got = scan(spark, rows)
+    want = {"agpl": "AGPL-3.0", "both": "LGPL-3.0", "gpl": "GPL-3.0", "two": "GPL-2.0 AND GPL-3.0", "mit": "MIT"}
+    assert {n: got[n]["own_license"] for n in files} == want and {n: got[f"{n} page"]["license"] for n in files} == want
+
+
+def test_odd_tables(spark):
+    kinds = "page_id string, url string, html string"
+    assert licenses.scan(spark.createDataFrame([], kinds), "page_id", "url", "html").collect() == []
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([], "host string, url string, html string"), "host", "url", "html")
+    got = scan(spark, [("long", "http://l/LICENSE", "word " * 200_000 + "Released under the MIT License."), ("none", None, None)])
+    assert got["none"]["license"] is None and got["long"]["host"] == "l"

@@ -19,6 +19,8 @@ from ledgerloom.llm.common import LOWER, cut, runs, tidy, utf8
 #: Bytes of terms: ASCII letters and all bytes of other characters.
 TERM_BYTE = np.zeros(256, bool)
 TERM_BYTE[65:91] = TERM_BYTE[97:123] = TERM_BYTE[128:] = True
+#: The bytes of terms in lower case, and spaces for all others.
+SPACED = np.where(TERM_BYTE, LOWER, 32).astype(np.uint8)
 #: Bytes of text that are counted at a time.
 CHUNK = 8 << 20
 #: Entries of a block of the term-by-source matrix, and sources of a side of it.
@@ -50,12 +52,12 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarra
 
 
 def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
-    """For each slice the number of its term, and for each term a slice that holds it.
+    """For each slice the number of its term, and for each term a slice that holds it. What lies between slices are ASCII spaces, and no slice holds one.
 
     Slices of one hash are compared byte by byte with the first of them; those that differ become terms of their own.
     """
     raw = data.tobytes()
-    hashes = np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    hashes = np.fromiter(map(digest, raw.split()), np.uint64, len(starts))
     _, first, term = np.unique(hashes, return_index=True, return_inverse=True)
     size = ends - starts
     model = first[term]
@@ -104,8 +106,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column("text"))
         long: Counter[bytes] = Counter()
         for row, to, start, end in chunks(data, offsets):
-            part = LOWER[data[start:end]]
-            a, b, of = runs(TERM_BYTE[part], np.clip(offsets[row : to + 1], start, end) - start)
+            ends = np.clip(offsets[row : to + 1], start, end) - start
+            # Lower case, with a space after each text and in place of all that is no term.
+            part = np.full(end - start + to - row, 32, np.uint8)
+            part[np.arange(end - start) + np.repeat(np.arange(to - row), np.diff(ends))] = SPACED[data[start:end]]
+            a, b, of = runs(TERM_BYTE[part], np.append(ends[:-1] + np.arange(to - row), len(part)))
             raw = part.tobytes()
             whole = start == offsets[row] and end == offsets[to]
             if len(a):

@@ -54,7 +54,7 @@ def test_placement_of_awkward_rows(spark):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql_forms(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     c.execute(queries.ORACLES[name])
     order = [d[0] for d in c.description]

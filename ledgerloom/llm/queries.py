@@ -179,7 +179,7 @@ def _after(state: int) -> str:
         unnest(case code when 3 then [1, 2] else [1] end) as copy from coded where code <> 0),
     placed as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(role || ':' || text), copy) as i from damaged),
     seen as (select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
-        not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as cut, role[1] as initial, lag(role[1]) over (partition by conv_id order by i) as before from placed),
+        not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') as cut, role[1] as initial, lag(role[1]) over (partition by conv_id order by i) as before from placed),
     told as (select conv_id, i, turn, text, initial, before, role || ':' || text || chr(10) as line, blank, again and not blank as duplicate, cut and not blank and not again as truncated, blank or again as gone,
         case when cut and not blank and not again then 1 else 0 end as short from seen),
     counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,

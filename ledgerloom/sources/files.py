@@ -32,7 +32,8 @@ def not_done(files: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def payload(content: Column) -> Column:
-    return F.base64(content)
+    """Base64 in one line; Spark breaks it after 76 characters unless a setting says otherwise."""
+    return F.translate(F.base64(content), "\r\n", "")
 
 
 def read_candidates(spark: SparkSession, folder: str) -> DataFrame:

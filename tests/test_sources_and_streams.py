@@ -24,6 +24,14 @@ def test_files_to_pages_to_graph(spark, tmp_path):
     assert files.first_files(found, 1).count() == 1 and files.not_done(found, found.limit(1), "path").count() == 1
 
 
+def test_payload_has_no_line_breaks(spark):
+    import base64
+
+    content = [b"", b"a", b"https://" + b"x" * 49, b"https://" + b"x" * 50, bytes(range(256)) * 3, None]
+    rows = spark.createDataFrame([(c,) for c in content], "content binary").select("content", files.payload(F.col("content")).alias("p")).collect()
+    assert [r["p"] for r in rows] == [None if c is None else base64.b64encode(c).decode() for c in content]
+
+
 def test_a_failing_page_keeps_its_row(spark):
     def bad(text):
         raise ValueError("no model")

@@ -7,13 +7,24 @@ so nodes and edges carry ``seq``, a sortable position.
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.schemas import HUBS, INSTANCE_NODES
 
 
+#: So many edges are contracted at once.
+EDGES = 1 << 20
+#: A frontier of so many names is broadcast; a larger one as a bitmap of this many bits, in buckets of 32,768.
+BROADCAST_NAMES, BITMAP = 100_000, 1 << 27
+
+
 def flatten_nodes(pages: DataFrame) -> DataFrame:
     """(doc, page, pos, name, type, properties, seq) of all named nodes; a missing type is Unknown."""
     n = pages.select("doc", "page", F.posexplode("nodes").alias("pos", "n"))
@@ -65,24 +76,124 @@ def relation_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("count"))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names in spark.checkpoint.dir; in one of our own only where none is set and all runs on this machine."""
-    sc = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; to one of our own only where none is set and all runs on this machine."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graph-"))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table as packed Parquet in the folder of checkpoints: a fraction of a checkpoint's size."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    _checkpoints(spark)
+    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _contracted(names: pa.Array, ups: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All names of some edges in order, each one's least connected name by its place, and places of ``names`` and ``ups``."""
+    codes = pa.chunked_array([ups, names]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(codes.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = place[codes.indices.to_numpy()]
+    least, a, b = np.arange(len(order)), at[: len(ups)], at[len(ups) :]
+    while True:
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            return codes.dictionary.take(pa.array(order)), least, at
+        a, b = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        least[b] = a  # of several edges one counts here, the others in the next round
+        while not np.array_equal(up := least[least], least):
+            least = up
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(names, ups) of about EDGES rows; ``whole``: rows are sorted by name and those of one name stay together."""
+    held, n = [], 0
+    for b in batches:
+        if whole and n >= EDGES and b.num_rows:
+            same = pc.equal(b.column(0), held[-1].column(0)[-1]).to_numpy(zero_copy_only=False)
+            cut = len(same) if same.all() else int(np.argmin(same))
+            held.append(b.slice(0, cut))
+            b = b.slice(cut)
+            if not b.num_rows:
+                continue
+        if n >= EDGES:
+            yield tuple(pa.Table.from_batches(held).column(i).combine_chunks() for i in (0, 1))
+            held, n = [], 0
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+    if n:
+        yield tuple(pa.Table.from_batches(held).column(i).combine_chunks() for i in (0, 1))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (name, up) of a task's rows as stars: each name with the least one that it is connected to here; least names with themselves."""
+    for a, b in _chunks(batches, False):
+        names, least, _ = _contracted(a, b)
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(least))], names=["name", "up"])
+
+
+def _joined_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that meet by name are contracted: a row for each name, and, ``again``, one for each centre that is not least, by which groups of different tasks hang together."""
+    for a, b in _chunks(batches, True):
+        names, least, at = _contracted(a, b)
+        own, centre = np.unique(at[len(b) :]), np.unique(at[: len(b)])
+        centre = centre[least[centre] != centre]
+        which = np.concatenate([own, centre])
+        again = np.arange(len(which)) >= len(own)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), names.take(pa.array(least[which])), pa.array(again)], names=["name", "up", "again"])
+
+
 def components(v: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, component): the least name that edges, in either direction, lead to.
+    """(name, component): the least name that edges, in either direction, lead to; of all of ``v`` and all ends of edges.
+
+    Tasks contract the edges that they read to stars, so that a dense graph's edges are never shuffled; stars meet by name and are contracted again. What is left are edges
+    between centres, for which the same is done while it halves them; then steps are doubled (``_by_steps``), which ends on any graph.
+    """
+    e = edges.filter("source <> target").select(F.col("source").alias("name"), F.col("target").alias("up"))
+    rest, levels, before = e.unionByName(v.filter("name is not null").select("name", F.col("name").alias("up"))), [], None
+    while True:
+        stars = rest.mapInArrow(_stars, "name string, up string")
+        met = stored(stars.repartition("name").sortWithinPartitions("name").mapInArrow(_joined_stars, "name string, up string, again boolean"))
+        levels.append(met.filter("not again").select("name", "up"))
+        rest = met.filter("again").select("name", "up")
+        left = rest.count()
+        if not left or before is not None and left > before / 2:
+            break
+        before = left
+    found = _by_steps(rest) if left else None
+    for level in reversed(levels):
+        if found is None:
+            found = level.select("name", F.col("up").alias("component"))
+            continue
+        # Few least names stand for many, so only these are looked up.
+        wanted = stored(found.join(level.select(F.col("up").alias("name")).distinct(), "name", "left_semi"))
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NAMES else wanted
+        found = level.join(wanted.withColumnRenamed("name", "up"), "up", "left").select("name", F.coalesce("component", "up").alias("component"))
+    return found
+
+
+def _by_steps(edges: DataFrame) -> DataFrame:
+    """(name, component) of the ends of edges (name, up) between different names.
 
     Each round maps every vertex that still has edges to its least neighbour, doubles these steps until all end in local minima, and contracts the edges
     to these. A chain takes the logarithm of its length, hubs cost one partial aggregation, and vertices without edges are never shuffled along.
     """
-    rest = keep(edges.filter("source <> target").select(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).distinct())
+    rest = keep(edges.select(F.least("name", "up").alias("lo"), F.greatest("name", "up").alias("hi")).distinct())
     out = None
     while not rest.isEmpty():
         near = rest.select(F.col("lo").alias("name"), F.col("hi").alias("to")).unionAll(rest.select(F.col("hi").alias("name"), F.col("lo").alias("to")))
@@ -98,10 +209,7 @@ def components(v: DataFrame, edges: DataFrame) -> DataFrame:
         low, high = (jump.select(F.col("name").alias(c), F.col("up").alias(c + "2")) for c in ("lo", "hi"))
         moved = rest.join(low, "lo").join(high, "hi").filter("lo2 <> hi2")
         rest = keep(moved.select(F.least("lo2", "hi2").alias("lo"), F.greatest("lo2", "hi2").alias("hi")).distinct())
-    names = v.select("name")
-    if out is None:
-        return names.withColumn("component", F.col("name"))
-    return names.join(out, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
+    return out
 
 
 def roots(step: DataFrame) -> DataFrame:

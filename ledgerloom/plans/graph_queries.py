@@ -72,8 +72,7 @@ def component_stats(spark: S, sf: str) -> DataFrame:
 
 
 def _whole_components(spark: S, sf: str) -> DataFrame:
-    n, e = instance(spark, sf)
-    return graph.components(graph.vertices(n, e), e)
+    return graph.components(*instance(spark, sf))
 
 
 @query("connected_components_whole")

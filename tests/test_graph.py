@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph, summary
@@ -67,6 +68,37 @@ def test_components_against_union_find_either_way_round(spark):
             assert {x: c for x, c in graph.components(v, e).collect()} == want
 
 
+def test_components_of_many_parts(spark, monkeypatch):
+    """Chunks of few edges, so that names meet in several levels, and chains that only doubling steps finish; ends outside of the vertices have a component too."""
+    monkeypatch.setattr(graph, "BROADCAST_NAMES", 3)
+    r = random.Random(9)
+    names = [f"v{i:04d}" for i in range(900)]
+    mixed = r.sample(names, len(names))
+    for pairs in ([(r.choice(mixed[:30]), r.choice(names)) for _ in range(700)], list(zip(mixed[:300], mixed[1:301])), [(f"é{a}", b) for a, b in zip(mixed, mixed[1:]) if a > b]):
+        want = union_find({*names, *(x for p in pairs for x in p)}, pairs)
+        v = spark.createDataFrame([(x,) for x in names for _ in range(2)], "name string")
+        e = spark.createDataFrame(pairs + [(None, "v0001"), ("v0002", "v0002")], "source string, target string").repartition(9)
+        got = graph.components(v.repartition(5), e).collect()
+        assert len(got) == len(want) and {x: c for x, c in got} == want
+
+
+def test_chunks_keep_names_together(monkeypatch):
+    monkeypatch.setattr(graph, "EDGES", 4)
+    rows = [("a", "x")] * 3 + [("b", "y")] * 7 + [("c", "z")] * 2 + [("d", "z")] * 5
+    for size in (1, 2, 3, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names=["name", "up"]) for i in range(0, len(rows), size)]
+        parts = [a.to_pylist() for a, _ in graph._chunks(iter(batches), True)]
+        assert [x for p in parts for x in p] == [x for x, _ in rows] and sum(len(set(p)) for p in parts) == 4
+        assert size == 50 or len(parts) > 1
+
+
+def test_dense_edges_are_not_shuffled(spark, tmp_path):
+    """All that components write for a dense graph is a row for a vertex and task, not for an edge."""
+    pairs = [(f"O{i}", f"D{j}") for i in range(100) for j in range(50)]
+    met = spark.createDataFrame(pairs, "name string, up string").coalesce(1).mapInArrow(graph._stars, "name string, up string").collect()
+    assert sorted(r["name"] for r in met) == sorted({x for p in pairs for x in p}) and {r["up"] for r in met} == {"D0"}
+
+
 def test_counts_differ_only_where_an_end_is_missing(spark):
     p = pages(spark)
     raw = graph.relation_counts(graph.flatten_edges(p))

@@ -69,3 +69,9 @@ def test_sample_counts_a_pair_once(spark):
     assert [tuple(r) for r in graph.sampled_graph(n, e, 1).collect()] == [("node", "h", None, "U")]
     got = {tuple(r) for r in graph.sampled_graph(n, e, 4).collect()}
     assert got == {("node", "h", None, "U"), ("node", "a", None, "T"), ("node", "b", None, "Unknown"), ("node", "c", None, "Unknown"), ("edge", "a", "b", "r4"), ("edge", "h", "c", "r8")}
+
+
+def test_stats_of_the_whole_graph_write_little(spark, small, monkeypatch):
+    """No uncompressed checkpoint is made where contraction leaves nothing for doubling steps."""
+    monkeypatch.setattr(graph, "keep", lambda df: pytest.fail("checkpoint"))
+    assert catalog.QUERIES["component_stats_whole"](spark, small[0]).first()["total_components"] == 4

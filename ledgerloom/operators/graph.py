@@ -241,20 +241,41 @@ def walk(steps: DataFrame, starts: DataFrame) -> DataFrame:
     return reach
 
 
+def _marks(names: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of the names' hashes, in rows of 4 KB."""
+    at = F.pmod(F.xxhash64("name"), F.lit(BITMAP))
+    marks = names.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    return F.broadcast(marks)
+
+
+def _perhaps_in(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """Edges whose source is one of the marked names, and few others."""
+    at = F.pmod(F.xxhash64("source"), F.lit(BITMAP))
+    place = F.bitmap_bit_position(at)
+    byte = F.ascii(F.decode(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    e = edges.withColumn("bucket", F.bitmap_bucket_number(at)).join(marks, "bucket")
+    return e.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select("source", "target")
+
+
 def expand(starts: DataFrame, edges: DataFrame, hops: int, directed: bool = True) -> DataFrame:
-    """(start, name, depth): vertices within a number of edges from each start (name), with the least number; each is visited once, so cycles end."""
+    """(start, name, depth): vertices within a number of edges from each start (name), with the least number; each is visited once, so cycles end.
+
+    Edges are read again for each hop and never gathered: a small frontier is sent to all tasks, of a large one a bitmap, so that only edges that leave it are shuffled.
+    """
     e = edges.select("source", "target").filter("source is not null and target is not null")
     if not directed:
-        e = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    e = keep(e.distinct())
-    visited = keep(starts.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth")).distinct())
-    frontier = visited
+        e = e.select(F.explode(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))).alias("e")).select("e.*")
+    frontier = stored(starts.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth")).distinct())
+    visited = frontier
     for depth in range(1, hops + 1):
-        near = frontier.join(e, F.col("name") == F.col("source")).select("start", F.col("target").alias("name")).distinct()
-        frontier = keep(near.join(visited, ["start", "name"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
-        visited = visited.unionByName(frontier)  # of tables that are kept
+        last = frontier.select("start", F.col("name").alias("source"))
+        met = e.join(F.broadcast(last), "source") if n <= BROADCAST_NAMES else _perhaps_in(e, _marks(frontier)).join(last, "source")
+        near = met.select("start", F.col("target").alias("name")).distinct()
+        frontier = stored(near.join(visited, ["start", "name"], "left_anti").withColumn("depth", F.lit(depth)))
+        visited = visited.unionByName(frontier)  # of tables that are stored
     return visited
 
 

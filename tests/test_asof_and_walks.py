@@ -61,3 +61,18 @@ def test_expansion(spark):
         got = {tuple(x) for x in graph.expand(starts, df, 3, directed).collect()}
         assert got == set().union(*(reached(e, s, 3) for s in ("v0", "v1", "nowhere")))
     assert {tuple(x) for x in graph.expand(starts, df, 0).collect()} == {(s, s, 0) for s in ("v0", "v1", "nowhere")}
+
+
+def test_expansion_by_bitmap(spark, monkeypatch):
+    """Frontiers too large to be sent as they are; a short bitmap takes edges for others, which the join drops."""
+    r = random.Random(4)
+    edges = [(f"v{r.randrange(300)}", f"v{r.randrange(300)}") for _ in range(500)]
+    df = spark.createDataFrame(edges + [(None, "v1"), ("v1", None)], "source string, target string").repartition(3)
+    starts = spark.createDataFrame([(f"v{i}",) for i in range(0, 60, 3)], "name string")
+    monkeypatch.setattr(graph, "keep", lambda df: pytest.fail("checkpoint of edges"))
+    want = {tuple(x) for x in graph.expand(starts, df, 3, directed=False).collect()}
+    monkeypatch.setattr(graph, "BROADCAST_NAMES", 0)
+    for bits in (1 << 27, 64):
+        monkeypatch.setattr(graph, "BITMAP", bits)
+        assert {tuple(x) for x in graph.expand(starts, df, 3, directed=False).collect()} == want
+    assert graph._perhaps_in(df.dropna(), graph._marks(starts)).count() < len(edges)

@@ -1,12 +1,13 @@
 """Queries over the whole graph against brute force on small tables."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
 import pytest
 
-from ledgerloom.operators import graph
+from ledgerloom.operators import graph, references
 from ledgerloom.plans import catalog
 from tests.test_graph import union_find
 
@@ -53,6 +54,27 @@ def test_pairs_of_all_lines(spark, small):
     assert want and {(r["left"], r["right"]): r["shared"] for r in catalog.QUERIES["shared_reference_pairs_whole"](spark, d).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_pairs_are_rows_of_greater_contracts(spark, monkeypatch, kind):
+    """Keys of any size and sign, frequent documents in groups, repeated and null links; what is shuffled is a row for a contract, not for a pair."""
+    monkeypatch.setattr(references, "PAIRS", 50)
+    r = random.Random(3)
+    spread = [0, 1, -1, 255, 256, 65535, 65536, -65537, 2**24 - 1, 2**24, 2**31 - 1, -(2**31)] + ([2**62, -(2**62), 2**63 - 1, -(2**63)] if kind == "long" else [])
+    keys = [*spread, *(r.randrange(-(2**31), 2**31) for _ in range(20))]
+    keys = [str(k) for k in keys] if kind == "string" else keys
+    links = [(k, "hot") for k in keys] + [(r.choice(keys), f"d{r.randrange(9)}") for _ in range(60)] + [(keys[0], None), (None, "hot")]
+    by = {d: sorted({c for c, x in links if x == d and c is not None}) for d in {d for _, d in links if d}}
+    want = Counter(p for cs in by.values() for p in combinations(cs, 2))
+    df = spark.createDataFrame(links * 2, f"c {kind}, d string").repartition(3)
+    for most in (4, 7, 1024):
+        found = references.sharing_pairs(df, "c", "d", most)
+        assert found.schema["left"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+        rows = found.collect()
+        assert len(rows) == len(want) and {(x["left"], x["right"]): x["shared"] for x in rows} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(left#\d+L?, right", plan) and "Exchange hashpartitioning(left" in plan
+
+
 def test_sample_of_all_relations(spark, small):
     """Less than 120 names: the sample is the whole graph."""
     d, lines, orders = small

@@ -16,6 +16,8 @@ from ledgerloom.operators.graph import keep
 CENTRE_BYTES = 64 << 20
 #: Vectors and queries that meet in a task.
 ROWS, QUERIES = 4096, 1024
+#: Components of vectors in a batch that a task gives back: 8 MB.
+COMPONENTS = 1 << 20
 #: More than rounding can change a distance or score by.
 SLACK = 1e-7
 
@@ -37,6 +39,11 @@ class Index:
         return Index(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/cells"))
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def _units(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, unit vectors) of those with so many components, all numbers, and a direction."""
     vectors = [(i, v) for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == dims and None not in v]
@@ -61,7 +68,7 @@ def _placed(shared, dims: int):
                 cell[lo : lo + ROWS] = (part @ centres.T).argmax(axis=1)
                 gap = part - centres[cell[lo : lo + ROWS]]
                 far[lo : lo + ROWS] = np.sqrt((gap * gap).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), pa.array(list(x), pa.list_(pa.float64())), pa.array(cell), pa.array(far)], names=["vec_id", "unit", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), _lists(x), pa.array(cell), pa.array(far)], names=["vec_id", "unit", "cell", "far"])
 
     return run
 
@@ -93,10 +100,11 @@ def _asked(shared, dims: int, k: int, kind: pa.DataType, second: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, centres, radius, n = shared.value
+        step = max(1, COMPONENTS // max(dims, 1))
         for b in batches:
             at, x = _units(b.column("q"), dims)
-            ids, out_row, out_cell, out_gap = b.column("query_id"), [], [], []
-            worst = b.column("worst").to_numpy(zero_copy_only=False)[at] if second else None
+            ids = b.column("query_id")
+            worst = b.column("worst").to_numpy(zero_copy_only=False)[at] if second else np.full(len(x), np.inf)
             for lo in range(0, len(x), 256):
                 gap = np.sqrt(np.maximum(2 - 2 * (x[lo : lo + 256] @ centres.T), 0))
                 order = np.argsort(gap, axis=1, kind="stable")
@@ -104,15 +112,11 @@ def _asked(shared, dims: int, k: int, kind: pa.DataType, second: bool):
                 first = np.zeros(gap.shape, bool)
                 np.put_along_axis(first, order, held - n[order] < k, axis=1)
                 read = first if not second else ~first & (gap - radius[None, :] <= worst[lo : lo + 256, None] + SLACK)
-                q, c = np.nonzero(read)
-                out_row.append(q + lo)
-                out_cell.append(c)
-                out_gap.append(gap[q, c])
-            row = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-            c = np.concatenate(out_cell) if out_cell else np.zeros(0, np.int64)
-            gaps = np.concatenate(out_gap) if out_gap else np.zeros(0)
-            limit = worst[row] if second else np.full(len(row), np.inf)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[row])), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cell[c], pa.int64()), pa.array(gaps), pa.array(limit)], names=["query_id", "q", "cell", "gap", "worst"])
+                asking, asked = np.nonzero(read)
+                for i in range(0, len(asking), step):  # a query may ask every cell
+                    q, c = asking[i : i + step], asked[i : i + step]
+                    row = q + lo
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[row])), _lists(x[row]), pa.array(cell[c], pa.int64()), pa.array(gap[q, c]), pa.array(worst[row])], names=["query_id", "q", "cell", "gap", "worst"])
 
     return run
 

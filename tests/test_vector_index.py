@@ -1,6 +1,7 @@
 """The vector index against a scan of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.operators import vector_index as vi
@@ -42,6 +43,28 @@ def test_exact_and_fewer_pairs(spark, tmp_path, monkeypatch, spread):
     assert pairs < 600 * len(q) * (0.5 if spread < 1 else 1.01)
 
 
+@pytest.mark.parametrize("second", [False, True])
+def test_asked_cells_come_in_bounded_batches(monkeypatch, second):
+    """Where vectors are spread evenly every query asks every cell: a batch of queries must not become one batch of them all."""
+    monkeypatch.setattr(vi, "COMPONENTS", 400, raising=False)
+    r = np.random.default_rng(2)
+    x, centres = r.normal(size=(600, 8)), r.normal(size=(40, 8))
+    centres /= np.sqrt((centres * centres).sum(axis=1, keepdims=True))
+
+    class Shared:
+        value = (np.arange(40) + 5, centres, np.full(40, 2.0), np.full(40, 3))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), pa.array(list(x)), pa.array(np.full(600, 2.0))], names=["query_id", "q", "worst"])
+    out = list(vi._asked(Shared, 8, 7, pa.int64(), second)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 50
+    got = pa.Table.from_batches(out)
+    pairs = list(zip(got.column("query_id").to_pylist(), got.column("cell").to_pylist()))
+    assert len(pairs) == len(set(pairs)) == 600 * (37 if second else 3)
+    for i in range(0, len(pairs), 97):
+        q, c = got.column("q")[i].as_py(), centres[pairs[i][1] - 5]
+        assert np.allclose(q, x[pairs[i][0]] / np.sqrt((x[pairs[i][0]] ** 2).sum())) and np.isclose(got.column("gap")[i].as_py(), np.sqrt(((q - c) ** 2).sum()))
+
+
 def test_odd_vectors(spark):
     kinds, asks = "vec_id int, embedding array<double>", "query_id int, q array<double>"
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [1.0, 2.0, 3.0]), (7, [float("nan"), 1.0]), (8, [-1e200, 1e200])]

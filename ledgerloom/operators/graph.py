@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ from ledgerloom.sources.schemas import HUBS, INSTANCE_NODES
 
 #: So many edges are contracted at once.
 EDGES = 1 << 20
+#: Names meet in so many buckets, or four times as many as there are partitions of a shuffle.
+BUCKETS = 1024
+#: A task unpacks and contracts so many blocks at once, or all of one bucket.
+BLOCKS = 256
 #: A frontier of so many names is broadcast; a larger one as a bitmap of this many bits, in buckets of 32,768.
 BROADCAST_NAMES, BITMAP = 100_000, 1 << 27
 
@@ -119,18 +124,18 @@ def _contracted(names: pa.Array, ups: pa.Array) -> tuple[pa.Array, np.ndarray, n
             least = up
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(names, ups) of about EDGES rows; ``whole``: rows are sorted by name and those of one name stay together."""
-    held, n = [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], whole: bool, most: int | None = None) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(names, ups) of about ``most`` (EDGES) rows; ``whole``: rows are sorted by name and those of one name stay together."""
+    held, n, most = [], 0, most or EDGES
     for b in batches:
-        if whole and n >= EDGES and b.num_rows:
+        if whole and n >= most and b.num_rows:
             same = pc.equal(b.column(0), held[-1].column(0)[-1]).to_numpy(zero_copy_only=False)
             cut = len(same) if same.all() else int(np.argmin(same))
             held.append(b.slice(0, cut))
             b = b.slice(cut)
             if not b.num_rows:
                 continue
-        if n >= EDGES:
+        if n >= most:
             yield tuple(pa.Table.from_batches(held).column(i).combine_chunks() for i in (0, 1))
             held, n = [], 0
         if b.num_rows:
@@ -147,46 +152,121 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([names, names.take(pa.array(least))], names=["name", "up"])
 
 
-def _joined_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars that meet by name are contracted: a row for each name, and, ``again``, one for each centre that is not least, by which groups of different tasks hang together."""
-    for a, b in _chunks(batches, True):
-        names, least, at = _contracted(a, b)
-        own, centre = np.unique(at[len(b) :]), np.unique(at[: len(b)])
-        centre = centre[least[centre] != centre]
-        which = np.concatenate([own, centre])
-        again = np.arange(len(which)) >= len(own)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), names.take(pa.array(least[which])), pa.array(again)], names=["name", "up", "again"])
-
-
-def components(v: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, component): the least name that edges, in either direction, lead to; of all of ``v`` and all ends of edges.
-
-    Tasks contract the edges that they read to stars, so that a dense graph's edges are never shuffled; stars meet by name and are contracted again. What is left are edges
-    between centres, for which the same is done while it halves them; then steps are doubled (``_by_steps``), which ends on any graph.
+def _packed(names: list[bytes], codes: np.ndarray, ups: list[bytes]) -> bytes:
+    """Names with their ups, by places in a list, in one block; -1 is a name alone in its star."""
+    own, places = np.unique(codes[codes >= 0], return_inverse=True)
+    codes = codes.astype("<i4")
+    codes[codes >= 0] = places
+    both = names + [ups[i] for i in own.tolist()]
+    sizes = np.fromiter(map(len, both), "<i4", len(both))
+    return zlib.compress(b"".join([np.array([len(names), len(own)], "<i4").tobytes(), sizes.tobytes(), codes.tobytes(), *both]), 1)
+
+
+def _unpacked(block: bytes, kind: pa.DataType) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Names, their ups, and which are alone."""
+    raw = zlib.decompress(block)
+    n, m = np.frombuffer(raw, "<i4", 2).tolist()
+    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<i4", n + m, 8)))).astype(np.int32)
+    codes = np.frombuffer(raw, "<i4", n, 8 + 4 * (n + m))
+    both = pa.Array.from_buffers(kind, n + m, [None, pa.py_buffer(offsets), pa.py_buffer(raw[8 + 4 * (2 * n + m) :])])
+    return both[:n], both.take(pa.array(np.where(codes < 0, np.arange(n), n + codes))), pa.array(codes < 0)
+
+
+def _packed_stars(buckets: int):
+    """The stars of a task's edges (name, up) in a block for each bucket of names. Names that differ in their last two bytes alone share a bucket, so neighbours in a block are alike and take little room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for star in _stars(batches):
+            names = star.column("name").cast(pa.binary()).to_pylist()
+            ups = star.column("up").dictionary_encode()
+            codes, listed = ups.indices.to_numpy(), ups.dictionary.cast(pa.binary()).to_pylist()
+            codes = np.where(np.bincount(codes)[codes] > 1, codes, -1)
+            bucket = np.fromiter((zlib.crc32(x[:-2]) % buckets for x in names), np.int32, len(names))
+            order = np.argsort(bucket, kind="stable")
+            at, begin = np.unique(bucket[order], return_index=True)
+            blocks = [_packed([names[i] for i in o.tolist()], codes[o], listed) for o in np.split(order, begin[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(blocks, pa.binary())], names=["bucket", "stars"])
+
+    return run
+
+
+def _joined_stars(kind: pa.DataType, sizes: bool):
+    """Packed stars, sorted by bucket, that meet by name are contracted: a row for each name, with ``n`` 1, and, without ``n``, one for each centre that is not least and has
+    other names, by which groups of different tasks hang together. ``sizes``: names are counted, a row for each least name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(i, BLOCKS) for b in batches for i in range(0, b.num_rows, BLOCKS))
+        for _, blocks in _chunks(slices, True, BLOCKS):
+            a, b, alone = (pa.concat_arrays(x) for x in zip(*(_unpacked(x, kind) for x in blocks.to_pylist())))
+            names, least, at = _contracted(a, b)
+            own, centre = np.unique(at[len(b) :]), np.unique(at[: len(b)][~alone.to_numpy(zero_copy_only=False)])
+            centre = centre[least[centre] != centre]
+            up, n = np.unique(least[own], return_counts=True) if sizes else (least[own], np.ones(len(own), np.int64))
+            name = pa.concat_arrays([pa.nulls(len(up), kind) if sizes else names.take(pa.array(own)), names.take(pa.array(centre))])
+            ups = names.take(pa.array(np.concatenate([up, least[centre]])))
+            yield pa.RecordBatch.from_arrays([name, ups, pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(len(centre), pa.int64())])], names=["name", "up", "n"])
+
+    return run
+
+
+def _levels(rest: DataFrame, sizes: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Levels of (name, up, n): the ups of one are names of the next; and (name, component) of ups of the last, if they are not least yet.
+
+    Tasks contract the edges (name, up) that they read to stars, so that a dense graph's edges are never shuffled; stars meet by name, in packed blocks, and are contracted again. What is
+    left are edges between centres, for which the same is done while it halves them; then steps are doubled (``_by_steps``), which ends on any graph. ``sizes``: the first level has
+    a row for each up with the number of its names, so names are not written.
     """
-    e = edges.filter("source <> target").select(F.col("source").alias("name"), F.col("target").alias("up"))
-    rest, levels, before = e.unionByName(v.filter("name is not null").select("name", F.col("name").alias("up"))), [], None
+    kind = rest.schema["name"].dataType.simpleString()
+    arrow = {"string": pa.string(), "binary": pa.binary()}[kind]
+    buckets = max(BUCKETS, 4 * int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    levels, before = [], None
     while True:
-        stars = rest.mapInArrow(_stars, "name string, up string")
-        met = stored(stars.repartition("name").sortWithinPartitions("name").mapInArrow(_joined_stars, "name string, up string, again boolean"))
-        levels.append(met.filter("not again").select("name", "up"))
-        rest = met.filter("again").select("name", "up")
+        stars = rest.mapInArrow(_packed_stars(buckets), "bucket int, stars binary").repartition("bucket").sortWithinPartitions("bucket")
+        met = stored(stars.mapInArrow(_joined_stars(arrow, sizes and not levels), f"name {kind}, up {kind}, n long"))
+        levels.append(met.filter("n is not null"))
+        rest = met.filter("n is null").select("name", "up")
         left = rest.count()
         if not left or before is not None and left > before / 2:
-            break
+            return levels, _by_steps(rest) if left else None
         before = left
-    found = _by_steps(rest) if left else None
+
+
+def _edges_and_names(v: DataFrame, edges: DataFrame) -> DataFrame:
+    e = edges.filter("source <> target").select(F.col("source").alias("name"), F.col("target").alias("up"))
+    return e.unionByName(v.filter("name is not null").select("name", F.col("name").alias("up")))
+
+
+def _tops(level: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The level with the components of its ups."""
+    if found is None:
+        return level.withColumn("component", F.col("up"))
+    # Few least names stand for many, so only these are looked up.
+    wanted = stored(found.join(level.select(F.col("up").alias("name")).distinct(), "name", "left_semi"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NAMES else wanted
+    return level.join(wanted.withColumnRenamed("name", "up"), "up", "left").withColumn("component", F.coalesce("component", "up"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(name, component): the least name that edges (name, up), in either direction, lead to; of all ends. Names are strings or binary, and none is null."""
+    levels, found = _levels(edges, False)
     for level in reversed(levels):
-        if found is None:
-            found = level.select("name", F.col("up").alias("component"))
-            continue
-        # Few least names stand for many, so only these are looked up.
-        wanted = stored(found.join(level.select(F.col("up").alias("name")).distinct(), "name", "left_semi"))
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NAMES else wanted
-        found = level.join(wanted.withColumnRenamed("name", "up"), "up", "left").select("name", F.coalesce("component", "up").alias("component"))
+        found = _tops(level, found).select("name", "component")
     return found
 
 
+def components(v: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, component): the least name that edges, in either direction, lead to; of all of ``v`` and all ends of edges."""
+    return contracted(_edges_and_names(v, edges))
+
+
+def sizes_of_components(v: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, size) of ``components``; names are counted as they are contracted, and no table of them is written."""
+    (first, *further), found = _levels(_edges_and_names(v, edges), True)
+    for level in reversed(further):
+        found = _tops(level, found).select("name", "component")
+    return _tops(first.groupBy("up").agg(F.sum("n").alias("n")), found).groupBy("component").agg(F.sum("n").alias("size"))
+
+
 def _by_steps(edges: DataFrame) -> DataFrame:
     """(name, component) of the ends of edges (name, up) between different names.
 
@@ -284,8 +364,12 @@ def component_sizes(c: DataFrame) -> DataFrame:
 
 
 def component_stats(c: DataFrame) -> DataFrame:
+    return size_stats(component_sizes(c))
+
+
+def size_stats(sizes: DataFrame) -> DataFrame:
     """Numbers of components and singletons, and the largest size; the sizes' distribution as counts, from the largest on."""
-    by_size = component_sizes(c).groupBy("size").agg(F.count("*").alias("n"))
+    by_size = sizes.groupBy("size").agg(F.count("*").alias("n"))
     dist = F.transform(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False), lambda x: F.concat_ws("x", x["size"], x["n"]))
     return by_size.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component_size"),

@@ -71,19 +71,15 @@ def component_stats(spark: S, sf: str) -> DataFrame:
     return graph.component_stats(graph.components(*heavy(spark, sf)))
 
 
-def _whole_components(spark: S, sf: str) -> DataFrame:
-    return graph.components(*instance(spark, sf))
-
-
 @query("connected_components_whole")
 def connected_components_whole(spark: S, sf: str) -> DataFrame:
     """Over all edges of the instance graph; ``connected_components`` has those of lines of at least 49 pieces only. A recursive SQL form takes too long here."""
-    return _whole_components(spark, sf)
+    return graph.components(*instance(spark, sf))
 
 
 @query("component_stats_whole")
 def component_stats_whole(spark: S, sf: str) -> DataFrame:
-    return graph.component_stats(_whole_components(spark, sf))
+    return graph.size_stats(graph.sizes_of_components(*instance(spark, sf)))
 
 
 @query("instance_sample", G + """, located as (from g_edges where relation = 'LOCATED_IN'), degrees as (select name, count(*) as degree, min(seq) as seq from (select source as name, seq from located union all select target, seq from located) group by 1),

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from ledgerloom.operators import graph, references
@@ -97,3 +98,37 @@ def test_stats_of_the_whole_graph_write_little(spark, small, monkeypatch):
     """No uncompressed checkpoint is made where contraction leaves nothing for doubling steps."""
     monkeypatch.setattr(graph, "keep", lambda df: pytest.fail("checkpoint"))
     assert catalog.QUERIES["component_stats_whole"](spark, small[0]).first()["total_components"] == 4
+
+
+def test_stats_of_the_whole_graph_store_no_names(spark, small, monkeypatch):
+    """Names are counted where they meet: what is stored are ups and edges between centres."""
+    held, put = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: held.append(put(df)) or held[-1])
+    d, lines, orders = small
+    assert catalog.QUERIES["component_stats_whole"](spark, d).first()["largest_component_size"] > 5
+    kept = {r["name"] for df in held for r in df.collect()}
+    names = {f"O{o}" for o, *_ in orders} | {f"D{x[2]}" for x in lines} | {f"P{i}" for i in range(1, 6)} | {f"S{i}" for i in range(1, 4)}
+    assert len(kept & names) < len(names)
+
+
+def test_sizes_of_components_of_many_parts(spark, monkeypatch):
+    for name, value in (("BROADCAST_NAMES", 3), ("EDGES", 8), ("BLOCKS", 2)):
+        monkeypatch.setattr(graph, name, value)
+    r = random.Random(11)
+    names = [f"v{i:03d}" for i in range(300)] + ["", "ü", "üü", "n\0"]
+    mixed = r.sample(names, len(names))
+    for pairs in ([(r.choice(mixed[:20]), r.choice(names)) for _ in range(150)], list(zip(mixed[:120], mixed[1:121])), []):
+        want = Counter(union_find(names, pairs).values())
+        v = spark.createDataFrame([(x,) for x in names for _ in range(2)], "name string").repartition(5)
+        e = spark.createDataFrame([*pairs, (None, "v001")], "source string, target string").repartition(7)
+        assert {x["component"]: x["size"] for x in graph.sizes_of_components(v, e).collect()} == want
+
+
+def test_packed_stars_are_small_and_whole(spark):
+    """A block keeps stars as they were, names of equal beginning share it, and names in order take few bytes."""
+    names = pa.array([f"O{i}" for i in range(100_000, 150_000)] + ["x"])
+    ups = pa.array(["O100000"] * 50_000 + ["x"])
+    blocks = [x for b in graph._packed_stars(64)(iter([pa.RecordBatch.from_arrays([names, ups], names=["name", "up"])])) for x in b.column("stars").to_pylist()]
+    got = [graph._unpacked(x, pa.string()) for x in blocks]
+    assert sorted((a, b, c) for x in got for a, b, c in zip(*(y.to_pylist() for y in x))) == sorted((a, b, a == "x") for a, b in zip(names.to_pylist(), ups.to_pylist()))
+    assert sum(map(len, blocks)) < 4 * len(names)

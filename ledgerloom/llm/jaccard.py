@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, by_bytes, components, counted_cut, cut, mixed, range_hashes, runs, tidy, utf8, utf8_like, word_hashes, unused
+from ledgerloom.llm.common import LOWER, by_bytes, counted_cut, cut, mixed, range_hashes, runs, tidy, utf8, utf8_like, word_hashes, unused
+from ledgerloom.operators.graph import contracted
 
 SLICE, ROWS = 1 << 21, 2048
 #: Sizes from 4 ** SMALL on have SEGMENTS * 4 ** band segments.
@@ -533,6 +534,11 @@ class _Join:
         return dealt.mapInArrow(tidy(_across(self.percent)), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(id, component) of links (a, b), contracted in the tasks that read them: few steps, as the driver keeps what each task of a step has reported."""
+    return contracted(links.select(F.col("a").alias("name"), F.col("b").alias("up"))).select(F.col("name").alias("id"), "component")
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles (size of its set) and component_id (the least id reachable by links, its own included).
 
@@ -543,10 +549,11 @@ def near_duplicates(docs: DataFrame, key: str, text: str, k: int = 5, percent: i
     join = _Join(docs, key, text, k, percent)
     pairs, large = join.candidates()
     links, _ = join.links(join.fitting(pairs))
-    joined = components(links, "a", "b")
+    joined = _components(links)
     more, n = join.links(join.across(large, joined))
     if n:
-        joined = components(links.unionAll(more), "a", "b")
+        # Of links, what they have joined is enough.
+        joined = _components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     classes = join.classes.select("class", "rep")
     lowest = joined.join(classes, joined["id"] == classes["class"]).groupBy("component").agg(F.min("rep").alias("least"))
     found = classes.join(joined.select(F.col("id").alias("class"), "component"), "class", "left").join(lowest, "component", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
